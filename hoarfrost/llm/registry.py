@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .byte_bpe import decode_ids, encode_texts
 from .common import table
 from .quality_rules import host_rules
 
@@ -22,3 +25,15 @@ def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate",
     )
+
+
+@query
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tokens = encode_texts(docs, ranks, public_tokenizers.PATTERN)
+    both = decode_ids(tokens.withColumn("ids", F.col("token_ids")), ranks, "ids")
+    return both.select(
+        "doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
