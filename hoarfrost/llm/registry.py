@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import decode_ids, encode_texts
 from .common import table
 from .quality_rules import host_rules
+from .secret_scan import BASE_RULES, scan_secrets
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +38,16 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op7_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [r.kind for r in BASE_RULES]
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, base),
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
