@@ -10,6 +10,7 @@ from .byte_bpe import decode_ids, encode_texts
 from .common import table
 from .quality_rules import host_rules
 from .secret_scan import BASE_RULES, scan_secrets
+from .simhash import hex_fingerprint, near_duplicates
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +52,9 @@ def op7_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
