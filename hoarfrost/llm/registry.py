@@ -11,6 +11,7 @@ from .common import table
 from .quality_rules import host_rules
 from .secret_scan import BASE_RULES, scan_secrets
 from .simhash import hex_fingerprint, near_duplicates
+from .suffix_dedup import remove_repeats
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +59,9 @@ def op7_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
