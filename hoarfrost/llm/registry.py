@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import decode_ids, encode_texts
 from .common import table
+from .progressive_jpeg import read_media, store_media
 from .quality_rules import host_rules
 from .secret_scan import BASE_RULES, scan_secrets
 from .simhash import hex_fingerprint, near_duplicates
@@ -65,3 +66,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = read_media(store_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return media.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"), F.format_string("%dx%d:%08x", "width", "height", F.crc32("rgb")).alias("feature"),
+    )
