@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import decode_ids, encode_texts
 from .common import table
+from .packing import pack, token_pieces
 from .progressive_jpeg import read_media, store_media
 from .quality_rules import host_rules
 from .secret_scan import BASE_RULES, scan_secrets
 from .simhash import hex_fingerprint, near_duplicates
 from .suffix_dedup import remove_repeats
 
+#: Tokens of a packed sequence.
+SEQUENCE = 2048
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -76,3 +80,13 @@ def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"), F.format_string("%dx%d:%08x", "width", "height", F.crc32("rgb")).alias("feature"),
     )
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    pieces = token_pieces(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, SEQUENCE)
+    return pack(pieces, SEQUENCE).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
