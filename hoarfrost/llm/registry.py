@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, quality_model
 from .byte_bpe import decode_ids, encode_texts
-from .common import table
+from .common import learnable, table
 from .packing import pack, token_pieces
 from .progressive_jpeg import read_media, store_media
 from .quality_rules import host_rules
@@ -15,6 +16,8 @@ from .secret_scan import BASE_RULES, scan_secrets
 from .simhash import hex_fingerprint, near_duplicates
 from .suffix_dedup import remove_repeats
 
+#: Score from which on a text counts as good.
+GOOD = 0.3
 #: Tokens of a packed sequence.
 SEQUENCE = 2048
 
@@ -90,3 +93,20 @@ def packed(docs: DataFrame) -> DataFrame:
 @query
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.train(docs, table(spark, sf_dir, "labels"))
+    return quality_model.score(docs, model).select(
+        "doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op6_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs)
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")

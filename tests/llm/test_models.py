@@ -1,0 +1,80 @@
+import os
+import random
+
+import numpy as np
+import pytest
+
+from hoarfrost.llm import language_id, quality_model, registry
+
+SF = "/root/testdata/sf0.01"
+needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+def test_attention_gradient():
+    """The hand-written gradient lowers the loss, and a bag's score follows its telling passage."""
+    rng = np.random.default_rng(0)
+    bags, labels = [], []
+    for i in range(300):
+        x = rng.normal(size=(rng.integers(1, 8), quality_model.FEATURES))
+        y = i % 2
+        if y:
+            x[rng.integers(len(x)), 3] += 6
+        bags.append(x)
+        labels.append(float(y))
+    model = quality_model.fit(bags, np.array(labels), rounds=30)
+    bag = np.repeat(np.arange(300), [len(b) for b in bags])
+    *_, a, _, p = model.forward(np.concatenate(bags), bag, 300)
+    assert ((p > 0.5) == np.array(labels)).mean() > 0.97
+    assert np.allclose(np.bincount(bag, a), 1)
+
+
+def test_passages():
+    words = ["w%d" % i for i in range(150)]
+    text = (" ".join(words[:70]) + "\n" + "  ".join(words[70:]) + " ").encode()
+    parts = quality_model.passages(text)
+    assert [len(p.split()) for p in parts] == [64, 64, 22] and b"".join(parts).split() == text.split()
+    assert quality_model.passages(b" \n") == [b""]
+    assert np.isfinite(quality_model.features([b"", b"a", b"\xff\xfe"])).all()
+
+
+def test_quality_frame(spark):
+    rng = random.Random(1)
+    good = lambda: " ".join(rng.choice(["plain", "words", "here"]) for _ in range(rng.randrange(5, 300)))
+    rows = [(i, good() if i % 2 else good().upper() + "!!") for i in range(300)] + [(900, None), (901, ""), (None, "x"), (902, "word " * 40_000)]
+    docs = spark.createDataFrame([(i, t, 0.5) for i, t in rows], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(3, None), (None, 1), (3, 1)], "doc_id long, quality int")
+    model = quality_model.train(docs, labels)
+    got = {r.doc_id: r.score for r in quality_model.score(docs, model).collect()}
+    assert len(got) == len(rows) and all(0 <= s <= 1 for s in got.values())
+    assert np.mean([(got[i] >= 0.3) == bool(i % 2) for i in range(300)]) > 0.97
+    none = quality_model.train(docs, labels.limit(0))
+    assert {r.score for r in quality_model.score(docs, none).collect()} == {0.5}
+    assert quality_model.score(docs.limit(0), model).count() == 0
+
+
+def test_language_frame(spark):
+    rng = random.Random(2)
+    speak = {"en": ["the", "and", "with", "thing"], "de": ["der", "und", "mit", "ding"], "fr": ["les", "avec", "chose", "été"], "es": ["los", "con", "cosa", "año"]}
+    rows = [(i, " ".join(rng.choice(speak[k]) for _ in range(30)), k) for i, k in enumerate(list(speak) * 40)]
+    odd = [(900, None, "en"), (901, "12 ! \n", "en"), (902, "", None), (None, "the thing", None), (903, "les " * 50_000, None)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert model.families == ["Germanic", "Romance"] and model.languages == [["de", "en"], ["es", "fr"]]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, model).collect()}
+    assert all(got[i][0] == k for i, _, k in rows) and got[None][0] == "en" and got[903][0] == "fr"
+    assert all(got[i] == ("und", 0.0) for i in (900, 901, 902))
+    nothing = language_id.train(docs.where("lang is null"))
+    assert {r.lang_pred for r in language_id.identify(docs, nothing).collect()} == {"und"}
+    one = language_id.train(docs.where("lang = 'fr'"))
+    assert {r.lang_pred for r in language_id.identify(docs.limit(5), one).collect()} == {"fr"}
+
+
+@needs_data
+def test_held_out_accuracy(spark):
+    lang = registry.QUERIES["op6_hierarchical_language"](spark, SF).where("held_out")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "lang")
+    n, right = lang.join(docs, "doc_id").selectExpr("count(*)", "sum(cast(lang = lang_pred as int))").first()
+    assert n > 150 and right / n > 0.95
+    quality = registry.QUERIES["op10_attention_quality"](spark, SF).where("held_out")
+    n, right = quality.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").selectExpr("count(*)", "sum(cast(quality = predicted as int))").first()
+    assert n > 50 and right / n > 0.93
