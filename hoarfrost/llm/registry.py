@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, quality_model
 from .byte_bpe import decode_ids, encode_texts
-from .common import learnable, table
+from .common import learnable, ship, table
 from .packing import pack, token_pieces
 from .progressive_jpeg import read_media, store_media
 from .quality_rules import host_rules
 from .secret_scan import BASE_RULES, scan_secrets
 from .simhash import hex_fingerprint, near_duplicates
 from .suffix_dedup import remove_repeats
+from .url_filter import judge_urls
 
 #: Score from which on a text counts as good.
 GOOD = 0.3
@@ -26,8 +29,19 @@ ORACLES: dict[str, str] = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
+
+
+@query
+def op1_url_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
 @query
