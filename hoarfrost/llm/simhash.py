@@ -44,17 +44,17 @@ def simhash(text: bytes, width: int = 3) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp long): one row a row of docs; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *ids: str, text: str = "text") -> DataFrame:
+    """(ids..., fp long): one row a row of docs; fp is the fingerprint as a signed long. No shuffle."""
     schema = arrow_schema("fp long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             fp = np.array([simhash(t) for t in utf8(b, text)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(doc_id), *made(schema, fp).columns], names=[doc_id, "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in ids), *made(schema, fp).columns], names=[*ids, "fp"])
 
-    ids = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {ids}, fp long")
+    fields = "".join(f"`{i}` {docs.schema[i].dataType.simpleString()}, " for i in ids)
+    return docs.select(*ids, text).mapInArrow(run, f"{fields}fp long")
 
 
 def _masks(free: int, blocks: int, chosen: int) -> list[int]:
@@ -141,6 +141,13 @@ def close_links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET)
     return groups.mapInArrow(run, "a long, b long").distinct()
 
 
+def _rooted(marks: DataFrame, distance: int) -> DataFrame:
+    """marks (fp) -> (fp, root): every distinct fingerprint and one that stands for its component."""
+    nodes = written(marks.select("fp").distinct(), "nodes")
+    roots = written(connected(close_links(nodes, distance)), "roots")
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id that each row's fingerprint reaches by links of distance bits or fewer.
 
@@ -148,15 +155,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts have fingerprint zero and link like any other. Null ids take part
     but are never the smallest; a component of null ids only has a null id.
     """
-    marks = written(fingerprints(docs, doc_id, text), "fingerprints")
-    nodes = written(marks.groupBy("fp").agg(F.min(doc_id).alias("least")), "nodes")
-    roots = written(connected(close_links(nodes.select("fp"), distance)), "roots")
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    marks = written(fingerprints(docs, doc_id, text=text), "fingerprints")
+    rooted = written(_rooted(marks, distance).join(marks.groupBy("fp").agg(F.min(doc_id).alias("least")), "fp"), "rooted")
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(names, "root").select(F.col("fp").alias("_fp"), "component_id")
     return marks.join(named, F.col("fp") == F.col("_fp"), "left").select(doc_id, "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """docs with one row of each component: that of the smallest id (a null id only where there is no other; of rows alike any one).
+
+    Rows are known by a hash of id and text, so only hashes and fingerprints
+    are compared; the texts are shuffled once, to keep the chosen rows.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(doc_id, text))
+    marks = written(fingerprints(keyed, doc_id, "_key", text=text), "fingerprints")
+    first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_key").alias("key")))
+    by_fp = marks.groupBy("fp").agg(first.alias("first"))  # summed before the shuffle, whatever the number of copies
+    kept = by_fp.join(_rooted(marks, distance), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"))
+    return keyed.join(written(kept, "kept"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+
+
 def hex_fingerprint(fp: Column) -> Column:
     """16 lowercase hex digits of a fingerprint kept as a signed long."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
