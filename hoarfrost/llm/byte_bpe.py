@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -70,7 +72,7 @@ class Ranks:
         if (known := self.beside.get(key)) is None:
             pair = self.pair.get
             known = not any((r := pair((x, y), NEVER)) < until_x and r <= until_y and r < NEVER for x, until_x in self.right[a] for y, until_y in self.left[b])
-            if len(self.beside) > 1_000_000:
+            if len(self.beside) > 500_000:
                 self.beside.clear()
             self.beside[key] = known
         return known
@@ -85,9 +87,22 @@ class Ranks:
         raise ValueError("the vocabulary lacks a byte")
 
     def table(self, data: bytes) -> list[int]:
+        """step() for every prefix, with what it looks up at hand."""
+        get, known, fit, size, longest = self.ranks.get, self.beside.get, self.fit, self.size, self.longest
         last = [-1]
         for end in range(1, len(data) + 1):
-            last.append(self.step(data, end, last))
+            for start in range(end - longest if end > longest else 0, end):
+                token = get(data[start:end])
+                if token is not None:
+                    if start == 0:
+                        break
+                    before = last[start]
+                    fits = known(before * size + token)
+                    if fits or fits is None and fit(before, token):
+                        break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+            last.append(token)
         return last
 
     def walk(self, last: list[int]) -> list[int]:
@@ -169,16 +184,27 @@ def splitter(pattern: str):
 
 
 class Pieces(dict):
-    """Piece of text -> its ids as little-endian unsigned 32-bit bytes; starts afresh when it is full."""
+    """Piece of text -> its ids as little-endian unsigned 32-bit bytes.
+
+    When it is full, its entries become the old ones and replace those; an old
+    entry that is asked for comes back, so frequent pieces are never lost.
+    """
 
-    def __init__(self, encode, most: int = 400_000):
+    def __init__(self, encode, most: int = 250_000):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.old = encode, most, {}
 
     def __missing__(self, piece: str) -> bytes:
+        out = self.old.get(piece)
+        if out is None:
+            ids = array("I", self.encode(piece.encode()))
+            if sys.byteorder == "big":
+                ids.byteswap()
+            out = ids.tobytes()
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        out = self[piece] = np.array(self.encode(piece.encode()), "<u4").tobytes()
+        self[piece] = out
         return out
 
 
