@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import learnable, slices
+from .common import learnable, slices, written
 
 #: Buckets of hashed n-grams; labelled rows that are learnt from at most (shared out evenly to the languages).
 BUCKETS, SAMPLE_ROWS = 4096, 4000
@@ -151,14 +151,18 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Learn from rows documents at most, as many of each language where there are so many; never from ids that learnable() holds out.
 
-    Those with the smallest hashes of their ids are taken. Rows with a null id,
-    language or text, or a text without letters, aren't learnt from.
+    Those with the smallest hashes of their ids are taken; of a frequent
+    language only the hashes under a bound that leaves about four times as many
+    are ordered. Rows with a null id, language or text, or a text without
+    letters, aren't learnt from.
     """
     known = docs.where(learnable(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).isNotNull())
-    each = max(1, rows // max(1, known.agg(F.count_distinct(lang)).first()[0]))
+    counts = written(known.groupBy(F.col(lang).alias("y")).agg(F.count(F.lit(1)).alias("rows")), "languages")
+    each = max(1, rows // max(1, counts.count()))
     mark = F.xxhash64(doc_id, F.lit(23))
-    best = known.select(doc_id, lang).withColumn("n", F.row_number().over(Window.partitionBy(lang).orderBy(mark, doc_id))).where(F.col("n") <= each)
-    chosen = best.select(F.col(doc_id).alias("id"), F.col(lang).alias("y")).distinct().limit(rows)
+    low = known.select(doc_id, lang, mark.alias("mark")).join(counts, F.col(lang) == F.col("y")).where(F.pmod("mark", F.lit(1_000_000)) * F.col("rows") <= 4_000_000 * each + 1_000_000 * 20)
+    best = low.withColumn("n", F.row_number().over(Window.partitionBy(lang).orderBy(F.pmod("mark", F.lit(1_000_000)), "mark", doc_id))).where(F.col("n") <= each)
+    chosen = best.select(F.col(doc_id).alias("id"), "y").distinct().limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
