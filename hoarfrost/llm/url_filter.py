@@ -67,6 +67,11 @@ def rule_of(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES) -> C
     return out
 
 
+def shape_of(path: Column) -> Column:
+    """path in lower case with a / for every run of other signs than letters: what its words depend on."""
+    return F.regexp_replace(F.lower(path), r"[^\p{L}]+", "/")
+
+
 def names_of(host: Column, path: Column) -> Column:
     """Lower-case runs of letters in host and path."""
     return F.filter(F.split(F.lower(F.concat_ws("/", host, path)), r"[^\p{L}]+"), lambda x: x != "")
@@ -134,20 +139,20 @@ def segment_names(names: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def url_words(urls: DataFrame, counts: DataFrame) -> DataFrame:
-    """Distinct (host, path) -> the same with words: the split names of host (marked "host:") and of path.
+    """Distinct (host, shape) -> the same with words: the split names of host (marked "host:") and of the path's shape.
 
-    The names of hosts and paths are few against the urls, so they are split
-    once each and joined back; Spark splits the rows of a hot name.
+    Each distinct name is split once and joined back; Spark splits the rows of
+    a hot name.
     """
-    places = urls.select("host", "path").distinct()
-    marked = places.select("host", "path", F.explode(F.concat(
+    places = urls.select("host", "shape").distinct()
+    marked = places.select("host", "shape", F.explode(F.concat(
         F.transform(names_of(F.col("host"), F.lit("")), lambda x: F.struct(F.lit("host:").alias("side"), x.alias("name"))),
-        F.transform(names_of(F.lit(""), F.col("path")), lambda x: F.struct(F.lit("path:").alias("side"), x.alias("name"))),
-    )).alias("x")).select("host", "path", "x.side", "x.name")
+        F.transform(names_of(F.lit(""), F.col("shape")), lambda x: F.struct(F.lit("path:").alias("side"), x.alias("name"))),
+    )).alias("x")).select("host", "shape", "x.side", "x.name")
     marked = written(marked, "names")
     split = written(segment_names(marked, counts), "split")
-    words = marked.join(split, "name").groupBy("host", "path").agg(F.flatten(F.collect_list(F.transform("words", lambda w: F.concat("side", w)))).alias("words"))
-    return places.join(words, ["host", "path"], "left").select("host", "path", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
+    words = marked.join(split, "name").groupBy("host", "shape").agg(F.flatten(F.collect_list(F.transform("words", lambda w: F.concat("side", w)))).alias("words"))
+    return places.join(words, ["host", "shape"], "left").select("host", "shape", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
 
 
 def _slot(word: Column) -> Column:
@@ -197,12 +202,13 @@ def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, seeds: tupl
     new = ["host", "path", "rule", "verdict", "block_score"]
     host, path = url_parts(F.col(url))
     rest = [c for c in pages.columns if c not in new and c != html]
-    split = pages.select(*rest, host.alias("host"), path.alias("path"))
-    alike = split.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
-    places = written(url_words(alike, word_counts(pages, url, html)).join(alike, ["host", "path"]), "places")
+    split = pages.select(*rest, host.alias("host"), path.alias("path"), shape_of(path).alias("_shape"))
+    alike = written(split.groupBy("host", F.col("_shape").alias("shape")).agg(F.count(F.lit(1)).alias("n")), "places")
+    counts = written(word_counts(pages, url, html), "words")
+    places = written(url_words(alike, counts).join(alike, ["host", "shape"]), "places")
     blocked = F.arrays_overlap("words", F.array(*[F.lit("host:" + w) for w in seeds])) if seeds else F.lit(False)
     model = fit_bayes(places.select("words", F.coalesce(blocked, F.lit(False)).alias("blocked"), "n"))
-    scored = with_scores(places, model).select("host", "path", "block_score")
-    judged = split.join(scored, ["host", "path"], "left").withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
+    scored = with_scores(places, model).select("host", F.col("shape").alias("_shape"), "block_score")
+    judged = split.join(scored, ["host", "_shape"], "left").withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.col("_r.verdict"), F.when(F.col("block_score") >= threshold, "block").otherwise("allow"))
     return judged.select(*rest, "host", "path", F.col("_r.rule").alias("rule"), verdict.alias("verdict"), "block_score")
