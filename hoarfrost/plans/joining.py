@@ -61,12 +61,12 @@ def range_join_composite(spark, sf_dir):
     return pairs.groupBy("center").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("entity").alias("n_stations"))
 
 
-@query(v.with_(v.GRID, "v_pt AS (SELECT row * 100 + col AS id, row, col FROM v_grid WHERE row % 50 = 0 AND col % 8 = 3)", "v_valid AS (SELECT row AS r, col AS c FROM v_grid WHERE z > 513.0::DOUBLE)", body="""
+@query(v.with_(v.GRID, "v_pt AS (SELECT row * 100 + col AS id, row, col FROM v_grid WHERE z < 480.0::DOUBLE)", "v_valid AS (SELECT row AS r, col AS c FROM v_grid WHERE z > 513.0::DOUBLE)", body="""
 SELECT p.id, p.row, p.col, b.r AS snap_row, b.c AS snap_col, b.d2 FROM v_pt p LEFT JOIN (SELECT id, r, c, d2 FROM (SELECT id, r, c, CAST((r - row) * (r - row) + (c - col) * (c - col) AS INTEGER) AS d2,
 row_number() OVER (PARTITION BY id ORDER BY (r - row) * (r - row) + (c - col) * (c - col), r, c) AS rn FROM v_pt JOIN v_valid ON r BETWEEN row - 5 AND row + 5 AND c BETWEEN col - 5 AND col + 5) WHERE rn = 1) b ON p.id = b.id"""))
 def spatial_snap(spark, sf_dir):
     cells = v.grid(spark, sf_dir)
-    points = cells.where("row % 50 = 0 and col % 8 = 3").select((F.col("row") * 100 + F.col("col")).alias("id"), "row", "col")
+    points = cells.where("z < 480.0").select((F.col("row") * 100 + F.col("col")).alias("id"), "row", "col")
     return ops.snap(points, cells.where("z > 513.0"))
 
 

@@ -46,10 +46,10 @@ def upsert_inventory(spark, sf_dir):
     return ops.upserted(part("d < date'2024-01-10'", "old"), part("d >= date'2024-01-20'", "new"), "entity")
 
 
-@query(v.with_(v.LONG, body="SELECT event_id, entity, d FROM v_long WHERE d >= DATE '2024-01-15' AND entity NOT IN (SELECT entity FROM v_long WHERE d < DATE '2024-01-03' AND k % 2 = 0)"))
+@query(v.with_(v.LONG, body="SELECT event_id, entity, d FROM v_long WHERE d >= DATE '2024-01-15' AND entity NOT IN (SELECT entity FROM v_long WHERE d < DATE '2024-01-03' AND value > 0)"))
 def incremental_anti_join(spark, sf_dir):
-    obs = v.long_obs(spark, sf_dir).select("event_id", "entity", "d", "k")
-    known = obs.where("d < date'2024-01-03' and k % 2 = 0").select("entity").distinct()
+    obs = v.long_obs(spark, sf_dir).select("event_id", "entity", "d", "value")
+    known = obs.where("d < date'2024-01-03' and value > 0").select("entity").distinct()
     return obs.where("d >= date'2024-01-15'").join(known, "entity", "left_anti").select("event_id", "entity", "d")
 
 

@@ -54,17 +54,22 @@ def scene(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCENE = """v_scene AS (SELECT l_suppkey AS scene, l_partkey AS pixel, l_extendedprice / 1000.0::DOUBLE AS lst, p_retailprice / 100.0::DOUBLE AS base, CAST(l_shipdate AS DATE) AS d FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
-def grid(spark: SparkSession, sf_dir: str, rows: int | None = None) -> DataFrame:
-    """A grid in long form: row, col, z; rows keeps the first ones of a larger grid where only a grid of fixed size is wanted."""
-    e = table(spark, sf_dir, "embeddings")
-    if rows is not None:
-        e = e.where(F.col("vec_id") < rows)
-    return e.select(F.col("vec_id").cast("int").alias("row"), F.posexplode("embedding").alias("col", "z")).select("row", "col", (F.col("z").cast("double") * 100.0 + 500.0).alias("z"))
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid in long form: row, col, z."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("row"), F.posexplode("embedding").alias("col", "z")).select("row", "col", (F.col("z").cast("double") * 100.0 + 500.0).alias("z"))
 
 
 GRID = """v_grid AS (SELECT CAST(vec_id AS INTEGER) AS row, CAST(pos - 1 AS INTEGER) AS col, CAST(embedding[pos] AS DOUBLE) * 100.0::DOUBLE + 500.0::DOUBLE AS z
 FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings))"""
 
 
+def holed(grid: DataFrame) -> DataFrame:
+    """The grid with z unknown (null) from 515 on."""
+    return grid.withColumn("z", F.when(F.col("z") < 515, F.col("z")))
+
+
+HOLED = "v_hole AS (SELECT row, col, CASE WHEN z < 515 THEN z END AS z FROM v_grid)"
+
+
 def with_(*ctes: str, body: str) -> str:
     return "WITH " + ", ".join(ctes) + " " + body
