@@ -7,14 +7,11 @@ Parquet in the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hoarfrost.llm import quality_model
-from hoarfrost.llm.common import ship, slices, table, written
+from hoarfrost.llm.common import ship, table, written
 from hoarfrost.llm.registry import GOOD, packed
 from hoarfrost.llm.secret_scan import redact_secrets
 from hoarfrost.llm.simhash import one_of_each
@@ -37,15 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out of each text the 50-byte strings that documents of smaller ids have. Bytes of characters that were cut through go as well; a text may end up empty."""
     ship(spark)
-    cut = remove_repeats(docs)
-
-    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            yield b.set_column(b.num_columns - 1, "text", pa.array([x.decode("utf-8", "ignore") for x in b.column(b.num_columns - 1).to_pylist()], pa.string()))
-
-    rest = [c for c in docs.columns if c != "text"]
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*rest).schema.fields)
-    return counted(cut.select(*rest, "kept").mapInArrow(decoded, f"{fields}text string"), docs.columns)
+    return counted(remove_repeats(docs, decode=True).withColumnRenamed("kept", "text"), docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

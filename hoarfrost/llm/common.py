@@ -20,8 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once a context, for clusters where it isn't installed."""
+    """Make the session ready: short Arrow batches, and this package sent to the executors' Python, once a context, for clusters where it isn't installed."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(conf)) > BATCH_ROWS:
+        spark.conf.set(conf, str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_hoarfrost_shipped", False):
         return

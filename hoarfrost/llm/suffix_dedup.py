@@ -32,7 +32,7 @@ from .common import arrow_schema
 Q, DEPTH = 20, 50
 WINDOW = DEPTH - Q + 1
 #: Bytes of text in a group of documents and in a block within it; anchors in a shuffle bucket.
-GROUP_BYTES, BLOCK, BUCKET_ANCHORS = 4 << 20, 1 << 17, 1 << 19
+GROUP_BYTES, BLOCK, BUCKET_ANCHORS = 4 << 20, 1 << 16, 1 << 18
 U = np.uint64
 #: Fixed odd multipliers of the identifiers' mixing.
 MULTIPLIERS = (U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15))
@@ -259,7 +259,7 @@ def _repeated_strings(table: pa.Table) -> pa.Table:
     return pa.table([[g for g, _ in out], [bucket] * len(out), [b for _, b in out]], schema=REPLY)
 
 
-def _cut(new: dict[str, str]):
+def _cut(new: dict[str, str], decode: bool):
     """Each document with the bytes that its repeated strings cover taken out."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -286,13 +286,18 @@ def _cut(new: dict[str, str]):
             removed.append(k)
             spans.append(int(np.count_nonzero(x[1:] & ~x[:-1]) + x[0]) if k else 0)
             kept.append(data[a : a + n][~x].tobytes() if k else t)
+        if decode:
+            kept = [t.decode("utf-8", "ignore") for t in kept]
         return pa.table([left.column("doc_id"), left.column("more"), sizes, removed, spans, kept], schema=schema)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans and kept (binary) in place of text.
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", decode: bool = False) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans and kept in place of text.
+
+    kept is binary; with decode it is a string, without the bytes of characters
+    that were cut through.
 
     A byte goes if a DEPTH-byte string that covers it starts in a document of a
     smaller id as well; strings are judged on the input, whatever else goes.
@@ -300,7 +305,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     same id don't take from each other. Extra columns stay; those named like
     the new ones are replaced.
     """
-    new = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "binary"}
+    new = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "string" if decode else "binary"}
     rest = [c for c in docs.columns if c not in (text, *new)]
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     groups, buckets = max(1, -(-size // GROUP_BYTES)), max(1, -(-size // (BUCKET_ANCHORS * WINDOW // 2)))
@@ -314,7 +319,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     repeats = strings.groupBy("bucket").applyInArrow(_repeated_strings, reply)
     more = dealt.schema["more"].dataType
     out = dealt.groupBy("g").cogroup(repeats.groupBy("g")).applyInArrow(
-        _cut(new), f"doc_id long, more {more.simpleString()}, " + ", ".join(f"{n} {k}" for n, k in new.items()),
+        _cut(new, decode), f"doc_id long, more {more.simpleString()}, " + ", ".join(f"{n} {k}" for n, k in new.items()),
     )
     kind = docs.schema[doc_id].dataType
     return out.select(*[F.col("doc_id").cast(kind).alias(c) if c == doc_id else F.col("more")[c].alias(c) for c in rest], *new)
