@@ -197,7 +197,7 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         out = self.old.get(piece)
         if out is None:
-            ids = array("I", self.encode(piece.encode()))
+            ids = array("I", self.encode(piece))
             if sys.byteorder == "big":
                 ids.byteswap()
             out = ids.tobytes()
@@ -211,7 +211,8 @@ class Pieces(dict):
 @cache
 def encoder(ranks_path: str, pattern: str):
     """text -> ids as little-endian bytes, kept for the life of a Python worker."""
-    split, pieces = splitter(pattern), Pieces(load_ranks(ranks_path).encode)
+    encode = load_ranks(ranks_path).encode
+    split, pieces = splitter(pattern), Pieces(lambda piece: encode(piece.encode()))
     return lambda text: b"".join(map(pieces.__getitem__, split(text)))
 
 

@@ -32,7 +32,7 @@ def encoder(tokenizer_path: str, pattern: str):
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
     tokenizer.encode_special_tokens = True
-    split, pieces = splitter(pattern), Pieces(lambda b: tokenizer.encode(b.decode(), add_special_tokens=False).ids)
+    split, pieces = splitter(pattern), Pieces(lambda piece: tokenizer.encode(piece, add_special_tokens=False).ids, 350_000)
     return lambda text: b"".join(map(pieces.__getitem__, split(text)))
 
 
