@@ -7,7 +7,6 @@ counted. All look at the same hashed character bigrams and trigrams.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -39,13 +38,12 @@ FAMILIES = {
     "Malayo-Polynesian": "id jv ms su tl",
 }
 FAMILY_OF = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(128, dtype=np.uint32)
 _FOLD[[c for c in range(128) if not chr(c).isalpha()]] = 32
 
 
 def has_letters(text: str) -> bool:
-    return _LETTER.search(text) is not None
+    return any(map(str.isalpha, text))
 
 
 def features(text: str) -> np.ndarray:

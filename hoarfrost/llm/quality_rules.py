@@ -96,14 +96,15 @@ def host_verdicts(stats: DataFrame, host: str, max_rate: float = 0.5) -> DataFra
 def host_rules(docs: DataFrame, host: str = "source", text: str = "text", max_rate: float = 0.5) -> DataFrame:
     """Judge each row of docs by its own text and by its host.
 
-    Adds the columns of STATS, base_failed, host_rate and kept; the text column
-    is left out. Nulls: a null text has no words and fails; null hosts form one
+    Adds the columns of STATS, base_failed, host_rate and kept, in place of any
+    of those names; the text column is left out. Nulls: a null text has no words and fails; null hosts form one
     host. Repeated rows count each time. An empty table gives an empty result.
     The statistics are written to the shared folder once, since both the host
     rates and the result need them; counts are summed before they are shuffled,
     and the join back has one small row a host, so that Spark may broadcast it
     or split a large host.
     """
+    docs = docs.drop("base_failed", "host_rate", "host_ok", "kept", "_host")
     stats = written(with_text_stats(docs, text).withColumn("base_failed", failed()), "rules")
     hosts = host_verdicts(stats, host, max_rate).select(F.col(host).alias("_host"), "host_rate", "host_ok")
     return (

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_model
+from . import language_id, quality_model, sql
 from .byte_bpe import decode_ids, encode_texts
 from .common import learnable, ship, table
 from .packing import pack, token_pieces
@@ -25,7 +25,7 @@ GOOD = 0.3
 SEQUENCE = 2048
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_host_rules": sql.HOST_RULES, "op8_suffix_dedup": sql.SUFFIX_DEDUP}
 
 
 def query(f):
@@ -48,7 +48,7 @@ def op1_url_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return host_rules(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate",
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"),
     )
 
 
