@@ -23,8 +23,8 @@ FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source"""
 #: op8: every 50-byte string by its place, the smallest document that has it, and what those of smaller documents cover.
 SUFFIX_DEDUP = r"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
-u AS (SELECT rid, doc_id, hex(b) AS x, CAST(octet_length(b) AS BIGINT) AS n FROM t),
-s AS (SELECT rid, doc_id, i, x[2 * i + 1 : 2 * i + 100] AS w FROM (SELECT *, unnest(range(0, n - 49)) AS i FROM u WHERE n >= 50)),
+u AS (SELECT rid, doc_id, b, hex(b) AS x, CAST(octet_length(b) AS BIGINT) AS n FROM t),
+s AS (SELECT rid, doc_id, i, b[i + 1 : i + 50] AS w FROM (SELECT *, unnest(range(0, n - 49)) AS i FROM u WHERE n >= 50)),
 d AS (SELECT w, min(doc_id) AS least, max(doc_id) AS most FROM s GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
 hit AS (SELECT rid, i FROM s JOIN d USING (w) WHERE doc_id > least),
 run AS (SELECT rid, min(i) AS a, max(i) + 50 AS z FROM (SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS k FROM
