@@ -68,10 +68,6 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _bits(fp: Column, mask: int) -> Column:
-    return fp.bitwiseAND(F.lit(_signed(mask)))
-
-
 def first_masks(distance: int = DISTANCE) -> list[int]:
     """Close pairs differ in at most distance of distance + 2 blocks, so they agree on two: one mask for each pair of blocks."""
     return _masks((1 << BITS) - 1, distance + 2, 2)
