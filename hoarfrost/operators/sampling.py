@@ -59,6 +59,30 @@ def group_split(df: DataFrame, group: str, share: float = 0.3, seed: int = 42) -
     return df.join(test, group)
 
 
+def ranked(df: DataFrame, key: str, name: str = "rank", ranges: int = 64) -> DataFrame:
+    """df with the rank (from 1) of each row by a numeric key, without one task that sorts all rows.
+
+    Rows go into ranges between approximate quantiles; a row's rank is its place
+    within its range and the number of rows of the ranges before.
+    """
+    cuts = df.agg(F.percentile_approx(key, F.array(*[F.lit(k / ranges) for k in range(1, ranges)])).alias("_cuts"))
+    dealt = df.crossJoin(F.broadcast(cuts)).withColumn("_r", F.size(F.filter("_cuts", lambda c: c < F.col(key)))).drop("_cuts")  # one row
+    counts = dealt.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_r", (F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).alias("_before"))  # a row a range
+    placed = dealt.withColumn(name, F.row_number().over(Window.partitionBy("_r").orderBy(key)))
+    return placed.join(F.broadcast(before), "_r").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_r", "_before")
+
+
+def runs(df: DataFrame, key: str, n: int, name: str = "fold") -> DataFrame:
+    """df with the number (from 0) of the one of n runs in order of key that the row is in; the first ones are larger by one row if need be."""
+    total = df.agg(F.count(F.lit(1)).alias("_t"))
+    size, more = F.floor(F.col("_t") / n), F.col("_t") % n
+    at = F.col("_rank") - 1
+    big = more * (size + 1)
+    number = F.when(at < big, F.floor(at / (size + 1))).otherwise(more + F.floor((at - big) / F.greatest(size, F.lit(1))))
+    return ranked(df, key, "_rank").crossJoin(F.broadcast(total)).withColumn(name, number.cast("int")).drop("_rank", "_t")  # one row
+
+
 def group_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
     """df with fold: groups, largest first, each to the fold with the fewest rows so far (the first of equal ones).
 

@@ -20,4 +20,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from . import cleaning, forecasts, grids, joining, learning, sampling, seasons, serving, series, streams  # noqa: E402, F401
+from . import cleaning, forecasts, grids, joining, learning, sampling, seasons, serving, series, streams, workflows  # noqa: E402, F401

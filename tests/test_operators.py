@@ -268,3 +268,13 @@ def test_text_sources(spark):
     assert rows[0].j == D(2023, 2, 14) and rows[1].t == dt.datetime(2019, 1, 15, 2, 43, 52) and rows[2].j is None and rows[3].l == "unknown"
     with pytest.raises(FileNotFoundError):
         text.first_readable(spark, ["/nowhere/at/all"])
+
+
+def test_ranks(spark):
+    rng = random.Random(8)
+    xs = [rng.randrange(500) + i / 1000 for i in range(317)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    assert {r.x: r["rank"] for r in sampling.ranked(df, "x").collect()} == {x: i + 1 for i, x in enumerate(sorted(xs))}
+    folds = sorted((r.x, r.fold) for r in sampling.runs(df, "x", 5).collect())
+    assert [f for _, f in folds] == [0] * 64 + [1] * 64 + [2] * 63 + [3] * 63 + [4] * 63
+    assert [r.fold for r in sampling.runs(df.limit(2), "x", 5).orderBy("x").collect()] == [0, 1]
