@@ -1,23 +1,4 @@
-"""Registry of the climate queries and of the SQL that they are checked against."""
+"""All climate queries and their SQL."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    """Register a function (spark, sf_dir) -> DataFrame by its name, with DuckDB SQL where SQL can express it."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-from . import cleaning, forecasts, grids, joining, learning, sampling, seasons, serving, series, streams, workflows  # noqa: E402, F401
+from . import cleaning, forecasts, grids, joining, learning, sampling, seasons, serving, series, streams, workflows  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401

@@ -8,7 +8,7 @@ from hoarfrost.functions import calendar as cal
 from hoarfrost.operators import quality as ops
 
 from . import views as v
-from .catalogue import query
+from .registry import query
 from .seasons import rounded
 
 INVENTORY = f"{v.OBS}, v_inv AS (SELECT entity AS station_id, CAST(min(year(d)) AS INTEGER) AS first_year, CAST(max(year(d)) AS INTEGER) AS last_year FROM v_obs GROUP BY 1)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hoarfrost.operators import grid as ops
 
 from . import views as v
-from .catalogue import query
+from .registry import query
 from .seasons import rounded
 
 SIZE = "v_size AS (SELECT max(row) AS mr, max(col) AS mc FROM v_grid)"

@@ -8,7 +8,7 @@ from hoarfrost.functions import calendar as cal
 from hoarfrost.operators import joins as ops
 
 from . import views as v
-from .catalogue import query
+from .registry import query
 from .seasons import rounded
 
 LATTICE = """v_lat AS (SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 14 DAY)) AS DATE) AS center FROM (SELECT min(d) AS lo, max(d) AS hi FROM v_obs))"""

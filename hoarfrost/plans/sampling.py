@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hoarfrost.operators import sampling as ops
 
 from . import views as v
-from .catalogue import query
+from .registry import query
 from .seasons import rounded
 
 EDGE = "(SELECT min(z) AS lo, max(z) AS hi FROM v_grid)"

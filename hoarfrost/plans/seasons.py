@@ -8,7 +8,7 @@ from hoarfrost.functions import calendar as cal
 from hoarfrost.operators import season as ops
 
 from . import views as v
-from .catalogue import query
+from .registry import query
 
 THRESHOLDS = [k / 20 for k in range(1, 21)]
 

@@ -8,7 +8,7 @@ from hoarfrost.functions import calendar as cal
 from hoarfrost.operators import series as ops
 
 from . import views as v
-from .catalogue import query
+from .registry import query
 from .seasons import rounded
 
 EVENTS = v.LONG

@@ -11,7 +11,7 @@ from hoarfrost.operators import series as series_ops
 from hoarfrost.sources import text as src
 
 from . import views as v
-from .catalogue import query
+from .registry import query
 from .seasons import CLIM, COUNTS, CROSS, CURVE, SMOOTH, THRESHOLDS, WEEKS, curve, rounded
 
 

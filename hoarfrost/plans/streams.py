@@ -10,7 +10,7 @@ from hoarfrost.operators.storage import shared_dir
 from hoarfrost.streaming import ingest
 
 from . import views as v
-from .catalogue import query
+from .registry import query
 
 
 def folder_of(spark, sf_dir, parts: int = 4):

@@ -13,10 +13,10 @@ from hoarfrost.operators import sampling as sample_ops
 from hoarfrost.operators import season as season_ops
 from hoarfrost.operators import series as series_ops
 from hoarfrost.operators import training as train_ops
+from hoarfrost.operators.harmonic import harmonic_fit
 
 from . import views as v
-from .catalogue import query
-from .forecasts import harmonic_fit
+from .registry import query
 from .seasons import CLIM, COUNTS, SMOOTH, WEEKS, climatology, rounded, smoothed
 
 SCENES = "v_sc AS (SELECT scene, count(*) AS total, count(*) FILTER (lst > 20) AS valid, CASE WHEN scene % 3 = 0 THEN 'predawn' WHEN scene % 3 = 1 THEN 'evening' ELSE 'daytime' END AS kind FROM v_scene GROUP BY 1)"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hoarfrost.functions import calendar as cal
 from hoarfrost.functions import geo, stats
 from hoarfrost.operators import grid, joins, models, quality, sampling, season, series
-from hoarfrost.plans.forecasts import harmonic_fit
+from hoarfrost.operators.harmonic import harmonic_fit
 from hoarfrost.sources import text
 
 D = dt.date
