@@ -116,8 +116,9 @@ def sky_view(grid: DataFrame, z: str = "z", cell: float = 100.0, reach_m: float
 def distances(grid: DataFrame, is_target: Column, cell: float = 1.0) -> DataFrame:
     """Exact Euclidean distance of each cell to the nearest target, and that target (of equal ones the first by column, then row).
 
-    First the nearest target within the cell's column, both ways; then, within
-    each row, the least of squared offsets over its columns. Without any target
+    First the nearest target within the cell's column, both ways (windows); then,
+    within each row, the least of squared offsets over its columns (numpy on a
+    row's columns, whose other values stay with Spark). Without any target
     the distance is the diagonal of the grid.
     """
     down = _down().rowsBetween(Window.unboundedPreceding, 0)
@@ -126,14 +127,32 @@ def distances(grid: DataFrame, is_target: Column, cell: float = 1.0) -> DataFram
     one = grid.withColumn("_a", F.last(at, True).over(down)).withColumn("_b", F.first(at, True).over(up))
     above, below = F.col("row") - F.col("_a"), F.col("_b") - F.col("row")
     one = one.withColumn("_t", F.when(F.col("_b").isNull() | (above <= below), F.col("_a")).otherwise(F.col("_b")))
-    lines = one.where("_t is not null").groupBy("row").agg(F.collect_list(F.struct(F.col("col").alias("c"), F.col("_t").alias("t"))).alias("line"))  # a row's width at most
-    sq = lambda x: x * x
-    best = F.array_min(F.transform("line", lambda s: F.struct((sq(s["c"] - F.col("col")) + sq(s["t"] - F.col("row"))).alias("d2"), s["c"].alias("c"), s["t"].alias("t"))))
+    inner = F.sort_array(F.collect_list(F.struct("col", *[c for c in grid.columns if c not in ("row", "col")], "_t")))  # a row's width at most
+    lines = one.groupBy("row").agg(inner.alias("_cells"))
+
+    @F.pandas_udf("array<int>")
+    def best(row: pd.Series, cols: pd.Series, targets: pd.Series) -> pd.Series:
+        """For each cell of a row the number of the one whose column's target is nearest; -1 if there is none."""
+        out = []
+        for r, c, t in zip(row, cols, targets):
+            c, t = np.asarray(c, float), np.asarray(t, float)  # a null is NaN
+            g = np.where(np.isnan(t), np.inf, (t - r) ** 2)
+            found = np.empty(len(c), np.int32)
+            for k in range(0, len(c), 256):
+                d = (c[k : k + 256, None] - c) ** 2 + g
+                found[k : k + 256] = np.where(np.isinf(d.min(1)), -1, d.argmin(1))
+            out.append(found)
+        return pd.Series(out)
+
+    lines = lines.withColumn("_best", best("row", F.col("_cells.col"), F.transform("_cells", lambda x: x["_t"])))
+    near = F.when(F.col("x._best") >= 0, F.get("_cells", F.col("x._best")))
     size = grid.agg((F.max("row") - F.min("row") + 1).alias("_h"), (F.max("col") - F.min("col") + 1).alias("_w"))
-    out = one.join(lines, "row", "left").withColumn("_m", best).crossJoin(F.broadcast(size))  # size is one row
+    out = lines.select("row", "_cells", F.explode(F.arrays_zip("_cells", "_best")).alias("x")).withColumn("_near", near).crossJoin(F.broadcast(size))  # size is one row
+    sq = lambda x: x * x
+    d2 = sq(F.col("_near.col") - F.col("x._cells.col")) + sq(F.col("_near._t") - F.col("row"))
     far = F.sqrt((F.col("_h") * F.col("_h") + F.col("_w") * F.col("_w")).cast("double"))
-    out = out.withColumn("distance", F.coalesce(F.sqrt(F.col("_m.d2").cast("double")), far) * cell)
-    return out.select(*grid.columns, "distance", F.col("_m.t").alias("near_row"), F.col("_m.c").alias("near_col"))
+    kept = [F.col("row") if c == "row" else F.col(f"x._cells.{c}").alias(c) for c in grid.columns]
+    return out.select(*kept, (F.coalesce(F.sqrt(d2.cast("double")), far) * cell).alias("distance"), F.col("_near._t").alias("near_row"), F.col("_near.col").alias("near_col"))
 
 
 def filled(grid: DataFrame, z: str = "z", within: float = 5.0) -> DataFrame:
