@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from hoarfrost.functions import calendar as cal
@@ -49,9 +51,23 @@ def first_week_at_confidence(spark, sf_dir):
     return climatology(spark, sf_dir).groupBy("entity").agg(F.min(F.when(F.col("p") >= 0.5, F.col("week_num"))).alias("first_week"), F.round(F.max("p"), 6).alias("top"))
 
 
-@query()
+def utm_sql(source: str, lat: str = "lat", lon: str = "lon", zone: int = 17) -> str:
+    """Common tables v_t, v_x and v_utm: source with east and north, by Krueger's series."""
+    e2 = 2 * math.sqrt(geo._N) / (1 + geo._N)
+    x = " + ".join(["eta", *(f"{a!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(geo._ALPHA, 1))])
+    y = " + ".join(["xi", *(f"{a!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(geo._ALPHA, 1))])
+    k = f"{geo.SCALE * geo._RADIUS!r}::DOUBLE"
+    return f"""v_t AS (SELECT *, sinh(atanh(sin(radians({lat}))) - {e2!r}::DOUBLE * atanh({e2!r}::DOUBLE * sin(radians({lat})))) AS t, radians({lon} - ({zone * 6 - 183})) AS dl FROM {source}),
+v_x AS (SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta FROM v_t),
+v_utm AS (SELECT *, 500000.0::DOUBLE + {k} * ({x}) AS east, {k} * ({y}) AS north FROM v_x)"""
+
+
+PIXEL = "CAST(round_even((3990968.829495334::DOUBLE - north) / 100.0::DOUBLE - 0.5::DOUBLE, 0) AS INTEGER) AS row, CAST(round_even((east - 301472.366725655::DOUBLE) / 100.0::DOUBLE - 0.5::DOUBLE, 0) AS INTEGER) AS col"
+
+
+@query(v.with_(v.STATION, utm_sql("v_station"), body=f"SELECT station_id, round(east, 6) AS east, round(north, 6) AS north, {PIXEL}, round(lat, 6) AS lat_back, round(lon, 6) AS lon_back FROM v_utm"))
 def utm_lookup(spark, sf_dir):
-    """Grid pixel of every station, and the way back to degrees (tested against known points)."""
+    """Grid pixel of every station, and the way back to degrees."""
     east, north = geo.utm(F.col("lat"), F.col("lon"))
     out = v.station(spark, sf_dir).withColumn("east", east).withColumn("north", north)
     row, col = geo.pixel(F.col("east"), F.col("north"), 301472.366725655, 3990968.829495334)

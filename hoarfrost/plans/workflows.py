@@ -17,6 +17,7 @@ from hoarfrost.operators.harmonic import harmonic_fit
 
 from . import views as v
 from .registry import query
+from .serving import PIXEL, utm_sql
 from .seasons import CLIM, COUNTS, SMOOTH, WEEKS, climatology, rounded, smoothed
 
 SCENES = "v_sc AS (SELECT scene, count(*) AS total, count(*) FILTER (lst > 20) AS valid, CASE WHEN scene % 3 = 0 THEN 'predawn' WHEN scene % 3 = 1 THEN 'evening' ELSE 'daytime' END AS kind FROM v_scene GROUP BY 1)"
@@ -165,9 +166,12 @@ def point_and_label_text(spark, sf_dir):
     return v.table(spark, sf_dir, "customer").select("c_custkey", p[0].cast("double").alias("lat"), p[1].cast("double").alias("lon"), F.lower("c_mktsegment").contains("build").alias("in_context"), F.format_string("anomaly_%+.1fC", (k % 9 - 4) / 2.0).alias("label"))
 
 
-@query()
+LATTICE = "v_ll AS (SELECT CAST(floor(range / 40.0) AS INTEGER) AS i, CAST(range % 40 AS INTEGER) AS j, 36.03::DOUBLE - floor(range / 40.0) * 0.0075::DOUBLE AS lat, -83.2::DOUBLE + (range % 40) * 0.002::DOUBLE AS lon FROM range(2400))"
+
+
+@query(v.with_(v.GRID, LATTICE, utm_sql("v_ll"), f"v_at AS (SELECT i, j, {PIXEL} FROM v_utm)", body="SELECT i, j, round(z, 6) AS z FROM v_at LEFT JOIN v_grid USING (row, col)"))
 def display_reproject(spark, sf_dir):
-    """The grid on a longitude-latitude lattice for display: each target cell goes to UTM and takes the nearest source cell (tested against points)."""
+    """The grid on a longitude-latitude lattice for display: each target cell goes to UTM and takes the nearest source cell."""
     west, north = 301472.366725655, 3990968.829495334
     lattice = spark.range(60 * 40).select(F.floor(F.col("id") / 40).cast("int").alias("i"), (F.col("id") % 40).cast("int").alias("j"))
     lat, lon = 36.03 - F.col("i") * 0.0075, -83.2 + F.col("j") * 0.002
