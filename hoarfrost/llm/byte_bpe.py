@@ -216,23 +216,34 @@ def encoder(ranks_path: str, pattern: str):
     return lambda text: b"".join(map(pieces.__getitem__, split(text)))
 
 
-def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
+@cache
+def decoder(ranks_path: str):
+    """ids as little-endian bytes -> the bytes that they stand for. Needs the tokens only, not their merges."""
+    with open(ranks_path, "rb") as f:
+        ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+    return lambda ids: b"".join(map(ranks.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """docs with token_ids (binary, little-endian unsigned 32-bit) in place of text.
 
     Every match of pattern is encoded by itself, without special tokens. Null
-    and empty texts have no ids. Rows stay where they are: no shuffle. Columns
-    named token_ids are replaced.
+    and empty texts have no ids. With decoded the ids are decoded in the same
+    pass, into a column of that name (binary). Rows stay where they are: no
+    shuffle. Columns named like the new ones are replaced.
     """
-    rest = [c for c in docs.columns if c not in (text, "token_ids")]
+    new = ["token_ids", "decoded"] if decoded else ["token_ids"]
+    rest = [c for c in docs.columns if c not in (text, *new)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path, pattern)
-        for b in slices(batches):
+        encode, decode = encoder(ranks_path, pattern), decoder(ranks_path)
+        for b in slices(batches, 128):
             ids = [encode(x or "") for x in b.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [pa.array(ids, pa.binary())], names=[*rest, "token_ids"])
+            cols = [pa.array(ids, pa.binary()), *([pa.array(map(decode, ids), pa.binary())] if decoded else [])]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + cols, names=rest + new)
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*rest).schema.fields)
-    return docs.select(*rest, text).mapInArrow(run, f"{fields}token_ids binary")
+    return docs.select(*rest, text).mapInArrow(run, fields + ", ".join(f"{n} binary" for n in new))
 
 
 def decode_ids(tokens: DataFrame, ranks_path: str, ids: str = "token_ids") -> DataFrame:
@@ -240,9 +251,9 @@ def decode_ids(tokens: DataFrame, ranks_path: str, ids: str = "token_ids") -> Da
     rest = [c for c in tokens.columns if c not in (ids, "decoded")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = load_ranks(ranks_path).decode
+        decode = decoder(ranks_path)
         for b in slices(batches):
-            out = [decode(np.frombuffer(x or b"", "<u4").tolist()) for x in b.column(ids).to_pylist()]
+            out = [decode(x or b"") for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [pa.array(out, pa.binary())], names=[*rest, "decoded"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in tokens.select(*rest).schema.fields)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, quality_model, sql
-from .byte_bpe import decode_ids, encode_texts
+from .byte_bpe import encode_texts
 from .common import learnable, ship, table
 from .packing import pack, token_pieces
 from .progressive_jpeg import read_media, store_media
@@ -56,8 +56,7 @@ def op2_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    tokens = encode_texts(docs, ranks, public_tokenizers.PATTERN)
-    both = decode_ids(tokens.withColumn("ids", F.col("token_ids")), ranks, "ids")
+    both = encode_texts(docs, ranks, public_tokenizers.PATTERN, decoded=True)
     return both.select(
         "doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
