@@ -75,24 +75,26 @@ def _space_bucket() -> int:
 _SPACES = _space_bucket()
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 12, seed: int = 3) -> np.ndarray:
-    """Weights (the last is the bias) of a linear SVM with squared hinge loss, by dual coordinate descent; y is -1 or 1."""
+def linear_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 12, seed: int = 3) -> np.ndarray:
+    """Weights (the last is the bias) of a linear SVM with squared hinge loss on some rows of x, by dual coordinate descent; y (of those rows) is -1 or 1."""
     rng = np.random.default_rng(seed)
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
-    norms = np.einsum("ij,ij->i", x, x) + 1 / (2 * cost)
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
+    norms = np.array([x[r] @ x[r] for r in rows]) + 1 + 1 / (2 * cost)
+    w, bias, alpha = np.zeros(x.shape[1]), 0.0, np.zeros(len(rows))
     for _ in range(rounds):
         moved = 0.0
-        for i in rng.permutation(len(x)).tolist():
-            gradient = y[i] * (x[i] @ w) - 1 + alpha[i] / (2 * cost)
+        for i in rng.permutation(len(rows)).tolist():
+            row = x[rows[i]]
+            gradient = y[i] * (row @ w + bias) - 1 + alpha[i] / (2 * cost)
             new = max(0.0, alpha[i] - gradient / norms[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w += step * row
+                bias += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-3:
             break
-    return w
+    return np.append(w, bias)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -138,11 +140,12 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
     languages = [[n for n, f in zip(names, family) if f == g] for g in families]
     y = np.array([names.index(n) for n in langs], int)
     of = np.array([families.index(f) for f in family], int)[y] if len(y) else y
-    columns = [linear_svm(x, np.where(of == k, 1, -1)) if len(families) > 1 else np.zeros(BUCKETS + 1) for k in range(len(families))]
+    every = np.arange(len(y))
+    columns = [linear_svm(x, every, np.where(of == k, 1, -1)) if len(families) > 1 else np.zeros(BUCKETS + 1) for k in range(len(families))]
     for inside in languages:
         for a, b in combinations([names.index(n) for n in inside], 2):
-            mine = (y == a) | (y == b)
-            columns.append(linear_svm(x[mine], np.where(y[mine] == a, 1, -1)))
+            mine = np.flatnonzero((y == a) | (y == b))
+            columns.append(linear_svm(x, mine, np.where(y[mine] == a, 1, -1)))
     return Model(families, languages, np.array(columns).T if columns else np.zeros((BUCKETS + 1, 0)))
 
 
@@ -164,14 +167,17 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            out = [features(t).astype("<f4").tobytes() if t and has_letters(t) else None for t in b.column(2).to_pylist()]
+            out = [features(t).astype("<f2").tobytes() if t and has_letters(t) else None for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["id", "y", "x"])
 
     ids = docs.schema[doc_id].dataType.simpleString()
     picked = known.select(F.col(doc_id).alias("id"), F.col(lang).alias("y"), text).join(F.broadcast(chosen), ["id", "y"])  # at most rows
     found = picked.select("id", "y", text).mapInArrow(run, f"id {ids}, y string, x binary").where("x is not null").orderBy("id", "y", "x").limit(rows).collect()
-    x = np.array([np.frombuffer(r.x, "<f4") for r in found]) if found else np.zeros((0, BUCKETS), "f4")
-    return fit(x, [r.y for r in found])
+    x, langs = np.zeros((len(found), BUCKETS), "f4"), [r.y for r in found]
+    for i, r in enumerate(found):
+        x[i] = np.frombuffer(r.x, "<f2")
+    del found
+    return fit(x, langs)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
