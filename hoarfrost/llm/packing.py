@@ -9,6 +9,7 @@ is dealt anew and packed again; the new packing stands if it has fewer bins.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -25,14 +26,31 @@ from .common import arrow_schema, made, slices, written
 PARTITION_PIECES, ROUNDS = 50_000, 2
 
 
+def byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte in a byte-level vocabulary: printable Latin-1 ones for themselves, the others from code point 256 on, in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)}
+
+
 @cache
 def encoder(tokenizer_path: str, pattern: str):
-    """text -> ids as little-endian bytes. The tokenizer splits by pattern and merges within pieces, so pieces are encoded once and kept."""
+    """text -> ids as little-endian bytes. The tokenizer splits by pattern and merges within pieces, so pieces are encoded once and kept.
+
+    A plain byte-level tokenizer (no normalizer, no other pre-tokenizer) is
+    asked through its model, which spares what encode() does about a text.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
     tokenizer.encode_special_tokens = True
-    split, pieces = splitter(pattern), Pieces(lambda piece: tokenizer.encode(piece, add_special_tokens=False).ids, 350_000)
+    form = json.loads(tokenizer.to_str())
+    if form["normalizer"] is None and form["pre_tokenizer"]["type"] == "ByteLevel" and not form["pre_tokenizer"]["add_prefix_space"]:
+        signs, merge = byte_signs(), tokenizer.model.tokenize
+        encode = lambda piece: [t.id for t in merge(piece.encode().decode("latin-1").translate(signs))]
+    else:
+        encode = lambda piece: tokenizer.encode(piece, add_special_tokens=False).ids
+    split, pieces = splitter(pattern), Pieces(encode, 350_000)
     return lambda text: b"".join(map(pieces.__getitem__, split(text)))
 
 

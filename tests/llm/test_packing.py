@@ -100,3 +100,11 @@ def test_frame(spark):
     assert packing.pack(pieces.limit(0), 2048).count() == 0
     odd = spark.createDataFrame([(1, None), (2, 0), (3, 9), (4, 3)], "doc_id long, length long")
     assert {r.doc_id: r.offset for r in packing.pack(odd, 8).collect()} == {1: None, 2: None, 3: None, 4: 0}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("theanding 's\n\té\x00<|endoftext|>"), st.characters(codec="utf-8")), max_size=60))
+def test_ids_equal_the_tokenizer(text):
+    t = test_ids_equal_the_tokenizer.t = getattr(test_ids_equal_the_tokenizer, "t", None) or Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    assert np.frombuffer(packing.encoder(PATH, P.PATTERN)(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
