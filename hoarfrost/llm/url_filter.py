@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import slices, written
 
-#: Longest word and longest name that is split (host labels have 63 characters at most; a longer piece is one word).
-LONGEST_WORD, LONGEST_NAME = 24, 63
+#: Longest word.
+LONGEST_WORD = 24
 #: Hashed word features of the naive Bayes model: what it sends to the driver and back is bounded by this.
 FEATURES = 1 << 16
 
@@ -110,21 +110,20 @@ def segment_names(names: DataFrame, counts: DataFrame) -> DataFrame:
     """names (name) -> (name, words): each distinct name split by unigram Viterbi with counts (word, n).
 
     A name's substrings are joined with the counted words, so no vocabulary is
-    sent around; what comes together for a name is bounded by its length (at
-    most LONGEST_NAME; longer names are one word). A word's cost is the negative
-    logarithm of its share; a whole name seen twice at most is no word merely
-    because it occurs.
+    sent around; what comes together for a name is bounded by its length. Names
+    are known by hashes meanwhile: names with one hash would merely share the
+    words that they are looked up in. A word's cost is the negative logarithm
+    of its share; a whole name seen twice at most is no word merely because it
+    occurs.
     """
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    distinct = names.select("name").distinct()
-    short = distinct.where(F.length("name") <= LONGEST_NAME)
-    starts = F.explode(F.sequence(F.lit(1), F.length("name")))
-    sizes = F.explode(F.sequence(F.lit(2), F.least(F.lit(LONGEST_WORD), F.length("name") - F.col("at") + 1)))
-    parts = short.where(F.length("name") > 1).select("name", starts.alias("at")).where(F.col("at") < F.length("name")).select("name", "at", sizes.alias("len")).select("name", F.expr("substr(name, at, len)").alias("word"))
-    found = parts.distinct().join(counts, "word")
-    found = short.select("name", F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("n")).unionByName(found.select("name", "word", "n"))
+    distinct = names.select("name").distinct().withColumn("id", F.xxhash64("name"))
+    starts = F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda at: F.substring(F.col("name"), at, F.lit(LONGEST_WORD)))
+    heads = distinct.where(F.length("name") > 1).select("id", F.explode(starts).alias("head")).where(F.length("head") > 1)
+    parts = heads.select("id", F.explode(F.transform(F.sequence(F.lit(2), F.length("head")), lambda n: F.substring(F.col("head"), F.lit(1), n))).alias("word"))
+    known = parts.distinct().join(counts, "word").groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("known"))
     unknown = math.log(max(2, total))
-    grouped = found.groupBy("name").agg(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("word", "n"))).alias("known"))
+    grouped = distinct.join(known, "id", "left").select("name", F.coalesce("known", F.array().cast("array<struct<word:string,n:bigint>>")).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -134,8 +133,7 @@ def segment_names(names: DataFrame, counts: DataFrame) -> DataFrame:
                 out.append(viterbi(name, cost, unknown / 2))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=["name", "words"])
 
-    split = grouped.mapInArrow(run, "name string, words array<string>")
-    return split.unionByName(distinct.where(F.length("name") > LONGEST_NAME).select("name", F.array("name").alias("words")))
+    return grouped.mapInArrow(run, "name string, words array<string>")
 
 
 def url_words(urls: DataFrame, counts: DataFrame) -> DataFrame:

@@ -61,3 +61,16 @@ def test_bayes_against_brute_force(spark):
         want = math.log((blocked[w] + 1) / (5 + 3)) - math.log((allowed[w] + 1) / (6 + 3))
         assert abs(model.words[s] - want) < 1e-9
     assert abs(model.prior - math.log(4 / 5)) < 1e-9
+
+
+def test_names_of_any_length_are_split(spark):
+    counts = {"cheap": 5, "pills": 4, "che": 1, "ap": 2, "pill": 3, "s": 1, "straße": 9, "xcheap": 2}
+    names = ["cheappills", "pillscheap" * 20, "x", "straßecheap", "q" * 70, "s", "xcheap"]
+    table = spark.createDataFrame(list(counts.items()), "word string, n long")
+    got = {r.name: r.words for r in uf.segment_names(spark.createDataFrame([(n,) for n in names * 2], "name string"), table).collect()}
+    total = sum(counts.values())
+    for name in names:
+        cost = {w: math.log(total / n) + 1 for w, n in counts.items() if len(w) < len(name) or n > 2}
+        cost = {w: c for w, c in cost.items() if len(w) > 1}
+        assert got[name] == uf.viterbi(name, cost, math.log(total) / 2)
+    assert len(got) == len(names) and got["pillscheap" * 20] == ["pills", "cheap"] * 20
