@@ -161,15 +161,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """docs with one row of each component: that of the smallest id (a null id only where there is no other; of rows alike any one).
 
-    Rows are known by a hash of id and text, so only hashes and fingerprints
-    are compared; the texts are shuffled once, to keep the chosen rows.
+    Rows are known by their id and a hash of id and text, so only hashes and
+    fingerprints are compared; the texts are shuffled once, to keep the chosen
+    rows. Rows of different ids are never taken for each other.
     """
     keyed = docs.withColumn("_key", F.xxhash64(doc_id, text))
     marks = written(fingerprints(keyed, doc_id, "_key", text=text), "fingerprints")
     first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_key").alias("key")))
     by_fp = marks.groupBy("fp").agg(first.alias("first"))  # summed before the shuffle, whatever the number of copies
-    kept = by_fp.join(_rooted(marks, distance), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"))
-    return keyed.join(written(kept, "kept"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    kept = by_fp.join(_rooted(marks, distance), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_k"), F.col("first.id").alias("_i"))
+    chosen = (F.col("_key") == F.col("_k")) & F.col(doc_id).eqNullSafe(F.col("_i"))
+    return keyed.join(written(kept, "kept"), chosen, "left_semi").dropDuplicates(["_key", doc_id]).drop("_key")
 
 
 def hex_fingerprint(fp: Column) -> Column:
