@@ -7,14 +7,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, made, slices, utf8, written
 from .components import connected
+from .near_copies import marked, rooted, shingle_hashes
 
-BITS, DISTANCE, SEED = 64, 3, 42
+BITS, DISTANCE = 64, 3
 #: Largest bucket that goes to one task; larger ones are split by more blocks. Never below 2**12, see split().
 BUCKET = 4096
 
@@ -25,18 +25,9 @@ def simhash(text: bytes, width: int = 3) -> int:
     A-Z are lower-cased; shingles are width words, repeats included; a shorter
     text is one shingle, and a text without words has fingerprint zero.
     """
-    words = text.lower().split()
-    if not words:
+    hashes = shingle_hashes(text, width)
+    if not len(hashes):
         return 0
-    joined = b" ".join(words)
-    n = len(words) - width + 1
-    if n <= 1:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *ends[: n - 1].tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())), np.uint64, n)
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         block = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -158,17 +149,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marks.join(named, F.col("fp") == F.col("_fp"), "left").select(doc_id, "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """docs with one row of each component: that of the smallest id (a null id only where there is no other; of rows alike any one).
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component of near copies: that of the smallest id (a null id only where there is no other; of rows alike any one).
 
-    Rows are known by a hash of id and text, so only hashes and fingerprints
-    are compared; the texts are shuffled once, to keep the chosen rows.
+    Near copies share 0.8 or more of their five-word shingles (see
+    near_copies); texts without words are copies of each other. Rows are known
+    by a hash of id and text, so only hashes are compared; the texts are
+    shuffled to get the shingles of those that share a band, and to keep the
+    chosen rows.
     """
     keyed = docs.withColumn("_key", F.xxhash64(doc_id, text))
-    marks = written(fingerprints(keyed, doc_id, "_key", text=text), "fingerprints")
+    marks = written(marked(keyed, doc_id, "_key", text=text), "marks")
     first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_key").alias("key")))
-    by_fp = marks.groupBy("fp").agg(first.alias("first"))  # summed before the shuffle, whatever the number of copies
-    kept = by_fp.join(_rooted(marks, distance), "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"))
+    by_sig = written(marks.groupBy("sig").agg(first.alias("first")), "nodes")  # summed before the shuffle, whatever the number of copies
+    keys = written(marks.select(F.explode("bands").alias("band"), "sig").distinct(), "keys")
+
+    def texts_of(sigs: DataFrame) -> DataFrame:
+        wanted = written(sigs.join(by_sig, "sig").select("sig", F.col("first.key").alias("_key")), "wanted")
+        return keyed.select("_key", text).join(wanted, "_key")
+
+    roots = rooted(by_sig.select("sig"), keys, texts_of, text)
+    kept = by_sig.join(roots, "sig").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"))
     return keyed.join(written(kept, "kept"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
