@@ -41,13 +41,19 @@ BASE_RULES = (
     Rule("access", rb"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", rb"[0-9a-f]+", 0, 24),
 )
+#: A key from its BEGIN line through the END line of the same name, whatever is between (but no other BEGIN). Without that END line:
+#: through all base64 lines and header fields that follow. Line breaks may be written as \\n or \\r, or be spaces before long runs.
+PRIVATE_KEY = (
+    rb"-----BEGIN ([A-Z ]{0,40})PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1PRIVATE KEY-----|"
+    rb"(?:(?:\s|\\[rn])++(?:(?:Proc-Type|DEK-Info|Comment|Version|Charset|Hash):[^\r\n\\]*+|[A-Za-z0-9+/=]{16,}+|[A-Za-z0-9+/=]++(?=[\x20\t]*+(?:\Z|[\r\n]|\\[rn]))))*+)"
+)
 # Public formats of keys and tokens.
 MORE_RULES = (
-    Rule("private_key", rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("host_token", rb"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", rb"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", rb"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("url_login", rb"[a-z]{2,16}://[A-Za-z0-9._-]{1,64}:[^\x00-\x20:/@]{3,64}@"),
+    Rule("url_login", rb"[a-z]{2,16}://[A-Za-z0-9._-]+:[^\x00-\x20:/@]{3,}@"),
 )
 RULES = BASE_RULES + MORE_RULES
 

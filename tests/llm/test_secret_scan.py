@@ -49,3 +49,28 @@ def test_frame(spark):
     masked = {r.text for r in ss.redact_secrets(docs).collect()}
     assert masked == {None, "", "é [assign] end", "[hex] [assign]"}
     assert ss.scan_secrets(docs.limit(0)).count() == 0
+
+
+def test_whole_keys_go(spark):
+    """No part of a key or password is left in the redacted text."""
+    body = ["MIIEpAIBAAKCAQEA" + "Qx7+/Zk9" * 6 + str(k) for k in range(5)] + ["kT3q=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    whole = "\n".join([begin, *body, end])
+    texts = {
+        "a " + whole + " b": "a [private_key] b",
+        "a " + whole + "\n" + whole + " b": "a [private_key]\n[private_key] b",
+        "a " + whole.replace("\n", "\r\n") + " b": "a [private_key] b",
+        '{"key": "' + whole.replace("\n", "\\n") + '\\n"}': '{"key": "[private_key]\\n"}',
+        "a " + whole.replace("\n", " ") + " b": "a [private_key] b",
+        "a " + "\n".join([begin, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,3F17", "", *body, end]) + " b": "a [private_key] b",
+        "a " + "\n".join([begin, *body]) + "\n\nand so on": "a [private_key]\n\nand so on",
+        "a " + "\n".join([begin, *body]): "a [private_key]",
+        "a " + "\n".join([begin, *body]) + "\n" + whole + " b": "a [private_key]\n[private_key] b",
+        begin + " is how a key starts": "[private_key] is how a key starts",
+        "git clone https://x:" + "t0Ken_" * 40 + "@host/r": "git clone [url_login]host/r",
+        "see ftp://" + "user." * 40 + ":pass%21word@host": "see [url_login]host",
+    }
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r.text for r in ss.redact_secrets(docs.coalesce(1)).collect()] == list(texts.values())
+    many = (begin + "\n" + "QUJD" * 16 + "\n") * 20_000  # no END: linear all the same
+    assert len(ss.find_spans([many.encode()], ss.RULES[3:4])[0]) == 20_000
