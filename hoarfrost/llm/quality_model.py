@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import learnable, slices, utf8
+from .common import learnable, slices, utf8, written
 
 #: Words of a passage; buckets of hashed character pairs; size of encodings and of attention.
 PASSAGE_WORDS, BUCKETS, ENCODING, ATTENTION = 64, 64, 24, 12
-#: Labelled rows that are learnt from at most, and the passages of each of them that training looks at (evenly spread; scoring sees all).
-SAMPLE_ROWS, TRAIN_PASSAGES = 4000, 24
+#: Labelled rows that are learnt from at most, and the passages that these rows have in all at most. A row comes with all its passages or not at all.
+SAMPLE_ROWS, SAMPLE_PASSAGES = 4000, 96_000
 
 _KINDS = np.full(256, 7, np.int64)
 for _k, _chars in enumerate([b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:'\"-", b"!?", None]):
@@ -168,28 +168,32 @@ def sampled(labels: DataFrame, target: str, rows: int = SAMPLE_ROWS, doc_id: str
     return known.groupBy(doc_id).agg(F.max(target).alias(target)).orderBy(F.xxhash64(doc_id, F.lit(17)), doc_id).limit(rows)
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text", limit: int = SAMPLE_PASSAGES) -> Model:
     """Learn from the texts of at most rows labelled documents, never from ids that learnable() holds out.
 
-    The passages are encoded as features by Spark; what reaches the driver is
-    bounded by rows * TRAIN_PASSAGES * FEATURES numbers. Of several rows of one
-    id the label is the largest. No labels, or labels of one kind only, give a
-    constant model.
+    Every passage of a learnt row is encoded as features by Spark. Rows are
+    taken in the order of their hashed ids while their passages are limit or
+    fewer in all (the first one always), so limit * FEATURES numbers bound
+    what reaches the driver by fewer rows, never by parts of texts. Of several
+    rows of one id the label is the largest. No labels, or labels of one kind
+    only, give a constant model.
     """
     chosen = sampled(labels, target, rows, doc_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            out = []
-            for t in utf8(b, text):
-                parts = passages(t)
-                pick = np.unique(np.linspace(0, len(parts) - 1, min(len(parts), TRAIN_PASSAGES)).round().astype(int))
-                out.append(features([parts[i] for i in pick]).astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["id", "y", "x"])
+            out = [features(passages(t)).astype("<f4").tobytes() for t in utf8(b, text)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) // (4 * FEATURES) for x in out], pa.int64()), pa.array(out, pa.binary())], names=["id", "y", "n", "x"])
 
     picked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias(text)).join(F.broadcast(chosen.select(F.col(doc_id).alias("id"), F.col(target).cast("int").alias("y"))), "id")  # at most rows
     ids = docs.schema[doc_id].dataType.simpleString()
-    found = picked.select("id", "y", text).mapInArrow(run, f"id {ids}, y int, x binary").orderBy("id", "x").limit(rows).collect()
+    encoded = written(picked.select("id", "y", text).mapInArrow(run, f"id {ids}, y int, n long, x binary"), "encoded")
+    rank = F.xxhash64("id", F.lit(17))
+    sizes = encoded.groupBy("id").agg(F.sum("n").alias("n")).orderBy(rank, "id").limit(rows).collect()
+    whole = np.cumsum([r.n for r in sizes])
+    last = sizes[max(1, int(np.searchsorted(whole, limit, "right"))) - 1 :][:1]  # the last id that fits
+    fits = F.struct(rank, "id") <= F.struct(F.xxhash64(F.lit(last[0].id).cast(ids), F.lit(17)), F.lit(last[0].id).cast(ids)) if last else F.lit(False)
+    found = encoded.where(fits).select("id", "y", "x").orderBy("id", "x").limit(rows).collect()
     return fit([np.frombuffer(r.x, "<f4").reshape(-1, FEATURES).astype(float) for r in found], np.array([float(r.y > 0) for r in found]))
 
 

@@ -78,3 +78,19 @@ def test_held_out_accuracy(spark):
     quality = registry.QUERIES["op10_attention_quality"](spark, SF).where("held_out")
     n, right = quality.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").selectExpr("count(*)", "sum(cast(quality = predicted as int))").first()
     assert n > 50 and right / n > 0.93
+
+
+def test_training_reads_every_passage(spark, monkeypatch):
+    """Long labelled texts come whole; a bound on passages takes rows away, not parts of texts."""
+    seen = []
+    monkeypatch.setattr(quality_model, "fit", lambda bags, labels: seen.append([len(b) for b in bags]))
+    docs = spark.createDataFrame([(i, "plain word " * 32 * n) for i, n in enumerate([1, 40, 313, 2, 80] * 4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    learnt = [r.doc_id for r in quality_model.sampled(labels, "quality").collect()]
+    size = dict(enumerate([1, 40, 313, 2, 80] * 4))
+    quality_model.train(docs, labels)
+    assert seen[0] == [size[i] for i in sorted(learnt)] and max(seen[0]) == 313
+    for limit in (0, 100, 500, 900):
+        quality_model.train(docs, labels, limit=limit)
+        fits = [k for k in range(1, len(learnt) + 1) if k == 1 or sum(size[i] for i in learnt[:k]) <= limit]
+        assert seen[-1] == [size[i] for i in sorted(learnt[: max(fits)])]
