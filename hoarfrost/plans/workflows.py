@@ -46,9 +46,9 @@ def training_table(spark, sf_dir):
 @query()
 def train_and_evaluate(spark, sf_dir):
     """Training table, grouped split, forest and its metrics on held-out scenes."""
-    split = sample_ops.group_split(training(spark, sf_dir, 20_000).withColumn("doy", F.dayofyear("d")), "scene")
+    split = sample_ops.group_split(training(spark, sf_dir, 500_000).withColumn("doy", F.dayofyear("d")), "scene")
     features = model_ops.available(split, ["base", "clim", "size", "elev", "doy", "not_there"])
-    model = model_ops.fit(split.where(~F.col("is_test")), model_ops.forest(features, "lst", trees=10, depth=6))
+    model = model_ops.fit(split.where(~F.col("is_test")), model_ops.forest(features, "lst"))
     return model_ops.metrics(model.transform(split.where("is_test")), "lst", "predicted")
 
 
@@ -60,7 +60,7 @@ def gbt_frost_model(spark, sf_dir):
     anomaly = season_ops.seasonal_anomaly(v.obs(spark, sf_dir), "entity").select("entity", "frost_year", "anomaly")
     rows = p.join(anomaly, ["entity", "frost_year"]).select("entity", "week_num", "lat", "lon", "anomaly", c.alias("wc"), s.alias("ws"), stats.logit(F.col("frost_prob")).alias("y"))
     features = ["lat", "lon", "wc", "ws", "anomaly"]
-    model = model_ops.fit(rows, model_ops.boosted(features, "y", rounds=10, depth=4, rate=0.3))
+    model = model_ops.fit(rows, model_ops.boosted(features, "y"))
     base = rows.select("entity", "week_num", "lat", "lon", "wc", "ws").distinct().withColumn("anomaly", F.explode(F.array(*map(F.lit, (-1.0, 0.0, 1.0)))))
     return model.transform(base).select("entity", "week_num", "anomaly", stats.sigmoid(F.col("predicted")).alias("frost_prob"))
 
