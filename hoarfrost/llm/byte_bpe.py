@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import others, schema_of, slices, taken
 
 NEVER = 1 << 60
 
@@ -230,31 +230,31 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text: str = "te
     Every match of pattern is encoded by itself, without special tokens. Null
     and empty texts have no ids. With decoded the ids are decoded in the same
     pass, into a column of that name (binary). Rows stay where they are: no
-    shuffle. Columns named like the new ones are replaced.
+    shuffle; repeated rows give equal results, and an empty table an empty one.
+    Columns named like the new ones are replaced. A text goes whole through one
+    task, in slices with as many others as SLICE_BYTES hold.
     """
     new = ["token_ids", "decoded"] if decoded else ["token_ids"]
-    rest = [c for c in docs.columns if c not in (text, *new)]
+    rest = others(docs, text, *new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, decode = encoder(ranks_path, pattern), decoder(ranks_path)
-        for b in slices(batches, 128):
+        for b in slices(batches, text, 128):
             ids = [encode(x or "") for x in b.column(text).to_pylist()]
             cols = [pa.array(ids, pa.binary()), *([pa.array(map(decode, ids), pa.binary())] if decoded else [])]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + cols, names=rest + new)
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*rest).schema.fields)
-    return docs.select(*rest, text).mapInArrow(run, fields + ", ".join(f"{n} binary" for n in new))
+    return taken(docs, [*rest, text]).mapInArrow(run, schema_of(docs, rest, ", ".join(f"{n} binary" for n in new)))
 
 
 def decode_ids(tokens: DataFrame, ranks_path: str, ids: str = "token_ids") -> DataFrame:
     """tokens with decoded (binary) in place of the ids; null ids decode to nothing."""
-    rest = [c for c in tokens.columns if c not in (ids, "decoded")]
+    rest = others(tokens, ids, "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = decoder(ranks_path)
-        for b in slices(batches):
+        for b in slices(batches, ids, 128):
             out = [decode(x or b"") for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [pa.array(out, pa.binary())], names=[*rest, "decoded"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in tokens.select(*rest).schema.fields)
-    return tokens.select(*rest, ids).mapInArrow(run, f"{fields}decoded binary")
+    return taken(tokens, [*rest, ids]).mapInArrow(run, schema_of(tokens, rest, "decoded binary"))

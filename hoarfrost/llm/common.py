@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from hoarfrost.operators.storage import forget, shared_dir, written
+
+__all__ = ["forget", "shared_dir", "written"]
 
 #: ASCII white space, as in the word rule [^\x20\x09-\x0D]+; bytes.split() splits on just these.
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -23,12 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
 BATCH_ROWS = 1000
+#: Rows and bytes of text of the slices that Python works on; a longer text is a slice of its own.
+SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Make the session ready: short Arrow batches, and this package sent to the executors' Python, once a context, for clusters where it isn't installed."""
+    """Make the session ready: short Arrow batches, and this package sent to the executors' Python, once a context, for clusters where it isn't installed.
+
+    The batch size stays lowered in the session, since queries run after this
+    returns; a size that is lower already is left alone.
+    """
     conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(conf)) > BATCH_ROWS:
+    if not 0 < int(spark.conf.get(conf)) <= BATCH_ROWS:
         spark.conf.set(conf, str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_hoarfrost_shipped", False):
@@ -45,46 +56,64 @@ def ship(spark: SparkSession) -> None:
     sc._hoarfrost_shipped = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir. Only in local mode a temporary one is made where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hoarfrost-"))
-        path = spark.sparkContext.getCheckpointDir()
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read back: lineage ends here."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_at = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Delete what written() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def learnable(doc_id: Column) -> Column:
     """True for rows that may be learnt from: crc32(doc_id as text) mod 5 is not 0; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 != 0
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Short slices of Arrow batches, so that Python copies of texts stay small."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches of at most rows rows and size bytes of the column text (one row at least), so that Python copies stay small whatever the texts' lengths."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def short(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Slices of at most rows rows, for batches without texts."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
 
-def utf8(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
+def named(name: str) -> Column:
+    """The column of just that name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def taken(docs: DataFrame, names: list[str]) -> DataFrame:
+    return docs.select(*map(named, names))
+
+
+def fresh(columns: list[str], *wanted: str) -> list[str]:
+    """Names for columns in between: the wanted ones, lengthened until no column has them (case doesn't count)."""
+    used = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def others(docs: DataFrame, *names: str) -> list[str]:
+    """The columns besides those of these names (case doesn't count)."""
+    left_out = {n.lower() for n in names}
+    return [c for c in docs.columns if c.lower() not in left_out]
+
+
+def schema_of(docs: DataFrame, names: list[str], more: str = "") -> StructType:
+    """The types of some of docs' columns, and then those of a DDL string."""
+    fields = {f.name: f for f in docs.schema.fields}
+    return StructType([StructField(n, fields[n].dataType) for n in names] + (StructType.fromDDL(more).fields if more else []))
+
+
+def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A text column as UTF-8 bytes; null is empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 

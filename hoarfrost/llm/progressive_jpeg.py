@@ -24,9 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, utf8
+from .common import others, schema_of, slices, taken, utf8
 
 UNIT = 192
+#: Bytes of texts or media that are worked on together.
+MEDIA_BYTES = 2 << 20
 MCU_BLOCKS = 6
 BANDS = ((1, 5), (6, 63))
 #: Natural position (row * 8 + column) of each zigzag index: along the diagonals, up and down in turn.
@@ -417,30 +419,39 @@ TRANSFORM = _transform()
 
 
 def store_media(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with media (binary: a progressive JPEG of the text's padded UTF-8) and n_bytes in place of text; null is empty. No shuffle."""
-    rest = [c for c in docs.columns if c not in (text, "media", "n_bytes")]
+    """docs with media (binary: a progressive JPEG of the text's padded UTF-8) and n_bytes in place of text; null is empty.
+
+    Equal texts give equal media, repeated rows too, and an empty table gives
+    an empty result. Columns named like the new ones are replaced. Texts go
+    through in slices of some megabytes, longer ones alone. No shuffle.
+    """
+    rest = others(docs, text, "media", "n_bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 128):
+        for b in slices(batches, text, 128, MEDIA_BYTES):
             texts = utf8(b, text)
             yield pa.RecordBatch.from_arrays(
                 [b.column(c) for c in rest] + [pa.array([write_jpeg(padded(t)) for t in texts], pa.binary()), pa.array(map(len, texts), pa.int64())], names=[*rest, "media", "n_bytes"],
             )
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*rest).schema.fields)
-    return docs.select(*rest, text).mapInArrow(run, f"{fields}media binary, n_bytes long")
+    return taken(docs, [*rest, text]).mapInArrow(run, schema_of(docs, rest, "media binary, n_bytes long"))
 
 
 def read_media(media: DataFrame, column: str = "media") -> DataFrame:
-    """media with payload (binary), height, width and rgb (binary: the height x width x 3 tensor, row by row) added; null media gives nulls."""
+    """media with payload (binary), height, width and rgb (binary: the height x width x 3 tensor, row by row) added; null media gives nulls.
+
+    Equal media give equal rows; an empty table gives an empty result. Columns
+    named like the new ones are replaced. A tensor is twice its payload, so a
+    payload of over 1 GB would pass the 2 GB that a cell can hold, in Spark as
+    elsewhere; such texts must be cut first.
+    """
     new = ["payload", "height", "width", "rgb"]
-    rest = [c for c in media.columns if c not in new]
+    rest = others(media, *new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 128):
+        for b in slices(batches, column, 128, MEDIA_BYTES):
             images = [None if x is None else Image(x) for x in b.column(column).to_pylist()]
             cols = [[None if i is None else f(i) for i in images] for f in (Image.payload, lambda i: i.height, lambda i: i.width, lambda i: i.rgb().tobytes())]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.int32(), pa.binary()))], names=rest + new)
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in media.select(*rest).schema.fields)
-    return media.select(*rest).mapInArrow(run, f"{fields}payload binary, height int, width int, rgb binary")
+    return taken(media, rest).mapInArrow(run, schema_of(media, rest, "payload binary, height int, width int, rgb binary"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, arrow_schema, made, slices, utf8, written
+from .common import WHITE, arrow_schema, fresh, made, named, others, schema_of, slices, taken, utf8, written
 
 SYMBOLS = b"#*$%&|<>"
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -49,18 +49,17 @@ def text_stats(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def with_text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without its text, with the columns of STATS; a null text has no words. One pass, no shuffle."""
-    rest = [c for c in docs.columns if c != text and c not in [x.split()[0] for x in STATS.split(", ")]]
+    """docs without its text, with the columns of STATS in place of any of those names; a null text has no words. One pass, no shuffle."""
+    rest = others(docs, text, *(x.split()[0] for x in STATS.split(", ")))
     schema = arrow_schema(STATS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, text):
             cols = list(zip(*map(text_stats, utf8(b, text)))) or [[]] * 5
             stats = made(schema, *cols)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + stats.columns, names=rest + schema.names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema.fields)
-    return docs.select(*rest, text).mapInArrow(run, f"{fields}, {STATS}" if rest else STATS)
+    return taken(docs, [*rest, text]).mapInArrow(run, schema_of(docs, rest, STATS))
 
 
 def failed(min_words: int = 50, max_repeat_pct: int = 50):
@@ -77,7 +76,7 @@ def host_verdicts(stats: DataFrame, host: str, max_rate: float = 0.5) -> DataFra
     overall rate. The shrunk rate is (failures + a) / (documents + a + b); a
     host is refused if it is over max_rate. A null host is a host of its own.
     """
-    hosts = stats.groupBy(host).agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failures"))
+    hosts = stats.groupBy(named(host).alias(host)).agg(F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failures"))
     rate = F.col("host_failures") / F.col("host_docs")
     prior = hosts.agg(
         F.count(F.lit(1)).alias("h"), F.avg(rate).alias("m"), F.var_samp(rate).alias("s2"), F.avg(1 / F.col("host_docs")).alias("inv"),
@@ -89,7 +88,7 @@ def host_verdicts(stats: DataFrame, host: str, max_rate: float = 0.5) -> DataFra
     shrunk = (F.col("host_failures") + F.col("m") * F.col("weight")) / (F.col("host_docs") + F.col("weight"))
     return (
         hosts.crossJoin(F.broadcast(prior))  # one row: the prior
-        .select(host, "host_docs", "host_failures", shrunk.alias("host_rate"), (shrunk <= max_rate).alias("host_ok"))
+        .select(named(host), "host_docs", "host_failures", shrunk.alias("host_rate"), (shrunk <= max_rate).alias("host_ok"))
     )
 
 
@@ -104,10 +103,9 @@ def host_rules(docs: DataFrame, host: str = "source", text: str = "text", max_ra
     and the join back has one small row a host, so that Spark may broadcast it
     or split a large host.
     """
-    docs = docs.drop("base_failed", "host_rate", "host_ok", "kept", "_host")
+    docs = taken(docs, others(docs, "base_failed", "host_rate", "kept"))
+    key, ok = fresh(docs.columns, "host_key", "host_fine")
     stats = written(with_text_stats(docs, text).withColumn("base_failed", failed()), "rules")
-    hosts = host_verdicts(stats, host, max_rate).select(F.col(host).alias("_host"), "host_rate", "host_ok")
-    return (
-        stats.join(hosts, stats[host].eqNullSafe(hosts["_host"]), "left")
-        .withColumn("kept", ~F.col("base_failed") & F.col("host_ok")).drop("_host", "host_ok")
-    )
+    hosts = host_verdicts(stats.select(named(host).alias(key), "base_failed"), key, max_rate).select(key, "host_rate", F.col("host_ok").alias(ok))
+    judged = stats.join(hosts, named(host).eqNullSafe(F.col(key)), "left").withColumn("kept", ~F.col("base_failed") & F.col(ok))
+    return taken(judged, [*stats.columns, "host_rate", "kept"])
