@@ -2,7 +2,8 @@
 
 Pieces are dealt into partitions of a bounded number and packed by best-fit
 decreasing. Dual-feasible functions give each partition a lower bound on its
-bins; a partition that meets it is certified and done. Partitions with a gap
+bins, and so they do for all pieces together, from the counts of their lengths.
+A packing that meets the common bound is certified and done. Else partitions
 keep their full bins and put the pieces of all others into a common pool, which
 is dealt anew and packed again; the new packing stands if it has fewer bins.
 """
@@ -10,6 +11,7 @@ is dealt anew and packed again; the new packing stands if it has fewer bins.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import Pieces, splitter
-from .common import arrow_schema, made, slices, written
+from .common import arrow_schema, fresh, made, named, others, schema_of, slices, taken, written
 
 #: Pieces that one task packs, and rounds of repacking after the first.
 PARTITION_PIECES, ROUNDS = 50_000, 2
@@ -38,20 +40,29 @@ def encoder(tokenizer_path: str, pattern: str):
     """text -> ids as little-endian bytes. The tokenizer splits by pattern and merges within pieces, so pieces are encoded once and kept.
 
     A plain byte-level tokenizer (no normalizer, no other pre-tokenizer) is
-    asked through its model, which spares what encode() does about a text.
+    asked through its model, which spares what encode() does about a text. A
+    text that holds one of its added tokens (such as an end mark) is encoded
+    whole by the tokenizer, which gives these ids of their own.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True
     form = json.loads(tokenizer.to_str())
+    added = "|".join(re.escape(t["content"]) for t in form["added_tokens"])
+    special = re.compile(added, re.IGNORECASE if form["normalizer"] else 0).search if added else lambda text: None
     if form["normalizer"] is None and form["pre_tokenizer"]["type"] == "ByteLevel" and not form["pre_tokenizer"]["add_prefix_space"]:
         signs, merge = byte_signs(), tokenizer.model.tokenize
         encode = lambda piece: [t.id for t in merge(piece.encode().decode("latin-1").translate(signs))]
     else:
         encode = lambda piece: tokenizer.encode(piece, add_special_tokens=False).ids
     split, pieces = splitter(pattern), Pieces(encode, 350_000)
-    return lambda text: b"".join(map(pieces.__getitem__, split(text)))
+
+    def ids(text: str) -> bytes:
+        if special(text):
+            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(pieces.__getitem__, split(text)))
+
+    return ids
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, pattern: str, size: int, end: int = 0, text: str = "text") -> DataFrame:
@@ -59,15 +70,17 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, pattern: str, size: int,
 
     A document is its ids and then the id end. Only one of over size ids is
     cut, into pieces of size; the first may be shorter. Null and empty texts
-    are one piece, the id end. No shuffle; extra columns stay.
+    are one piece, the id end. Repeated rows give pieces each, and an empty
+    table none. No shuffle; extra columns stay, those named like the new ones
+    are replaced.
     """
     new = "piece int, start long, length long, ids_crc32 long"
-    rest = [c for c in docs.columns if c not in (text, *(x.split()[0] for x in new.split(", ")))]
+    rest = others(docs, text, *(x.split()[0] for x in new.split(", ")))
     schema, tail = arrow_schema(new), np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, pattern)
-        for b in slices(batches):
+        for b in slices(batches, text):
             row, piece, start, length, crc = [], [], [], [], []
             for i, t in enumerate(b.column(text).to_pylist()):
                 ids = encode(t or "") + tail
@@ -82,26 +95,27 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, pattern: str, size: int,
             own = made(schema, piece, start, length, crc)
             yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(row, pa.int64())) for c in rest] + own.columns, names=rest + schema.names)
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*rest).schema.fields)
-    return docs.select(*rest, text).mapInArrow(run, fields + new)
+    return taken(docs, [*rest, text]).mapInArrow(run, schema_of(docs, rest, new))
 
 
 def lower_bound(lengths: np.ndarray, size: int) -> int:
-    """Bins that any packing needs: the best of two families of dual-feasible functions, in integers.
+    """Bins that any packing of the lengths needs."""
+    return counted_bound(np.bincount(lengths, minlength=size + 1), size)
+
+
+def counted_bound(count: np.ndarray, size: int) -> int:
+    """Bins that count[n] pieces of each length n need: the best of two families of dual-feasible functions, in integers.
 
     First: for a threshold t up to size / 2, lengths over size - t count as a
     whole bin, those under t as nothing. Second: for k, a length counts as the
     share floor((k + 1) * length / size) / k, or as itself where that is whole.
     """
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=size + 1)
     at = np.arange(size + 1)
     number, total = np.cumsum(count), np.cumsum(count * at)
     t = np.arange(1, size // 2 + 1)
     whole = number[size] - number[size - t]
     middle = total[size - t] - total[t - 1]
-    best = max(int(-(-total[size] // size)), int((whole + -(-middle // size)).max()))
+    best = max([int(-(-total[size] // size)), *(whole + -(-middle // size)).tolist()])
     for k in range(1, 33):
         scaled = (k + 1) * at
         share = np.where(scaled % size == 0, at * k, scaled // size * size)  # in units of 1 / (k * size)
@@ -167,29 +181,36 @@ def pack(pieces: DataFrame, size: int, length: str = "length", rounds: int = ROU
     """pieces with sequence_id and offset: sequences of size at most, as few as best-fit decreasing and its repacking find.
 
     Only row numbers and lengths are shuffled to be packed, PARTITION_PIECES a
-    task or so. A length that is null, under 1 or over size gets no sequence
-    (nulls). Repeated rows are pieces of their own.
+    task or so. If the packing has more bins than the bound for all pieces,
+    every bin with room goes to the pool, also those of partitions that meet
+    their own bound: each of these has a last bin that is part-filled. A length
+    that is null, under 1 or over size gets no sequence (nulls). Repeated rows
+    are pieces of their own; of equal lengths the order of rows decides. An
+    empty table gives an empty result; columns named like the new ones are
+    replaced.
     """
-    numbered = written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    todo = numbered.select(F.col("_row").alias("row"), F.col(length).cast("long").alias("length")).where(F.col("length").between(1, size))
-    n = todo.count()
-    placed, first = None, 0
-    now = _pack(todo, n, 0, size)
+    row, own = fresh(pieces.columns, "row_number", "placed_row")
+    numbered = written(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    todo = numbered.select(named(row).alias("row"), named(length).cast("long").alias("length")).where(F.col("length").between(1, size))
+    count = np.zeros(size + 1, np.int64)
+    for r in todo.groupBy("length").count().collect():  # at most size rows
+        count[r["length"]] = r["count"]
+    bound, settled_bins = counted_bound(count, size), 0
+    placed = None
+    now = _pack(todo, int(count.sum()), 0, size)
     for k in range(rounds + 1):
-        # Bins of a certified partition stay, as do full bins of the others; the rest may be packed anew.
-        settled = (F.col("gap") <= 0) | F.col("full")
-        open_, bins = now.where(~settled).agg(F.count(F.lit(1)), F.count_distinct("slot", "bin")).first()
+        bins, open_, rest = now.agg(F.count_distinct("slot", "bin"), F.coalesce(F.sum((~F.col("full")).cast("long")), F.lit(0)), F.count_distinct(F.when(~F.col("full"), F.struct("slot", "bin")))).first()
         again = None
-        if k < rounds and open_:
-            again = _pack(now.where(~settled).select("row", "length"), open_, k + 1, size)
-            fewer = again.agg(F.count_distinct("slot", "bin")).first()[0] < bins
-            again = again if fewer else None
-        kept = now.where(settled) if again is not None else now
-        part = kept.select("row", "offset", F.struct(F.lit(first).alias("round"), "slot", "bin").alias("at"))
+        if k < rounds and settled_bins + bins > bound:
+            again = _pack(now.where(~F.col("full")).select("row", "length"), open_, k + 1, size)
+            again = again if again.agg(F.count_distinct("slot", "bin")).first()[0] < rest else None
+        kept = now.where("full") if again is not None else now
+        part = kept.select(F.col("row").alias(own), "offset", F.struct(F.lit(k).alias("round"), "slot", "bin").alias("at"))
         placed = part if placed is None else placed.unionByName(part)
         if again is None:
             break
-        now, first = again, first + 1
-    ids = placed.select("row", "offset", (F.shiftleft(F.col("at.round").cast("long"), 56) + F.shiftleft(F.col("at.slot"), 24) + F.col("at.bin")).alias("sequence_id"))
-    rest = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    return numbered.select(*rest, "_row").join(ids, F.col("_row") == ids["row"], "left").select(*rest, "sequence_id", "offset")
+        now, settled_bins = again, settled_bins + bins - rest
+    ids = placed.select(own, "offset", (F.shiftleft(F.col("at.round").cast("long"), 56) + F.shiftleft(F.col("at.slot"), 24) + F.col("at.bin")).alias("sequence_id"))
+    rest = others(pieces, "sequence_id", "offset")
+    joined = taken(numbered, [*rest, row]).join(ids, named(row) == F.col(own), "left")
+    return taken(joined, [*rest, "sequence_id", "offset"])
