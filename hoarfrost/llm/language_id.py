@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import learnable, slices, written
+from .common import learnable, named, others, schema_of, slices, taken, written
 
 #: Buckets of hashed n-grams; labelled rows that are learnt from at most (shared out evenly to the languages).
 BUCKETS, SAMPLE_ROWS = 4096, 4000
+#: Characters of a text that are looked at together.
+BLOCK = 1 << 20
 UNKNOWN = "und"
 
 # ISO 639-1 codes by family. Another code is a family of its own.
@@ -47,22 +49,22 @@ def has_letters(text: str) -> bool:
 
 
 def features(text: str) -> np.ndarray:
-    """Roots of the counts of hashed bigrams and trigrams, of length 1. Case and ASCII marks don't count."""
+    """Roots of the counts of hashed bigrams and trigrams, of length 1, in half precision. Case and ASCII marks don't count."""
     out = np.zeros(BUCKETS)
     text = f" {text.lower()} "
-    for at in range(0, len(text), 1 << 20):
-        c = np.frombuffer(text[at : at + (1 << 20) + 2].encode("utf-32-le", "surrogatepass"), "<u4")
+    for at in range(0, len(text), BLOCK):
+        c = np.frombuffer(text[at : at + BLOCK + 2].encode("utf-32-le", "surrogatepass"), "<u4")
         low = c < 128
         c = np.where(low, _FOLD[np.where(low, c, 0)], c).astype(np.uint32)
         two = c[:-1] * np.uint32(2654435761) + c[1:] * np.uint32(40503)
         three = two[:-1] * np.uint32(31) + c[2:] * np.uint32(2246822519)
-        for h in (two, three):
+        for h in (two[:BLOCK], three):  # each starts in this block, so none is counted twice
             h ^= h >> np.uint32(15)
             h *= np.uint32(2246822519)
             out += np.bincount(h >> np.uint32(20), minlength=BUCKETS)
     out[int(_SPACES)] = 0
     out = np.sqrt(out)
-    return out / max(np.linalg.norm(out), 1e-9)
+    return (out / max(np.linalg.norm(out), 1e-9)).astype("<f2").astype(float)
 
 
 def _space_bucket() -> int:
@@ -155,24 +157,25 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text
     Those with the smallest hashes of their ids are taken; of a frequent
     language only the hashes under a bound that leaves about four times as many
     are ordered. Rows with a null id, language or text, or a text without
-    letters, aren't learnt from.
+    letters, aren't learnt from. Rows of one id and language all take part, as
+    one of the rows; an empty table gives a model that answers UNKNOWN.
     """
-    known = docs.where(learnable(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).isNotNull())
-    counts = written(known.groupBy(F.col(lang).alias("y")).agg(F.count(F.lit(1)).alias("rows")), "languages")
+    known = docs.select(named(doc_id).alias("id"), named(lang).alias("y"), named(text).alias("text"))
+    known = known.where(learnable(F.col("id")) & F.col("y").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull())
+    counts = written(known.groupBy("y").agg(F.count(F.lit(1)).alias("rows")), "languages")
     each = max(1, rows // max(1, counts.count()))
-    mark = F.xxhash64(doc_id, F.lit(23))
-    low = known.select(doc_id, lang, mark.alias("mark")).join(counts, F.col(lang) == F.col("y")).where(F.pmod("mark", F.lit(1_000_000)) * F.col("rows") <= 4_000_000 * each + 1_000_000 * 20)
-    best = low.withColumn("n", F.row_number().over(Window.partitionBy(lang).orderBy(F.pmod("mark", F.lit(1_000_000)), "mark", doc_id))).where(F.col("n") <= each)
-    chosen = best.select(F.col(doc_id).alias("id"), "y").distinct().limit(rows)
+    mark = F.xxhash64("id", F.lit(23))
+    low = known.select("id", "y", mark.alias("mark")).join(counts, "y").where(F.pmod("mark", F.lit(1_000_000)) * F.col("rows") <= 4_000_000 * each + 1_000_000 * 20)
+    best = low.distinct().withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy(F.pmod("mark", F.lit(1_000_000)), "mark", "id"))).where(F.col("n") <= each)
+    chosen = best.select("id", "y").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, "text"):
             out = [features(t).astype("<f2").tobytes() if t and has_letters(t) else None for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["id", "y", "x"])
 
-    ids = docs.schema[doc_id].dataType.simpleString()
-    picked = known.select(F.col(doc_id).alias("id"), F.col(lang).alias("y"), text).join(F.broadcast(chosen), ["id", "y"])  # at most rows
-    found = picked.select("id", "y", text).mapInArrow(run, f"id {ids}, y string, x binary").where("x is not null").orderBy("id", "y", "x").limit(rows).collect()
+    picked = known.join(F.broadcast(chosen), ["id", "y"])  # at most rows
+    found = picked.select("id", "y", "text").mapInArrow(run, schema_of(known, ["id", "y"], "x binary")).where("x is not null").orderBy("id", "y", "x").limit(rows).collect()
     x, langs = np.zeros((len(found), BUCKETS), "f4"), [r.y for r in found]
     for i, r in enumerate(found):
         x[i] = np.frombuffer(r.x, "<f2")
@@ -181,13 +184,18 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score in place of text: UNKNOWN and 0 for null texts and texts without letters. No shuffle."""
-    rest = [c for c in docs.columns if c not in (text, "lang_pred", "score")]
+    """docs with lang_pred and score in place of text: UNKNOWN and 0 for null texts and texts without letters.
+
+    Repeated rows are judged alike, and an empty table gives an empty result.
+    Of languages with equal votes that of the higher summed belief is taken,
+    then the first by name. Columns named like the new ones are replaced. No
+    shuffle.
+    """
+    rest = others(docs, text, "lang_pred", "score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, text):
             names, scores = model.predict(b.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*rest, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [pa.array(names, pa.string()), pa.array(np.round(scores, 9), pa.float64())], names=[*rest, "lang_pred", "score"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*rest).schema.fields)
-    return docs.select(*rest, text).mapInArrow(run, f"{fields}lang_pred string, score double")
+    return taken(docs, [*rest, text]).mapInArrow(run, schema_of(docs, rest, "lang_pred string, score double"))
