@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices, utf8
+from .common import others, schema_of, slices, taken, utf8
 
 ANY = ("any",)
 MOST = 64
@@ -52,7 +52,8 @@ MORE_RULES = (
     Rule("private_key", PRIVATE_KEY),
     Rule("host_token", rb"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", rb"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("web_token", rb"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    # Not within a longer run of its signs, and each run is taken at once: a text of many openings stays linear.
+    Rule("web_token", rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]+"),
     Rule("url_login", rb"[a-z]{2,16}://[A-Za-z0-9._-]+:[^\x00-\x20:/@]{3,}@"),
 )
 RULES = BASE_RULES + MORE_RULES
@@ -207,16 +208,20 @@ SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """docs with spans (array of kind, start, end; code points) in place of text; null and empty texts have none. No shuffle."""
-    rest = [c for c in docs.columns if c not in (text, "spans")]
+    """docs with spans (array of kind, start, end; code points) in place of text; null and empty texts have none.
+
+    Spans of different kinds may overlap; spans that start together are in the
+    order of the rules. Repeated rows have the same spans, and an empty table
+    gives an empty result. A column of that name is replaced. No shuffle.
+    """
+    rest = others(docs, text, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, text):
             spans = [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in find_spans(utf8(b, text), rules)]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [pa.array(spans, SPANS)], names=[*rest, "spans"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*rest).schema.fields)
-    return docs.select(*rest, text).mapInArrow(run, f"{fields}spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return taken(docs, [*rest, text]).mapInArrow(run, schema_of(docs, rest, "spans array<struct<kind:string,start:bigint,end:bigint>>"))
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]], mark: str = "[{}]") -> str:
@@ -234,7 +239,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, text):
             old = b.column(at).to_pylist()
             new = [redacted(t, s) if s else t for t, s in zip(old, find_spans(utf8(b, text), rules))]
             yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
