@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import learnable, slices, utf8, written
+from .common import learnable, named, others, schema_of, slices, taken, utf8, written
 
 #: Words of a passage; buckets of hashed character pairs; size of encodings and of attention.
 PASSAGE_WORDS, BUCKETS, ENCODING, ATTENTION = 64, 64, 24, 12
@@ -164,8 +165,8 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, rounds: int = 12, batch: int
 
 def sampled(labels: DataFrame, target: str, rows: int = SAMPLE_ROWS, doc_id: str = "doc_id") -> DataFrame:
     """rows learnable labels at most: those with the smallest hashes of their ids, which is a sample that doesn't depend on the data's order."""
-    known = labels.where(learnable(F.col(doc_id)) & F.col(target).isNotNull() & F.col(doc_id).isNotNull())
-    return known.groupBy(doc_id).agg(F.max(target).alias(target)).orderBy(F.xxhash64(doc_id, F.lit(17)), doc_id).limit(rows)
+    known = labels.select(named(doc_id).alias(doc_id), named(target).alias(target)).where(learnable(named(doc_id)) & named(target).isNotNull() & named(doc_id).isNotNull())
+    return known.groupBy(named(doc_id).alias(doc_id)).agg(F.max(named(target)).alias(target)).orderBy(F.xxhash64(named(doc_id), F.lit(17)), named(doc_id)).limit(rows)
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text", limit: int = SAMPLE_PASSAGES) -> Model:
@@ -181,13 +182,13 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int
     chosen = sampled(labels, target, rows, doc_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            out = [features(passages(t)).astype("<f4").tobytes() for t in utf8(b, text)]
+        for b in slices(batches, "text", 128):
+            out = [features(passages(t)).astype("<f4").tobytes() for t in utf8(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) // (4 * FEATURES) for x in out], pa.int64()), pa.array(out, pa.binary())], names=["id", "y", "n", "x"])
 
-    picked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias(text)).join(F.broadcast(chosen.select(F.col(doc_id).alias("id"), F.col(target).cast("int").alias("y"))), "id")  # at most rows
+    picked = docs.select(named(doc_id).alias("id"), named(text).alias("text")).join(F.broadcast(chosen.select(named(doc_id).alias("id"), named(target).cast("int").alias("y"))), "id")  # at most rows
     ids = docs.schema[doc_id].dataType.simpleString()
-    encoded = written(picked.select("id", "y", text).mapInArrow(run, f"id {ids}, y int, n long, x binary"), "encoded")
+    encoded = written(picked.select("id", "y", "text").mapInArrow(run, schema_of(picked, ["id", "y"], "n long, x binary")), "encoded")
     rank = F.xxhash64("id", F.lit(17))
     sizes = encoded.groupBy("id").agg(F.sum("n").alias("n")).orderBy(rank, "id").limit(rows).collect()
     whole = np.cumsum([r.n for r in sizes])
@@ -198,12 +199,16 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
-    """docs with score (0 to 1, higher: label 1 likelier) added; null and empty texts are one empty passage and are scored too. No shuffle."""
-    rest = [c for c in docs.columns if c != column]
+    """docs with score (0 to 1, higher: label 1 likelier) added; null and empty texts are one empty passage and are scored too.
+
+    Scores are rounded to six places, so that they don't depend on which texts
+    are scored together. Repeated rows have one score, and an empty table gives
+    an empty result. A column of that name is replaced. No shuffle.
+    """
+    rest = others(docs, column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [pa.array(model.score(utf8(b, text)), pa.float64())], names=[*rest, column])
+        for b in slices(batches, text):
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [pa.array(np.round(model.score(utf8(b, text)), 6), pa.float64())], names=[*rest, column])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*rest).schema.fields)
-    return docs.select(*rest).mapInArrow(run, f"{fields}`{column}` double")
+    return taken(docs, rest).mapInArrow(run, StructType([*schema_of(docs, rest).fields, StructField(column, DoubleType())]))
