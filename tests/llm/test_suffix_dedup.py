@@ -1,5 +1,12 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from hoarfrost.llm import suffix_dedup
 
 
@@ -71,3 +78,60 @@ def test_blocks(monkeypatch, spark):
 def test_empty(spark):
     assert suffix_dedup.remove_repeats(frame(spark, [(1, "x")]).limit(0)).count() == 0
     assert got(suffix_dedup.remove_repeats(frame(spark, [(1, None), (2, "")]))) == [(1, 0, 0, 0, b""), (2, 0, 0, 0, b"")]
+
+
+def test_hot_anchors(spark, monkeypatch):
+    """Anchors of many entries go through Spark's grouping; the result is the same."""
+    rng = random.Random(3)
+    phrase = "and so it was that they went there"  # shorter than a string: every document has it in other company
+    rows = made_rows(4, 60, list(range(60)))
+    rows += [(100 + i, "%s %s %s" % (rng.randrange(10**9), phrase, rng.randrange(10**9))) for i in range(80)]
+    rows += [(300 + i, rows[70][1] + " the same tail for all of these, whatever comes before it") for i in range(30)]
+    want = brute(rows)
+    for group in (1500, 1 << 22):
+        monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", group)
+        for hot in (0, 4):
+            monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot)
+            assert got(suffix_dedup.remove_repeats(frame(spark, rows))) == want
+
+
+def in_one_process(rows, groups, buckets, hot):
+    """The operator's functions without Spark, so that they can be patched."""
+    tables = {}
+    for k, (i, t) in enumerate(rows):
+        tables.setdefault(k % groups, []).append((i, t, k, k % groups))
+    dealt = {g: pa.table(dict(zip(("doc_id", "text", "more", "h", "g"), (*map(list, list(zip(*x))[:2]), [None] * len(x), *map(list, list(zip(*x))[2:]))))) for g, x in tables.items()}
+    by = lambda parts, key: {k: pa.concat_tables([p.filter(pa.compute.equal(p.column(key), k)) for p in parts]) for k in {k for p in parts for k in p.column(key).to_pylist()}}
+    anchors = by([suffix_dedup._send_anchors(buckets)(t) for t in dealt.values()], "bucket")
+    shared = by([suffix_dedup._shared_anchors(hot)(t) for t in anchors.values()], "g")
+    strings = [suffix_dedup._send_strings(buckets)(t, shared.get(g, suffix_dedup.REPLY.empty_table())) for g, t in dealt.items()]
+    replies = [suffix_dedup._repeated_strings(t) for t in by(strings, "bucket").values()]
+    found = [b for t in strings for x in t.to_batches() for b in suffix_dedup._hot_strings([x])]
+    least = {}
+    for b in found:
+        for r in b.to_pylist():
+            least[r["w"]] = min(r["id"], least.get(r["w"], r["id"]))
+    single = [b.filter(pa.array([r["id"] > least[r["w"]] for r in b.to_pylist()])).select(["g", "at"]) for b in found]
+    replies += [pa.Table.from_batches([b]) for b in suffix_dedup._hot_replies(single)]
+    replies = by(replies, "g")
+    cut = suffix_dedup._cut({"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept": "binary"}, False)
+    out = [cut(t, replies.get(g, suffix_dedup.REPLY.empty_table())) for g, t in dealt.items()]
+    return sorted((suffix_dedup.NO_ID if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"]) for t in out for r in t.to_pylist())
+
+
+@pytest.mark.parametrize("values", [1, 3, 1 << 20])
+def test_hashes_that_clash(monkeypatch, values):
+    """Whatever hashes bring together, only equal bytes go."""
+    rows = [(i, t) for i, t in made_rows(5, 50, list(range(50)))] + [(60, "x" * 200), (61, "x" * 70), (62, None)]
+    real = suffix_dedup._mixed
+    monkeypatch.setattr(suffix_dedup, "_mixed", lambda a, b: real(a, b) % np.uint64(values))
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 64)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_RUNS", 5)
+    for groups, buckets, hot in ((1, 1, 1 << 14), (4, 3, 1 << 14), (4, 3, 2)):
+        assert in_one_process(rows, groups, buckets, hot) == brute(rows)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 9), st.text(alphabet="ab", min_size=0, max_size=160)), min_size=1, max_size=8), st.integers(1, 4), st.sampled_from([0, 1 << 14]))
+def test_random_texts(rows, groups, hot):
+    assert in_one_process(rows, groups, 2, hot) == brute(rows)
