@@ -3,6 +3,11 @@
 Names run together in host labels and paths ("cheappills") are split into
 words by unigram Viterbi, with word counts of the pages' own texts and urls.
 A multinomial naive Bayes model then scores the words of host and path.
+
+Pages have no labels. What marks a host as unwanted, or a rule as allowed or
+blocked as a whole, is evidence: it tells what the model learns from, and the
+words that it consists of are no features. So a page's verdict comes from the
+other words of its url.
 """
 
 from __future__ import annotations
@@ -11,18 +16,14 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import fresh, learnable, named, others, short, written
 
-#: Longest word.
-LONGEST_WORD = 24
-#: Hashed word features of the naive Bayes model: what it sends to the driver and back is bounded by this.
-FEATURES = 1 << 16
+#: Words up to this length are found in a name through all its substrings, longer ones through their first letters.
+SHORT_WORD = 24
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,7 @@ RULES = (
     UrlRule("allow", "com", "/fr/"),
     UrlRule("block", "com", "/de/"),
 )
-# Words that mark a host as unwanted; they label the urls that the model learns from.
+# Words that mark a host as unwanted: evidence for the model, never its features.
 SEED_WORDS = ("ads", "bets", "betting", "casino", "pills", "poker", "porn", "spam", "viagra", "xxx")
 
 
@@ -79,24 +80,32 @@ def names_of(host: Column, path: Column) -> Column:
 
 def word_counts(pages: DataFrame, url: str = "url", html: str | None = "html") -> DataFrame:
     """(word, n): how often each word is in the pages' texts (tags left out) and, as separate names, in their urls. Summed before the shuffle."""
-    names = names_of(*url_parts(F.col(url)))
+    names = names_of(*url_parts(named(url)))
     words = pages.select(F.explode(names).alias("word"))
     if html:
-        text = F.regexp_replace(F.lower(html), r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " ")
+        text = F.regexp_replace(F.lower(named(html)), r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " ")
         words = words.unionByName(pages.select(F.explode(F.filter(F.split(text, r"[^\p{L}]+"), lambda x: x != "")).alias("word")))
-    return words.where(F.length("word") <= LONGEST_WORD).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def viterbi(name: str, cost: dict[str, float], unknown: float) -> list[str]:
-    """The split of name with the least total cost; an unknown word costs unknown a letter more. Ties: the longest last word."""
+    """The split of name with the least total cost; an unknown word costs unknown a letter and once more. Ties: the longest last word."""
+    lengths = sorted(set(map(len, cost)))
     best, back = [0.0], [0]
+    run, since = math.inf, 0  # the least cost if the last word is an unknown one, and where that starts
     for end in range(1, len(name) + 1):
-        at, low = end - 1, math.inf
-        for start in range(max(0, end - LONGEST_WORD), end):
-            word = name[start:end]
-            c = best[start] + (cost[word] if word in cost else unknown * (1 + len(word)))
-            if c < low - 1e-12:
-                at, low = start, c
+        if run + unknown <= best[end - 1] + 2 * unknown + 1e-12:
+            run += unknown
+        else:
+            run, since = best[end - 1] + 2 * unknown, end - 1
+        low, at = run, since
+        for n in lengths:
+            if n > end:
+                break
+            if (word := name[end - n : end]) in cost:
+                c = best[end - n] + cost[word]
+                if c < low - 1e-12 or c < low + 1e-12 and end - n < at:
+                    low, at = c, end - n
         best.append(low)
         back.append(at)
     out, end = [], len(name)
@@ -110,27 +119,32 @@ def segment_names(names: DataFrame, counts: DataFrame) -> DataFrame:
     """names (name) -> (name, words): each distinct name split by unigram Viterbi with counts (word, n).
 
     A name's substrings are joined with the counted words, so no vocabulary is
-    sent around; what comes together for a name is bounded by its length. Names
-    are known by hashes meanwhile: names with one hash would merely share the
-    words that they are looked up in. A word's cost is the negative logarithm
-    of its share; a whole name seen twice at most is no word merely because it
-    occurs.
+    sent around; what comes together for a name is bounded by its length. Words
+    of over SHORT_WORD letters are joined by their first ones and then
+    compared. Names are known by hashes meanwhile: names with one hash would
+    merely share the words that they are looked up in. A word's cost is the
+    negative logarithm of its share, and never more than that of an unknown
+    word; a whole name seen twice at most is no word merely because it occurs.
     """
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     distinct = names.select("name").distinct().withColumn("id", F.xxhash64("name"))
-    starts = F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda at: F.substring(F.col("name"), at, F.lit(LONGEST_WORD)))
-    heads = distinct.where(F.length("name") > 1).select("id", F.explode(starts).alias("head")).where(F.length("head") > 1)
+    starts = F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda at: F.substring(F.col("name"), at, F.lit(SHORT_WORD)))
+    heads = distinct.where(F.length("name") > 1).select("id", F.posexplode(starts).alias("at", "head")).where(F.length("head") > 1)
     parts = heads.select("id", F.explode(F.transform(F.sequence(F.lit(2), F.length("head")), lambda n: F.substring(F.col("head"), F.lit(1), n))).alias("word"))
-    known = parts.distinct().join(counts, "word").groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    unknown = math.log(max(2, total))
+    found = parts.distinct().join(counts, "word").select("id", "word", "n")
+    long = counts.where(F.length("word") > SHORT_WORD).withColumn("head", F.substring("word", 1, SHORT_WORD))
+    there = heads.where(F.length("head") == SHORT_WORD).join(long, "head").join(distinct, "id")
+    found = found.unionByName(there.where(F.substring(F.col("name"), F.col("at") + 1, F.length("word")) == F.col("word")).select("id", "word", "n").distinct())
+    known = found.groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    unknown = math.log(max(2, total)) / 2
     grouped = distinct.join(known, "id", "left").select("name", F.coalesce("known", F.array().cast("array<struct<word:string,n:bigint>>")).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in short(batches):
             out = []
             for name, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                cost = {k["word"]: math.log(total / k["n"]) + 1 for k in known if len(k["word"]) < len(name) or k["n"] > 2}
-                out.append(viterbi(name, cost, unknown / 2))
+                cost = {k["word"]: min(math.log(total / k["n"]) + 1, unknown * (1 + len(k["word"]))) for k in known if len(k["word"]) < len(name) or k["n"] > 2}
+                out.append(viterbi(name, cost, unknown))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=["name", "words"])
 
     return grouped.mapInArrow(run, "name string, words array<string>")
@@ -153,60 +167,67 @@ def url_words(urls: DataFrame, counts: DataFrame) -> DataFrame:
     return places.join(words, ["host", "shape"], "left").select("host", "shape", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
 
 
-def _slot(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(FEATURES)).cast("int")
+def with_evidence(places: DataFrame, rules: tuple[UrlRule, ...], seeds: tuple[str, ...]) -> DataFrame:
+    """places (host, shape, words, n) with blocked, and words without those that are evidence.
+
+    blocked is what a rule for a whole host says; else true if the host has a
+    seed word, and false for all others, which stand for what isn't unwanted.
+    """
+    whole = rule_of(F.col("host"), F.lit("/"), tuple(r for r in rules if r.path == "/"))["verdict"]
+    telling = [F.lit(side + w) for side in ("host:", "path:") for w in seeds]
+    seeded = F.arrays_overlap("words", F.array(*telling[: len(seeds)])) if seeds else F.lit(False)
+    left = F.filter("words", lambda w: ~w.isin(*telling)) if seeds else F.col("words")
+    return places.select("host", "shape", F.coalesce(whole == "block", seeded, F.lit(False)).alias("blocked"), left.alias("words"), "n")
 
 
 @dataclass
 class NaiveBayes:
-    """log odds (block against allow) of every hashed word, and before any word."""
+    """words: a table (word, odds) of the log odds (block against allow) of each word. prior: those before any word."""
 
-    words: np.ndarray
+    words: DataFrame
     prior: float
 
 
 def fit_bayes(labelled: DataFrame) -> NaiveBayes:
-    """labelled (words, blocked boolean, n rows alike) -> model, add-one smoothed over the words seen. At most 2 * FEATURES sums reach the driver."""
+    """labelled (words, blocked boolean, n rows alike) -> model, add-one smoothed over the words seen. Counts are summed before the shuffle; only totals reach the driver."""
     classes = {r["blocked"]: r["n"] for r in labelled.groupBy("blocked").agg(F.sum("n").alias("n")).collect() if r["blocked"] is not None}
-    sums = labelled.select("blocked", "n", F.explode("words").alias("w")).groupBy("blocked", _slot(F.col("w")).alias("slot")).agg(F.sum("n").alias("n"))
-    count = np.zeros((2, FEATURES))
-    for r in sums.collect():
-        count[int(r["blocked"]), r["slot"]] += r["n"]
-    seen = count.sum(axis=0) > 0
-    share = np.log((count + 1) / (count.sum(axis=1, keepdims=True) + max(1, seen.sum())))
-    return NaiveBayes(np.where(seen, share[1] - share[0], 0.0), math.log((classes.get(True, 0) + 1) / (classes.get(False, 0) + 1)))
+    rows = labelled.select("blocked", "n", F.explode("words").alias("word"))
+    seen = lambda blocked: F.coalesce(F.sum(F.when(F.col("blocked") == blocked, F.col("n"))), F.lit(0))
+    sums = written(rows.groupBy("word").agg(seen(True).alias("block"), seen(False).alias("allow")), "sums")
+    size, block, allow = sums.agg(F.count(F.lit(1)), F.coalesce(F.sum("block"), F.lit(0)), F.coalesce(F.sum("allow"), F.lit(0))).first()
+    odds = F.log((F.col("block") + 1) / F.lit(float(block + max(1, size)))) - F.log((F.col("allow") + 1) / F.lit(float(allow + max(1, size))))
+    return NaiveBayes(sums.select("word", odds.alias("odds")), math.log((classes.get(True, 0) + 1) / (classes.get(False, 0) + 1)))
 
 
 def with_scores(places: DataFrame, model: NaiveBayes) -> DataFrame:
-    """places (words) with block_score: the probability of block."""
-    @F.pandas_udf("double")
-    def score(slots: pd.Series) -> pd.Series:
-        odds = np.array([model.prior + model.words[s].sum() if len(s) else model.prior for s in slots], float)
-        return pd.Series(1 / (1 + np.exp(-np.clip(odds, -40, 40))))
-
-    return places.withColumn("block_score", score(F.transform("words", _slot)))
+    """places (host, shape, words) -> (host, shape, block_score): the probability of block, to six places. Words that the model doesn't know say nothing."""
+    each = places.select("host", "shape", F.explode("words").alias("word")).join(model.words, "word")
+    odds = each.groupBy("host", "shape").agg(F.sum("odds").alias("odds"))
+    total = F.coalesce(F.col("odds"), F.lit(0.0)) + F.lit(model.prior)
+    return places.select("host", "shape").join(odds, ["host", "shape"], "left").select("host", "shape", F.round(1 / (1 + F.exp(-total)), 6).alias("block_score"))
 
 
-def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, seeds: tuple[str, ...] = SEED_WORDS, url: str = "url", html: str | None = "html", threshold: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, seeds: tuple[str, ...] = SEED_WORDS, url: str = "url", html: str | None = "html", threshold: float = 0.5, hold_out: bool = False) -> DataFrame:
     """pages without html, with host, path, rule, verdict and block_score.
 
     The verdict is that of the longest rule that fits, else block if the model's
-    score is threshold or more. The model learns from all urls: those whose
-    host has a seed word are its examples of block, the others of allow. A url
-    that is null or has no :// has empty host and path and no words. Repeated
-    rows are judged alike; an empty table gives an empty result. A page's own
-    columns of the new names are replaced.
+    score is threshold or more. The model learns from all urls, with the labels
+    of with_evidence(); with hold_out not from hosts that learnable() holds out,
+    which shows what it makes of hosts that it has never seen. A url that is
+    null or has no :// has empty host and path and no words. Repeated rows are
+    judged alike, and each counts; of rules with one host and path the first
+    counts; an empty table gives an empty result. Columns named like the new
+    ones are replaced.
     """
-    new = ["host", "path", "rule", "verdict", "block_score"]
-    host, path = url_parts(F.col(url))
-    rest = [c for c in pages.columns if c not in new and c != html]
-    split = pages.select(*rest, host.alias("host"), path.alias("path"), shape_of(path).alias("_shape"))
-    alike = written(split.groupBy("host", F.col("_shape").alias("shape")).agg(F.count(F.lit(1)).alias("n")), "places")
+    host, path = url_parts(named(url))
+    rest = [c for c in others(pages, "host", "path", "rule", "verdict", "block_score") if c != html]
+    shape, score, judged = fresh([*rest, "host", "path"], "url_shape", "url_score", "url_rule")
+    split = pages.select(*map(named, rest), host.alias("host"), path.alias("path")).withColumn(shape, shape_of(F.col("path")))
+    alike = written(split.groupBy("host", F.col(shape).alias("shape")).agg(F.count(F.lit(1)).alias("n")), "places")
     counts = written(word_counts(pages, url, html), "words")
-    places = written(url_words(alike, counts).join(alike, ["host", "shape"]), "places")
-    blocked = F.arrays_overlap("words", F.array(*[F.lit("host:" + w) for w in seeds])) if seeds else F.lit(False)
-    model = fit_bayes(places.select("words", F.coalesce(blocked, F.lit(False)).alias("blocked"), "n"))
-    scored = with_scores(places, model).select("host", F.col("shape").alias("_shape"), "block_score")
-    judged = split.join(scored, ["host", "_shape"], "left").withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
-    verdict = F.coalesce(F.col("_r.verdict"), F.when(F.col("block_score") >= threshold, "block").otherwise("allow"))
-    return judged.select(*rest, "host", "path", F.col("_r.rule").alias("rule"), verdict.alias("verdict"), "block_score")
+    places = written(with_evidence(url_words(alike, counts).join(alike, ["host", "shape"]), rules, seeds), "places")
+    model = fit_bayes(places.where(learnable(F.col("host"))) if hold_out else places)
+    scored = written(with_scores(places, model), "scores").select("host", F.col("shape").alias(shape), F.col("block_score").alias(score))
+    out = split.join(scored, ["host", shape], "left").withColumn(judged, rule_of(F.col("host"), F.col("path"), rules))
+    verdict = F.coalesce(F.col(judged)["verdict"], F.when(F.col(score) >= threshold, "block").otherwise("allow"))
+    return out.select(*map(named, rest), "host", "path", F.col(judged)["rule"].alias("rule"), verdict.alias("verdict"), F.col(score).alias("block_score"))
