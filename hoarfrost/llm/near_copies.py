@@ -1,9 +1,13 @@
-"""Near copies by Jaccard similarity: MinHash bands propose, the texts' own shingles decide.
-
-Texts are sets of five-word shingles. A band is ROWS minima of hashes; texts
-of similarity s share one of BANDS bands with probability
-1 - (1 - s ** ROWS) ** BANDS: 0.998 at 0.8. Every pair that shares a band and
-isn't linked already is compared by its sets, so nothing under SIMILAR is linked.
+"""Near copies by Jaccard similarity, on top of SimHash.
+
+Texts are sets of five-word shingles. SimHash's blocks propose the pairs that
+differ in few bits. At similarity 0.8 texts differ in ten bits of 64 or so, and
+blocks for so many (3,060 of 14 bits a text for a distance of 14) would be far
+too many and too wide, so that MinHash bands propose the rest: a band is ROWS
+minima of hashes, and texts of similarity s share one of BANDS bands with
+probability 1 - (1 - s ** ROWS) ** BANDS: 0.998 at 0.8. Pairs from bands must
+be at most FAR bits apart (which is so for 0.99999 at 0.8), and all pairs are
+compared by their sets at last: nothing under SIMILAR is linked.
 """
 
 from __future__ import annotations
@@ -16,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, slices, utf8, written
+from .common import arrow_schema, made, slices, utf8, written
 from .components import connected
 
 SEED = 42
-#: Words of a shingle, least similarity of near copies, minima of a band, bands.
-WIDTH, SIMILAR, ROWS, BANDS = 5, 0.8, 6, 20
+#: Words of a shingle, least similarity of near copies, minima of a band, bands, most bits between near copies' fingerprints.
+WIDTH, SIMILAR, ROWS, BANDS, FAR = 5, 0.8, 6, 20, 22
 
 _RNG = np.random.default_rng(11)
 _MUL = _RNG.integers(0, 1 << 63, (ROWS * BANDS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,26 +74,29 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return same / (len(both) - same) if len(both) else 1.0
 
 
-def marked(docs: DataFrame, *ids: str, text: str) -> DataFrame:
-    """(ids..., sig, bands) of every row; texts of one set of shingles have one sig. No shuffle."""
+def marked(rows: DataFrame, fingerprint) -> DataFrame:
+    """(id, key, text) -> (id, key, fp, h, bands): the fingerprint of the text's set of shingles, a hash of the set and its bands. No shuffle.
+
+    fp and h together stand for a set: unlike texts differ in both.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            sets = [shingles(t) for t in utf8(b, text)]
-            sig = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+        for b in slices(batches, "text"):
+            sets = [shingles(t) for t in utf8(b, "text")]
+            fp = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
+            h = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in ids), pa.array(sig), keys], names=[*ids, "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(fp), pa.array(h), keys], names=["id", "key", "fp", "h", "bands"])
 
-    fields = "".join(f"`{i}` {docs.schema[i].dataType.simpleString()}, " for i in ids)
-    return docs.select(*ids, text).mapInArrow(run, f"{fields}sig long, bands array<long>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, key long, fp long, h long, bands array<long>")
 
 
-def with_sets(texts: DataFrame, text: str) -> DataFrame:
-    """(sig, text) -> (sig, words): the text's shingles, once a sig."""
+def with_sets(texts: DataFrame) -> DataFrame:
+    """(node, text) -> (node, words): the text's shingles, once a node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).astype("<u8").tobytes() for t in utf8(b, text)], pa.binary())], names=["sig", "words"])
+        for b in slices(batches, "text", 128):
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingles(t).astype("<u8").tobytes() for t in utf8(b, "text")], pa.binary())], names=["node", "words"])
 
-    return texts.select("sig", text).mapInArrow(run, "sig long, words binary").dropDuplicates(["sig"])
+    return texts.select("node", "text").mapInArrow(run, "node long, words binary").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -97,45 +104,53 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     schema = arrow_schema("a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            near = [jaccard(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= SIMILAR for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(near, pa.bool_())), b.column(1).filter(pa.array(near, pa.bool_()))], schema=schema)
+        for b in slices(batches, "wa", 128):
+            near = pa.array([jaccard(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= SIMILAR for x, y in zip(b.column("wa").to_pylist(), b.column("wb").to_pylist())], pa.bool_())
+            yield made(schema, b.column("a").filter(near), b.column("b").filter(near))
 
-    one = pairs.join(sets.select(F.col("sig").alias("b"), F.col("words").alias("wb")), "b")
-    both = one.join(sets.select(F.col("sig").alias("a"), F.col("words").alias("wa")), "a")
+    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
+    both = one.join(sets.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a")
     return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
-def rooted(nodes: DataFrame, keys: DataFrame, texts_of, text: str) -> DataFrame:
-    """nodes (sig) and keys (band, sig), both distinct -> (sig, root): what links of near copies that share a band connect.
+def rooted(nodes: DataFrame, near: DataFrame, texts_of) -> DataFrame:
+    """nodes (node, fp, bands) -> (node, root): what links of near copies connect.
 
-    texts_of gives (sig, text) for some sigs. First each text meets the
-    smallest of all that share a band with it, then the smallest of each band,
-    and then those of its bands that still are in other components. Pairs
-    within one component need no look, so a large group of near copies takes
-    one comparison a text; no pair of a band is left out otherwise.
+    near (a, b) are the pairs that SimHash proposes; texts_of gives (node,
+    text) for some nodes. First each text meets what SimHash gives and the
+    first of all that share a band with it, then the first of each of its
+    bands. In bands that still hold several components, the texts outside the
+    band's largest one then meet all those of other components: pairs within a
+    component need no look, so a large group of near copies takes a few
+    comparisons a text, and no pair of a band is left out otherwise.
     """
-    buckets = keys.groupBy("band").agg(F.min("sig").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "rep")
-    shared = written(keys.join(buckets, "band"), "shared")  # (band, sig, rep)
-    star = written(shared.where("sig != rep").select(F.col("sig").alias("a"), F.col("rep").alias("b")).distinct(), "star")
-    wanted = star.select(F.col("a").alias("sig")).unionByName(star.select(F.col("b").alias("sig"))).distinct()
-    sets = written(with_sets(texts_of(wanted), text), "sets")
-    links = written(verified(star.groupBy("a").agg(F.min("b").alias("b")), sets), "links")
-    for last in (False, True):
-        roots = written(_all_rooted(sets.select("sig"), links), "roots")
-        if last:
-            own = written(shared.join(roots, "sig"), "own")  # (sig, band, rep, root)
-            mixed = own.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
-            left = own.where("sig != rep").join(mixed, "band").select("band", "sig", "root")
-            other = left.select("band", F.col("sig").alias("b"), F.col("root").alias("rb"))
-            pairs = left.select("band", F.col("sig").alias("a"), F.col("root").alias("ra")).join(other, "band").where("a > b AND ra != rb").select("a", "b").distinct()
-        else:
-            of = lambda c: roots.select(F.col("sig").alias(c), F.col("root").alias("r" + c))
-            pairs = star.join(of("b"), "b").join(of("a"), "a").where("ra != rb").select("a", "b")
-        links = written(links.unionByName(verified(pairs, sets)), "links")
-    return _all_rooted(nodes, links)
+    keys = nodes.select(F.explode("bands").alias("band"), "node", "fp")
+    buckets = keys.groupBy("band").agg(F.min(F.struct("node", "fp")).alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "rep")
+    shared = written(keys.join(buckets, "band").select("band", "node", "fp", "rep"), "shared")
+    bits = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    star = shared.where((F.col("node") != F.col("rep.node")) & (bits("fp", "rep.fp") <= FAR)).select(F.col("node").alias("a"), F.col("rep.node").alias("b"))
+    star = written(star.distinct(), "star")
+    near = written(near, "near")
+    ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    wanted = ends(near).unionByName(ends(star)).unionByName(shared.select("node")).distinct()
+    sets = written(with_sets(texts_of(wanted)), "sets")
+    links = written(verified(near.unionByName(star.groupBy("a").agg(F.min("b").alias("b"))).distinct(), sets), "links")
+    roots = written(_all_rooted(sets.select("node"), links), "roots")
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("r" + c))
+    apart = star.join(of("b"), "b").join(of("a"), "a").where("ra != rb").select("a", "b")
+    links = written(links.unionByName(verified(apart, sets)), "links")
+    roots = written(_all_rooted(sets.select("node"), links), "roots")
+    own = written(shared.select("band", "node", "fp").join(roots, "node"), "own")
+    parts = own.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band")  # summed before the shuffle
+    mixed = parts.agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", "main")
+    left = own.join(mixed, "band")
+    few = left.where("root != main").select("band", F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("root").alias("ra"))
+    every = left.select("band", F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("root").alias("rb"), "main")
+    met = few.join(every, "band").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") > F.col("b"))) & (bits("fa", "fb") <= FAR))
+    links = written(links.unionByName(verified(met.select("a", "b").distinct(), sets)), "links")
+    return _all_rooted(nodes.select("node"), links)
 
 
 def _all_rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    roots = written(connected(links), "roots")
-    return nodes.join(roots, nodes["sig"] == roots["node"], "left").select("sig", F.coalesce("root", "sig").alias("root"))
+    roots = written(connected(links), "roots").withColumnRenamed("node", "linked")
+    return nodes.join(roots, nodes["node"] == roots["linked"], "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, made, slices, utf8, written
+from .common import arrow_schema, fresh, made, named, schema_of, short, slices, taken, utf8, written
 from .components import connected
 from .near_copies import marked, rooted, shingle_hashes
 
@@ -25,7 +25,11 @@ def simhash(text: bytes, width: int = 3) -> int:
     A-Z are lower-cased; shingles are width words, repeats included; a shorter
     text is one shingle, and a text without words has fingerprint zero.
     """
-    hashes = shingle_hashes(text, width)
+    return fingerprint(shingle_hashes(text, width))
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The bits that over half of some hashes have; zero for none."""
     if not len(hashes):
         return 0
     counts = np.zeros(BITS, np.int64)
@@ -35,17 +39,17 @@ def simhash(text: bytes, width: int = 3) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *ids: str, text: str = "text") -> DataFrame:
-    """(ids..., fp long): one row a row of docs; fp is the fingerprint as a signed long. No shuffle."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, fp long): one row a row of docs; fp is the fingerprint as a signed long. No shuffle."""
+    rows = docs.select(named(doc_id).alias("id"), named(text).alias("text"))
     schema = arrow_schema("fp long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            fp = np.array([simhash(t) for t in utf8(b, text)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in ids), *made(schema, fp).columns], names=[*ids, "fp"])
+        for b in slices(batches, "text"):
+            fp = np.array([simhash(t) for t in utf8(b, "text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("id"), *made(schema, fp).columns], names=["id", "fp"])
 
-    fields = "".join(f"`{i}` {docs.schema[i].dataType.simpleString()}, " for i in ids)
-    return docs.select(*ids, text).mapInArrow(run, f"{fields}fp long")
+    return rows.mapInArrow(run, schema_of(rows, ["id"], "fp long"))
 
 
 def _masks(free: int, blocks: int, chosen: int) -> list[int]:
@@ -116,7 +120,7 @@ def close_links(fps: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET)
     schema = arrow_schema("a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in short(batches):
             a, c = [], []
             for x in b.column(0):
                 f = np.sort(x.values.to_numpy().view(np.uint64))
@@ -138,39 +142,59 @@ def _rooted(marks: DataFrame, distance: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id that each row's fingerprint reaches by links of distance bits or fewer.
 
-    Equal fingerprints are one node, so copies make no pairs. Null and empty
-    texts have fingerprint zero and link like any other. Null ids take part
-    but are never the smallest; a component of null ids only has a null id.
+    Equal fingerprints are one node, so copies and repeated rows make no pairs.
+    Null and empty texts have fingerprint zero and link like any other. Null
+    ids take part but are never the smallest; a component of null ids only has
+    a null id. An empty table gives an empty result; other columns are left out.
     """
-    marks = written(fingerprints(docs, doc_id, text=text), "fingerprints")
-    rooted = written(_rooted(marks, distance).join(marks.groupBy("fp").agg(F.min(doc_id).alias("least")), "fp"), "rooted")
+    marks = written(fingerprints(docs, doc_id, text), "fingerprints")
+    rooted = written(_rooted(marks, distance).join(marks.groupBy("fp").agg(F.min("id").alias("least")), "fp"), "rooted")
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return marks.join(named, F.col("fp") == F.col("_fp"), "left").select(doc_id, "fp", "component_id")
+    of = rooted.join(names, "root").select(F.col("fp").alias("of"), "component_id")
+    return marks.join(of, F.col("fp") == F.col("of"), "left").select(F.col("id").alias(doc_id), "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """docs with one row of each component of near copies: that of the smallest id (a null id only where there is no other; of rows alike any one).
 
-    Near copies share 0.8 or more of their five-word shingles (see
-    near_copies); texts without words are copies of each other. Rows are known
-    by a hash of id and text, so only hashes are compared; the texts are
-    shuffled to get the shingles of those that share a band, and to keep the
-    chosen rows.
+    Near copies share 0.8 or more of their five-word shingles; the pairs that
+    are compared come from SimHash's blocks (fingerprints of the sets of
+    shingles, distance bits) and from MinHash bands (see near_copies). Texts
+    without words, nulls too, are copies of each other. An empty table gives an
+    empty result; all columns stay. Only fingerprints, hashes and ids are
+    compared and grouped; the texts are shuffled to get the shingles of those
+    that may be near copies, and to keep the chosen rows, which are known by id
+    and by a hash of id and text.
     """
-    keyed = docs.withColumn("_key", F.xxhash64(doc_id, text))
-    marks = written(marked(keyed, doc_id, "_key", text=text), "marks")
-    first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_key").alias("key")))
-    by_sig = written(marks.groupBy("sig").agg(first.alias("first")), "nodes")  # summed before the shuffle, whatever the number of copies
-    keys = written(marks.select(F.explode("bands").alias("band"), "sig").distinct(), "keys")
-
-    def texts_of(sigs: DataFrame) -> DataFrame:
-        wanted = written(sigs.join(by_sig, "sig").select("sig", F.col("first.key").alias("_key")), "wanted")
-        return keyed.select("_key", text).join(wanted, "_key")
-
-    roots = rooted(by_sig.select("sig"), keys, texts_of, text)
-    kept = by_sig.join(roots, "sig").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("_key"))
-    return keyed.join(written(kept, "kept"), "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    id_, key = fresh(docs.columns, "row_id", "row_key")
+    kind = docs.schema[doc_id].dataType
+    # Ids without nulls, so that rows are joined and grouped by the same columns; the hash tells null from what stands for it.
+    some = F.lit("" if kind.simpleString() == "string" else 0).cast(kind)
+    keyed = docs.withColumn(id_, F.coalesce(named(doc_id), some)).withColumn(key, F.xxhash64(named(doc_id).isNull(), named(doc_id), named(text)))
+    rows = keyed.select(named(doc_id).alias("id"), named(key).alias("key"), named(text).alias("text"))
+    marks = written(marked(rows, fingerprint), "marks")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
+    groups = marks.groupBy("fp", "h").agg(first, F.first("bands").alias("bands"))  # summed before the shuffle, whatever the number of copies
+    nodes = written(groups.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    chosen = lambda df: df.select(F.coalesce("first.id", some).alias(id_), F.col("first.key").alias(key))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        these = nodes.join(wanted, "node")
+        these = written(these.select("node", F.coalesce("first.id", some).alias(id_), F.col("first.key").alias(key)), "wanted")
+        return keyed.select(named(id_), named(key), named(text).alias("text")).join(these, [id_, key]).select("node", "text")
+
+    roots = rooted(nodes, _proposed(nodes, distance), texts_of)
+    kept = nodes.join(roots, "node").groupBy("root").agg(F.min("first").alias("first"))
+    return taken(keyed.join(written(chosen(kept), "kept"), [id_, key], "left_semi").dropDuplicates([id_, key]), docs.columns)
+
+
+def _proposed(nodes: DataFrame, distance: int) -> DataFrame:
+    """nodes (node, fp) -> pairs (a, b) that connect all nodes at distance bits or fewer: those of one fingerprint with the first of them, and the first ones of close fingerprints."""
+    firsts = written(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "firsts")
+    same = nodes.select("node", "fp").join(firsts, "fp").where("node != rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+    links = close_links(firsts.select("fp"), distance)
+    of = lambda c: firsts.select(F.col("fp").alias(c), F.col("rep").alias("r" + c))
+    return same.unionByName(links.join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
 
 
 def hex_fingerprint(fp: Column) -> Column:

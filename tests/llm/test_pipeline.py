@@ -10,8 +10,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from hoarfrost.llm import quality_model, secret_scan, simhash
 
+from .test_near_copies import brute_kept
 from .test_packing import check
-from .test_simhash import brute_components, brute_fp
 from .test_suffix_dedup import brute
 
 SF = "/root/testdata/sf0.001"
@@ -28,8 +28,8 @@ def test_against_brute_force(spark, tmp_path):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     good = [(i, t) for i, t in rows if model.score([t.encode()])[0] >= 0.3]
     assert 150 < len(good) < 200
-    roots = brute_components({i: brute_fp(t) for i, t in good})
-    single = [(i, t) for i, t in good if roots[i] == i]
+    kept = set(brute_kept(good))
+    single = [(i, t) for i, t in good if i in kept]
     assert len(single) < len(good)
     cut = [(x[0], x[4].decode("utf-8", "ignore")) for x in brute(single)]
     masked = [(i, secret_scan.redacted(t, secret_scan.find_spans([t.encode()])[0])) for i, t in cut]
