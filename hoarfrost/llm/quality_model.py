@@ -97,6 +97,21 @@ class Model:
         z = np.add.reduceat(a[:, None] * h, first)
         return x, h, t, s, a, z, _sigmoid(z @ self.c + self.b)
 
+    def gradients(self, x: np.ndarray, bag: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy of the bags' labels (0/1), for every weight."""
+        bags = len(labels)
+        x, h, t, s, a, z, p = self.forward(x, bag, bags)
+        error = (p - labels) / bags
+        dz = error[:, None] * self.c
+        # The attention's gradient: through the softmax of each bag.
+        reach = (dz[bag] * h).sum(1)
+        first = np.searchsorted(bag, np.arange(bags))
+        da = a * (reach - np.add.reduceat(a * reach, first)[bag])
+        dt = da[:, None] * self.w * s * (1 - t * t)
+        ds = da[:, None] * self.w * t * s * (1 - s)
+        dh = a[:, None] * dz[bag] + dt @ self.V.T + ds @ self.U.T
+        return {"c": z.T @ error, "b": error.sum(), "w": (t * s).T @ da, "V": h.T @ dt, "U": h.T @ ds, "E": x.T @ (dh * (1 - h * h))}
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
@@ -143,17 +158,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, rounds: int = 12, batch: int
         for at in range(0, len(order), batch):
             part = order[at : at + batch]
             bag = np.repeat(np.arange(len(part)), [len(bags[i]) for i in part])
-            x, h, t, s, a, z, p = model.forward(np.concatenate([bags[i] for i in part]), bag, len(part))
-            error = (p - labels[part]) / len(part)
-            dz = error[:, None] * model.c
-            # The attention's gradient: through the softmax of each bag.
-            reach = (dz[bag] * h).sum(1)
-            first = np.searchsorted(bag, np.arange(len(part)))
-            da = a * (reach - np.add.reduceat(a * reach, first)[bag])
-            dt = da[:, None] * model.w * s * (1 - t * t)
-            ds = da[:, None] * model.w * t * s * (1 - s)
-            dh = a[:, None] * dz[bag] + dt @ model.V.T + ds @ model.U.T
-            grads = {"c": z.T @ error, "b": error.sum(), "w": (t * s).T @ da, "V": h.T @ dt, "U": h.T @ ds, "E": x.T @ (dh * (1 - h * h))}
+            grads = model.gradients(np.concatenate([bags[i] for i in part]), bag, labels[part])
             step += 1
             for k in names:
                 g = grads[k] + decay * getattr(model, k)

@@ -1,5 +1,8 @@
+import math
 import os
 import random
+from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -28,6 +31,129 @@ def test_attention_gradient():
     assert np.allclose(np.bincount(bag, a), 1)
 
 
+def slow_forward(model, bag):
+    """The net of one bag, number by number."""
+    hidden, gates = [], []
+    for x in bag:
+        x = [max(-6.0, min(6.0, (v - m) / s)) for v, m, s in zip(x, model.mean, model.scale)]
+        h = [math.tanh(sum(x[i] * model.E[i, j] for i in range(len(x)))) for j in range(model.E.shape[1])]
+        t = [math.tanh(sum(h[i] * model.V[i, j] for i in range(len(h)))) for j in range(model.V.shape[1])]
+        u = [1 / (1 + math.exp(-sum(h[i] * model.U[i, j] for i in range(len(h))))) for j in range(model.U.shape[1])]
+        hidden.append(h)
+        gates.append(math.exp(sum(a * b * c for a, b, c in zip(t, u, model.w))))
+    z = [sum(g * h[j] for g, h in zip(gates, hidden)) / sum(gates) for j in range(len(hidden[0]))]
+    return 1 / (1 + math.exp(-sum(a * c for a, c in zip(z, model.c)) - float(model.b)))
+
+
+def small_case():
+    rng = np.random.default_rng(5)
+    bags = [rng.normal(size=(n, quality_model.FEATURES)) for n in (1, 4, 2, 7, 3)]
+    return bags, np.array([1.0, 0, 1, 0, 1]), quality_model.fit(bags, np.array([1.0, 0, 1, 0, 1]), rounds=2, decay=0)
+
+
+def test_forward_against_plain_loops():
+    bags, _, model = small_case()
+    bag = np.repeat(np.arange(5), [len(b) for b in bags])
+    got = model.forward(np.concatenate(bags), bag, 5)[-1]
+    assert np.allclose(got, [slow_forward(model, b) for b in bags], atol=1e-12)
+
+
+def test_gradient_against_differences():
+    bags, labels, model = small_case()
+    x, bag = np.concatenate(bags), np.repeat(np.arange(5), [len(b) for b in bags])
+
+    def loss():
+        p = model.forward(x, bag, 5)[-1]
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    grads = model.gradients(x, bag, labels)
+    rng = np.random.default_rng(1)
+    for name, grad in grads.items():
+        value = np.array(getattr(model, name), float)
+        for _ in range(12):
+            at = tuple(rng.integers(n) for n in value.shape)
+            ends = []
+            for step in (1e-5, -1e-5):
+                moved = value.copy()
+                moved[at] += step
+                setattr(model, name, moved)
+                ends.append(loss())
+            setattr(model, name, value)
+            assert abs((ends[0] - ends[1]) / 2e-5 - np.asarray(grad)[at]) < 1e-7, name
+
+
+def test_scores_do_not_depend_on_their_company(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["plain", "WORDS!", "here", "x"]) for _ in range(rng.randrange(400)))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality_model.train(docs, spark.createDataFrame([(i, int("WORDS!" in t[:40])) for i, t in rows], "doc_id long, quality int"))
+    one, many = ({r.doc_id: r.score for r in quality_model.score(docs.repartition(n), model).collect()} for n in (1, 7))
+    assert one == many and all(abs(one[i] - round(slow_forward(model, quality_model.features(quality_model.passages(t.encode()))), 6)) < 2e-6 for i, t in rows[:5])
+
+
+def slow_language_features(text):
+    fold = [(ord(c) if ord(c) >= 128 or c.isalpha() else 32) for c in f" {text.lower()} "]
+    mix = lambda h: ((h ^ h >> 15) * 2246822519 & 0xFFFFFFFF) >> 20
+    count = Counter()
+    for i in range(len(fold) - 1):
+        two = (fold[i] * 2654435761 + fold[i + 1] * 40503) & 0xFFFFFFFF
+        count[mix(two)] += 1
+        if i + 2 < len(fold):
+            count[mix((two * 31 + fold[i + 2] * 2246822519) & 0xFFFFFFFF)] += 1
+    count[mix((32 * 2654435761 + 32 * 40503) & 0xFFFFFFFF)] = 0
+    out = np.array([math.sqrt(count[k]) for k in range(language_id.BUCKETS)])
+    return out / max(np.linalg.norm(out), 1e-9)
+
+
+def test_language_features_against_plain_loops(monkeypatch):
+    texts = ["", "a", "Die  Größe, der 3 Dinge!", "été à la plage " * 40, "\U0001f600x", "ab" * 77]
+    for block in (1 << 20, 16, 7):  # however a text is cut
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        for t in texts:
+            assert np.abs(language_id.features(t) - slow_language_features(t)).max() < 1e-3  # half precision
+
+
+def test_machines_against_a_plain_solver():
+    """The squared hinge loss that coordinate descent reaches against slow gradient descent."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 5))
+    y = np.where(x[:, 0] + 0.5 * x[:, 1] + rng.normal(size=60) * 0.3 > 0, 1, -1)
+
+    def loss(w):
+        return 0.5 * w @ w + 1.0 * (np.maximum(0, 1 - y * (x @ w[:-1] + w[-1])) ** 2).sum()
+
+    w = np.zeros(6)
+    one = np.hstack([x, np.ones((60, 1))])
+    for _ in range(20_000):
+        w -= 0.002 * (w - 2.0 * one.T @ (y * np.maximum(0, 1 - y * (one @ w))))
+    got = language_id.linear_svm(x, np.arange(60), y, cost=1.0, rounds=400)
+    assert loss(got) < loss(w) * 1.001
+
+
+def test_prediction_against_plain_votes():
+    rng = np.random.default_rng(4)
+    langs = ["de", "en", "nl", "fr", "es", "zz"]
+    words = {k: [("%s%d" % (k, i)) for i in range(20)] for k in langs}
+    texts = [(k, " ".join(rng.choice(words[k], 12))) for k in langs * 12]
+    model = language_id.fit(np.array([language_id.features(t) for _, t in texts]), [k for k, _ in texts])
+    names, scores = model.predict([t for _, t in texts])
+    sig = lambda v: 1 / (1 + math.exp(-max(-30, min(30, 3 * v))))
+    for (k, t), name, score in zip(texts, names, scores):
+        f = language_id.features(t)
+        margin = [sum(f[i] * model.weights[i, j] for i in np.flatnonzero(f)) + model.weights[-1, j] for j in range(model.weights.shape[1])]
+        family = max(range(len(model.families)), key=lambda j: margin[j])
+        inside, at = model.languages[family], len(model.families) + sum(len(x) * (len(x) - 1) // 2 for x in model.languages[:family])
+        votes, belief = Counter(), Counter()
+        for n, (a, b) in enumerate(combinations(inside, 2)):
+            p = sig(margin[at + n])
+            votes[a if p >= 0.5 else b] += 1
+            belief[a] += p
+            belief[b] += 1 - p
+        best = max(inside, key=lambda x: (votes[x], belief[x]))
+        want = sig(margin[family]) * (belief[best] / (len(inside) - 1) if len(inside) > 1 else 1)
+        assert name == best == k and abs(score - want) < 1e-9
+
+
 def test_passages():
     words = ["w%d" % i for i in range(150)]
     text = (" ".join(words[:70]) + "\n" + "  ".join(words[70:]) + " ").encode()
