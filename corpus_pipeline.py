@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hoarfrost.llm import quality_model
-from hoarfrost.llm.common import ship, table, written
+from hoarfrost.llm.common import fresh, named, ship, table, taken, written
 from hoarfrost.llm.registry import GOOD, packed
 from hoarfrost.llm.secret_scan import redact_secrets
 from hoarfrost.llm.simhash import one_of_each
@@ -19,39 +19,57 @@ from hoarfrost.llm.suffix_dedup import remove_repeats
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the quality classifier scores under GOOD. It learns from the labels of the stage's own documents."""
+    """Drop documents that the quality classifier scores under GOOD. It learns from the labels of the stage's own documents.
+
+    Null and empty texts are scored as one empty passage; repeated rows are
+    judged alike; an empty table stays empty.
+    """
     ship(spark)
     model = quality_model.train(docs, table(spark, sf_dir, "labels"))
-    return quality_model.score(docs, model, column="_score").where(F.col("_score") >= GOOD).select(*docs.columns)
+    (score,) = fresh(docs.columns, "quality_score")
+    return taken(quality_model.score(docs, model, column=score).where(named(score) >= GOOD), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates: the one of the smallest id."""
+    """Keep one document of each group of near copies: the one of the smallest id.
+
+    Null texts and texts without words are copies of each other; a null id is
+    kept only where a group has no other; of repeated rows one stays.
+    """
     ship(spark)
-    return one_of_each(docs).select(*docs.columns)
+    return one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take out of each text the 50-byte strings that documents of smaller ids have. Bytes of characters that were cut through go as well; a text may end up empty."""
+    """Take out of each text the 50-byte strings that documents of smaller ids have.
+
+    Bytes of characters that were cut through go as well; a text may end up
+    empty, and a null one is empty afterwards. Null ids count as the largest;
+    rows of one id don't take from each other. All rows stay.
+    """
     ship(spark)
-    return counted(remove_repeats(docs, decode=True).withColumnRenamed("kept", "text"), docs.columns)
+    own = ["n_bytes", "n_removed", "n_spans", "kept"]
+    aside = dict(zip(own, fresh(docs.columns, *(f"own_{c}" for c in own))))
+    apart = docs.select(*[named(c).alias(aside.get(c.lower(), c)) for c in docs.columns])
+    cut = remove_repeats(apart, decode=True)
+    return counted(cut.select(*[named("kept" if c == "text" else aside.get(c.lower(), c)).alias(c) for c in docs.columns]), docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put a mark in place of each secret."""
+    """Put a mark in place of each secret. Null and empty texts stay as they are, and so do all rows."""
     ship(spark)
     return counted(redact_secrets(docs), docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents' tokens into sequences: a row a piece."""
+    """Pack the documents' tokens into sequences: a row a piece. Null and empty texts are the end token alone; repeated rows are packed each."""
     ship(spark)
     return packed(docs)
 
 
 def counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """docs with n_chars as it is now."""
-    return (docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else docs).select(*columns)
+    return taken(docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else docs, columns)
 
 
 STAGES = [
