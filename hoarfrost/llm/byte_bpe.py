@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import others, schema_of, slices, taken
+from .common import mapped, others, schema_of, slices
 
 NEVER = 1 << 60
 
@@ -244,7 +244,7 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text: str = "te
             cols = [pa.array(ids, pa.binary()), *([pa.array(map(decode, ids), pa.binary())] if decoded else [])]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + cols, names=rest + new)
 
-    return taken(docs, [*rest, text]).mapInArrow(run, schema_of(docs, rest, ", ".join(f"{n} binary" for n in new)))
+    return mapped(docs, [*rest, text], run, schema_of(docs, rest, ", ".join(f"{n} binary" for n in new)))
 
 
 def decode_ids(tokens: DataFrame, ranks_path: str, ids: str = "token_ids") -> DataFrame:
@@ -257,4 +257,4 @@ def decode_ids(tokens: DataFrame, ranks_path: str, ids: str = "token_ids") -> Da
             out = [decode(x or b"") for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [pa.array(out, pa.binary())], names=[*rest, "decoded"])
 
-    return taken(tokens, [*rest, ids]).mapInArrow(run, schema_of(tokens, rest, "decoded binary"))
+    return mapped(tokens, [*rest, ids], run, schema_of(tokens, rest, "decoded binary"))

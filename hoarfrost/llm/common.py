@@ -113,6 +113,17 @@ def schema_of(docs: DataFrame, names: list[str], more: str = "") -> StructType:
     return StructType([StructField(n, fields[n].dataType) for n in names] + (StructType.fromDDL(more).fields if more else []))
 
 
+def mapped(docs: DataFrame, names: list[str], run, schema: StructType) -> DataFrame:
+    """run over the Arrow batches of docs' columns names, in place. mapInArrow can't take names with dots or backticks, so it sees numbered ones and run the real ones."""
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(b.rename_columns(names) for b in batches):
+            yield out.rename_columns([f"c{k}" for k in range(out.num_columns)])
+
+    rows = docs.select(*[named(n).alias(f"c{k}") for k, n in enumerate(names)])
+    inner = StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(schema.fields)])
+    return rows.mapInArrow(numbered, inner).toDF(*schema.names)
+
+
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes]:
     """A text column as UTF-8 bytes; null is empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

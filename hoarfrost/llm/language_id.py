@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import learnable, named, others, schema_of, slices, taken, written
+from .common import learnable, mapped, named, others, schema_of, slices, taken, written
 
 #: Buckets of hashed n-grams; labelled rows that are learnt from at most (shared out evenly to the languages).
 BUCKETS, SAMPLE_ROWS = 4096, 4000
@@ -198,4 +198,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             names, scores = model.predict(b.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [pa.array(names, pa.string()), pa.array(np.round(scores, 9), pa.float64())], names=[*rest, "lang_pred", "score"])
 
-    return taken(docs, [*rest, text]).mapInArrow(run, schema_of(docs, rest, "lang_pred string, score double"))
+    return mapped(docs, [*rest, text], run, schema_of(docs, rest, "lang_pred string, score double"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import Pieces, splitter
-from .common import arrow_schema, fresh, made, named, others, schema_of, slices, taken, written
+from .common import arrow_schema, fresh, made, mapped, named, others, schema_of, slices, taken, written
 
 #: Pieces that one task packs, and rounds of repacking after the first.
 PARTITION_PIECES, ROUNDS = 50_000, 2
@@ -95,7 +95,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, pattern: str, size: int,
             own = made(schema, piece, start, length, crc)
             yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(row, pa.int64())) for c in rest] + own.columns, names=rest + schema.names)
 
-    return taken(docs, [*rest, text]).mapInArrow(run, schema_of(docs, rest, new))
+    return mapped(docs, [*rest, text], run, schema_of(docs, rest, new))
 
 
 def lower_bound(lengths: np.ndarray, size: int) -> int:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import others, schema_of, slices, taken, utf8
+from .common import mapped, others, schema_of, slices, utf8
 
 UNIT = 192
 #: Bytes of texts or media that are worked on together.
@@ -434,7 +434,7 @@ def store_media(docs: DataFrame, text: str = "text") -> DataFrame:
                 [b.column(c) for c in rest] + [pa.array([write_jpeg(padded(t)) for t in texts], pa.binary()), pa.array(map(len, texts), pa.int64())], names=[*rest, "media", "n_bytes"],
             )
 
-    return taken(docs, [*rest, text]).mapInArrow(run, schema_of(docs, rest, "media binary, n_bytes long"))
+    return mapped(docs, [*rest, text], run, schema_of(docs, rest, "media binary, n_bytes long"))
 
 
 def read_media(media: DataFrame, column: str = "media") -> DataFrame:
@@ -454,4 +454,4 @@ def read_media(media: DataFrame, column: str = "media") -> DataFrame:
             cols = [[None if i is None else f(i) for i in images] for f in (Image.payload, lambda i: i.height, lambda i: i.width, lambda i: i.rgb().tobytes())]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.int32(), pa.binary()))], names=rest + new)
 
-    return taken(media, rest).mapInArrow(run, schema_of(media, rest, "payload binary, height int, width int, rgb binary"))
+    return mapped(media, rest, run, schema_of(media, rest, "payload binary, height int, width int, rgb binary"))

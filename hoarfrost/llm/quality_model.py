@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import learnable, named, others, schema_of, slices, taken, utf8, written
+from .common import learnable, mapped, named, others, schema_of, slices, taken, utf8, written
 
 #: Words of a passage; buckets of hashed character pairs; size of encodings and of attention.
 PASSAGE_WORDS, BUCKETS, ENCODING, ATTENTION = 64, 64, 24, 12
@@ -216,4 +216,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
         for b in slices(batches, text):
             yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [pa.array(np.round(model.score(utf8(b, text)), 6), pa.float64())], names=[*rest, column])
 
-    return taken(docs, rest).mapInArrow(run, StructType([*schema_of(docs, rest).fields, StructField(column, DoubleType())]))
+    return mapped(docs, rest, run, StructType([*schema_of(docs, rest).fields, StructField(column, DoubleType())]))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, arrow_schema, fresh, made, named, others, schema_of, slices, taken, utf8, written
+from .common import WHITE, arrow_schema, fresh, made, mapped, named, others, schema_of, slices, taken, utf8, written
 
 SYMBOLS = b"#*$%&|<>"
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -59,7 +59,7 @@ def with_text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
             stats = made(schema, *cols)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + stats.columns, names=rest + schema.names)
 
-    return taken(docs, [*rest, text]).mapInArrow(run, schema_of(docs, rest, STATS))
+    return mapped(docs, [*rest, text], run, schema_of(docs, rest, STATS))
 
 
 def failed(min_words: int = 50, max_repeat_pct: int = 50):

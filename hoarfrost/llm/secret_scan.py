@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import others, schema_of, slices, taken, utf8
+from .common import mapped, others, schema_of, slices, taken, utf8
 
 ANY = ("any",)
 MOST = 64
@@ -221,7 +221,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "
             spans = [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in find_spans(utf8(b, text), rules)]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [pa.array(spans, SPANS)], names=[*rest, "spans"])
 
-    return taken(docs, [*rest, text]).mapInArrow(run, schema_of(docs, rest, "spans array<struct<kind:string,start:bigint,end:bigint>>"))
+    return mapped(docs, [*rest, text], run, schema_of(docs, rest, "spans array<struct<kind:string,start:bigint,end:bigint>>"))
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]], mark: str = "[{}]") -> str:
@@ -244,4 +244,4 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
             new = [redacted(t, s) if s else t for t, s in zip(old, find_spans(utf8(b, text), rules))]
             yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, docs.columns, run, docs.schema)
