@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,17 +23,35 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read back: lineage ends here."""
+#: Tables of the innermost scratch().
+_tables: ContextVar[list | None] = ContextVar("tables", default=None)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """df, written as Parquet in the shared folder and read back: lineage ends here. Within scratch() it goes at the end, unless it is to be kept."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
+    if not keep and _tables.get() is not None:
+        _tables.get().append(out)
     return out
 
 
 def forget(df: DataFrame) -> None:
-    """Delete what written() wrote, once nothing reads it any more."""
+    """Delete what written() wrote, once nothing reads it any more. Deleting twice does nothing."""
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What written() writes within is deleted at the end: nothing that is read later may depend on it."""
+    before = _tables.set([])
+    try:
+        yield
+    finally:
+        for df in _tables.get():
+            forget(df)
+        _tables.reset(before)
