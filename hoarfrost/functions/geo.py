@@ -53,3 +53,16 @@ def pixel(x: Column, y: Column, west: float, north: float, cell: float = 100.0)
 def centre(row: Column, col: Column, west: float, north: float, cell: float = 100.0) -> tuple[Column, Column]:
     """(x, y) of a pixel's centre."""
     return west + (col + 0.5) * cell, north - (row + 0.5) * cell
+
+
+def point(text: Column) -> Column:
+    """'lat,lon' as (lat, lon) in degrees; null unless it is two numbers in range."""
+    parts = F.split(text, ",")
+    lat, lon = (F.trim(F.get(parts, F.lit(k))).try_cast("double") for k in (0, 1))
+    return F.when((F.size(parts) == 2) & lat.between(-90, 90) & lon.between(-180, 180), F.struct(lat.alias("lat"), lon.alias("lon")))
+
+
+def degrees_per_metre(lat: Column) -> tuple[Column, Column]:
+    """Degrees of latitude and of longitude that a metre is at a latitude, on a sphere of the ellipsoid's axis."""
+    north = 180 / (math.pi * AXIS)
+    return F.lit(north), north / F.cos(F.radians(lat))

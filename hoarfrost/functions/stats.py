@@ -63,3 +63,8 @@ def variance_scaled(f: Column, fm: Column, fs: Column, om: Column, os: Column) -
 def finite(x: Column) -> Column:
     """NaN and infinities as null."""
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+
+
+def celsius(kelvin: Column) -> Column:
+    """Kelvin as degrees Celsius."""
+    return kelvin - 273.15

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sampling import group_folds
+from . import trees
+from .sampling import group_folds, ranked
+from .storage import written
 
 
 def available(df: DataFrame, wanted: list[str]) -> list[str]:
@@ -24,21 +23,19 @@ def complete(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.where(keep)
 
 
-def forest(features: list[str], target: str, trees: int = 200, depth: int = 25, leaf: int = 20, share: float = 0.5, seed: int = 42) -> list:
-    """Stages of a random forest."""
-    return [VectorAssembler(inputCols=features, outputCol="_x"), RandomForestRegressor(featuresCol="_x", labelCol=target, predictionCol="predicted", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, featureSubsetStrategy=str(share), seed=seed, maxBins=64, cacheNodeIds=True)]
+def forest(features: list[str], target: str, **more) -> trees.Forest:
+    """A random forest: 200 trees of depth 25 unless told otherwise."""
+    return trees.Forest(tuple(features), target, **more)
 
 
-def boosted(features: list[str], target: str, rounds: int = 500, depth: int = 6, rate: float = 0.05, leaf: int = 20, seed: int = 42) -> list:
-    """Stages of gradient-boosted trees."""
-    return [VectorAssembler(inputCols=features, outputCol="_x"), GBTRegressor(featuresCol="_x", labelCol=target, predictionCol="predicted", maxIter=rounds, maxDepth=depth, stepSize=rate, minInstancesPerNode=leaf, seed=seed, maxBins=64)]
+def boosted(features: list[str], target: str, **more) -> trees.Boosting:
+    """Gradient-boosted trees: 500 rounds of depth 6 at rate 0.05 unless told otherwise."""
+    return trees.Boosting(tuple(features), target, **more)
 
 
-def fit(df: DataFrame, stages: list) -> PipelineModel:
-    """Fit stages on the complete rows of df."""
-    assembler, model = stages
-    rows = assembler.transform(complete(df, [*assembler.getInputCols(), model.getLabelCol()]))
-    return PipelineModel([assembler, model.fit(rows)])
+def fit(df: DataFrame, what: trees.Forest | trees.Boosting) -> trees.TreeModel:
+    """Fit on the complete rows of df."""
+    return trees.fit(complete(df, [*what.features, what.target]), what)
 
 
 def metrics(df: DataFrame, y: str, p: str, *keys: str) -> DataFrame:
@@ -49,52 +46,63 @@ def metrics(df: DataFrame, y: str, p: str, *keys: str) -> DataFrame:
     return sums.select(*keys, "n", (1 - F.try_divide(F.col("_se"), total)).alias("r2"), F.sqrt(F.col("_se") / F.col("n")).alias("rmse"), "mae", "bias")
 
 
-def cross_validated(df: DataFrame, stages, group: str, target: str, folds: int = 5) -> DataFrame:
+def cross_validated(df: DataFrame, what, group: str, target: str, folds: int = 5) -> DataFrame:
     """Metrics of each fold of whole groups. The models are few and fitted one after the other; their test rows are told apart by the fold."""
-    dealt = group_folds(df, group, folds).persist()
+    dealt = written(group_folds(df, group, folds), "folds")
     out = None
     for k in range(folds):
-        model = fit(dealt.where(F.col("fold") != k), stages())
+        model = fit(dealt.where(F.col("fold") != k), what())
         part = model.transform(dealt.where(F.col("fold") == k)).select("fold", target, "predicted")
         out = part if out is None else out.unionByName(part)
     return metrics(out, target, "predicted", "fold")
 
 
-def importances(spark, model: PipelineModel, features: list[str]) -> DataFrame:
+def importances(spark, model: trees.TreeModel) -> DataFrame:
     """feature, importance and rank of a tree model."""
-    values = model.stages[-1].featureImportances.toArray().tolist()
-    df = spark.createDataFrame(list(zip(features, values)), "feature string, importance double")
+    df = spark.createDataFrame(list(model.importances().items()), "feature string, importance double")
     return df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))  # one row a feature
 
 
-def permuted(df: DataFrame, model: PipelineModel, features: list[str], target: str, repeats: int = 1, seed: int = 42) -> DataFrame:
+def permuted(df: DataFrame, model: trees.TreeModel, features: list[str], target: str, repeats: int = 5, seed: int = 42) -> DataFrame:
     """Rise of the mean squared error when a feature's values are dealt anew, for every feature and repeat.
 
-    Values change places by rank in two orders of hashed draws within blocks of
-    rows, so no window is over the whole table.
+    df should be rows that the model hasn't learnt from. In a repeat every row
+    gets the values of the one before it in an order of hashed draws over the
+    whole table (the first those of the last), so ranks are found once a repeat
+    and all features are scored in one pass.
     """
-    base = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_b", F.spark_partition_id()).persist()
-    err = lambda d: F.avg((F.col("predicted") - F.col(target)) * (F.col("predicted") - F.col(target)))
-    plain = model.transform(base).agg(err(base).alias("mse0"))
+    rows = written(df.withColumn("_id", F.monotonically_increasing_id()), "rows")
+    goal = F.col(target)
+    plain = rows.agg(trees.prediction_error(model, goal).alias("mse0"), F.count(F.lit(1)).alias("n")).first()
     out = None
-    for f in features:
-        for r in range(repeats):
-            w = Window.partitionBy("_b")
-            mixed = base.withColumn("_i", F.row_number().over(w.orderBy("_id"))).withColumn("_j", F.row_number().over(w.orderBy(F.xxhash64("_id", F.lit(seed + r)), "_id")))
-            other = mixed.select(F.col("_b"), F.col("_j").alias("_i"), F.col(f).alias("_v"))
-            shuffled = mixed.join(other, ["_b", "_i"]).withColumn(f, F.col("_v"))
-            one = model.transform(shuffled).agg(err(shuffled).alias("mse")).select(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), "mse")
-            out = one if out is None else out.unionByName(one)
-    return out.crossJoin(F.broadcast(plain)).select("feature", "repeat", (F.col("mse") - F.col("mse0")).alias("rise"))  # plain is one row
-
-
-def partial_dependence(df: DataFrame, model: PipelineModel, grids: dict[str, list[float]]) -> DataFrame:
-    """Mean prediction with the given features set to every combination of their grids (one or two features)."""
-    values = [F.array(*[F.lit(float(x)) for x in g]) for g in grids.values()]
-    out = df
-    for f, g in zip(grids, values):
-        out = out.withColumn(f, F.explode(g))
-    return model.transform(out).groupBy(*grids).agg(F.avg("predicted").alias("mean_predicted"))
+    for r in range(repeats):
+        order = ranked(rows.withColumn("_draw", F.xxhash64("_id", F.lit(seed + r))), "_draw", name="_i")
+        other = order.select((F.col("_i") % plain["n"] + 1).alias("_i"), *[F.col(f).alias(f"_v{k}") for k, f in enumerate(features)])
+        mixed = order.join(other, "_i").repartition(df.sparkSession.sparkContext.defaultParallelism, "_id")  # predicting takes far longer than moving rows
+        errors = mixed.agg(*[trees.prediction_error(model, goal, **{f: f"_v{k}"}).alias(f"e{k}") for k, f in enumerate(features)])
+        one = errors.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), (F.col(f"e{k}") - plain["mse0"]).alias("rise")) for k, f in enumerate(features)])).alias("x")).select("x.*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def partial_dependence(df: DataFrame, model: trees.TreeModel, grids: dict[str, list[float]], rows: int = 10_000) -> DataFrame:
+    """Mean prediction with the given features set to every combination of their grids (one or two features), over a sample of rows rows (those of the smallest hashes).
+
+    Rows whose other features are in the same bins are predicted once.
+    """
+    some = df.select(*model.features).orderBy(F.xxhash64(*model.features), *model.features).limit(rows)
+    left = [f for f in model.features if f not in grids]
+    alike = some.groupBy(*[model.bins(f).alias(f"_b{k}") for k, f in enumerate(left)]).agg(F.count(F.lit(1)).alias("_n"), *[F.min(f).alias(f) for f in left])
+    out = written(alike.repartition(4 * df.sparkSession.sparkContext.defaultParallelism), "sample").select("_n", *left)
+    for f, g in grids.items():
+        out = out.withColumn(f, F.explode(F.array(*[F.lit(float(x)) for x in g])))
+    return model.transform(out).groupBy(*grids).agg((F.sum(F.col("predicted") * F.col("_n")) / F.sum("_n")).alias("mean_predicted"))
+
+
+def grid_of(df: DataFrame, feature: str, points: int) -> list[float]:
+    """points values from the least to the largest of a feature, evenly spaced."""
+    low, high = df.agg(F.min(feature), F.max(feature)).first()
+    return [low + (high - low) * k / (points - 1) for k in range(points)]
 
 
 def binned_means(df: DataFrame, x: str, y: str, bins: int = 40, least: int = 20) -> DataFrame:

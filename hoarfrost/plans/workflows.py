@@ -14,6 +14,7 @@ from hoarfrost.operators import season as season_ops
 from hoarfrost.operators import series as series_ops
 from hoarfrost.operators import training as train_ops
 from hoarfrost.operators.harmonic import harmonic_fit
+from hoarfrost.operators.storage import stored
 
 from . import views as v
 from .registry import query
@@ -25,7 +26,7 @@ CLIMATE = "v_day AS (SELECT d, avg(tmin) AS clim FROM v_obs GROUP BY 1)"
 COVER = "v_cov AS (SELECT p_partkey AS pixel, p_size AS size, p_retailprice / 10.0::DOUBLE AS elev FROM part WHERE p_size > 5)"
 
 
-def training(spark, sf_dir, rows=2000):
+def training(spark, sf_dir, rows=500_000):
     cells = v.scene(spark, sf_dir)
     kind = F.when(F.col("scene") % 3 == 0, "predawn").when(F.col("scene") % 3 == 1, "evening").otherwise("daytime")
     scenes = cells.groupBy("scene").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("lst") > 20).alias("valid")).withColumn("kind", kind)
@@ -36,7 +37,7 @@ def training(spark, sf_dir, rows=2000):
 
 
 @query(v.with_(v.SCENE, v.OBS, SCENES, CLIMATE, COVER, """v_j AS (SELECT * FROM v_scene JOIN v_sc USING (scene) JOIN v_day USING (d) JOIN v_cov USING (pixel) WHERE kind IN ('predawn', 'evening') AND valid > 0.1::DOUBLE * total)""", body="""
-SELECT scene, count(*) AS n, min(size) AS size_low FROM (SELECT *, count(*) OVER (PARTITION BY scene) AS m, (SELECT least(1.0::DOUBLE, 2000 / count(*)::DOUBLE) FROM v_j) AS f,
+SELECT scene, count(*) AS n, min(size) AS size_low FROM (SELECT *, count(*) OVER (PARTITION BY scene) AS m, (SELECT least(1.0::DOUBLE, 500000 / count(*)::DOUBLE) FROM v_j) AS f,
 row_number() OVER (PARTITION BY scene ORDER BY md5(concat_ws('|', CAST(scene AS VARCHAR), CAST(pixel AS VARCHAR), strftime(d, '%Y-%m-%d'), '42')), scene, pixel, d) AS i FROM v_j) WHERE i <= greatest(1, floor(m * f)) GROUP BY 1"""))
 def training_table(spark, sf_dir):
     """Rows of every scene in the training table."""
@@ -46,12 +47,25 @@ def training_table(spark, sf_dir):
 @query()
 def train_and_evaluate(spark, sf_dir):
     """Training table, grouped split, forest and its metrics on held-out scenes."""
-    split = sample_ops.group_split(training(spark, sf_dir, 500_000).withColumn("doy", F.dayofyear("d")), "scene")
+    split = sample_ops.group_split(training(spark, sf_dir).withColumn("doy", F.dayofyear("d")), "scene")
     features = model_ops.available(split, ["base", "clim", "size", "elev", "doy", "not_there"])
     model = model_ops.fit(split.where(~F.col("is_test")), model_ops.forest(features, "lst"))
     return model_ops.metrics(model.transform(split.where("is_test")), "lst", "predicted")
 
 
+def training_run(spark, sf_dir, folder):
+    """The steps of a training run, each kept in folder: the matrix, its split (by seed and share, as in the folder's name) and the predictions for held-out scenes. A run that starts again goes on from what is there."""
+    matrix = stored(spark, f"{folder}/matrix", lambda: training(spark, sf_dir).withColumn("doy", F.dayofyear("d")))
+    split = stored(spark, f"{folder}/split-42-0.3", lambda: sample_ops.group_split(matrix, "scene"))
+    features = model_ops.available(split, ["base", "clim", "size", "elev", "doy"])
+
+    def predicted():
+        model = model_ops.fit(split.where(~F.col("is_test")), model_ops.forest(features, "lst"))
+        return model.transform(split.where("is_test"))
+
+    return model_ops.metrics(stored(spark, f"{folder}/predicted", predicted), "lst", "predicted")
+
+
 @query()
 def gbt_frost_model(spark, sf_dir):
     """Boosted trees on the log odds of weekly frost; predicted maps for three anomalies."""
@@ -75,8 +89,8 @@ def mu_sigma_model(spark, sf_dir):
     c, s = stats.cyclic(F.col("week_num"), 52.0)
     rows = fit.crossJoin(F.broadcast(weeks)).withColumn("mu", mu).withColumn("ls", F.ln(F.greatest("sigma", F.lit(0.01)))).withColumn("wc", c).withColumn("ws", s)  # 39 weeks
     rows = rows.join(v.station(spark, sf_dir).select(F.col("station_id").alias("entity"), "lat"), "entity")
-    a = model_ops.fit(rows, model_ops.boosted(["lat", "wc", "ws"], "mu", rounds=10, depth=3, rate=0.3, leaf=1)).transform(rows).withColumnRenamed("predicted", "pm").drop("_x")
-    b = model_ops.fit(rows, model_ops.boosted(["lat", "wc", "ws"], "ls", rounds=10, depth=3, rate=0.3, leaf=1)).transform(a)
+    a = model_ops.fit(rows, model_ops.boosted(["lat", "wc", "ws"], "mu")).transform(rows).withColumnRenamed("predicted", "pm")
+    b = model_ops.fit(rows, model_ops.boosted(["lat", "wc", "ws"], "ls")).transform(a)
     return b.select("entity", "week_num", stats.below(0.0, F.col("pm"), F.greatest(F.exp("predicted"), F.lit(0.01))).alias("frost_prob"))
 
 
@@ -104,7 +118,7 @@ def last_frost_steps(spark, sf_dir):
 def spatial_design(spark, sf_dir):
     """Sample points: strata of two measures, a least distance, and the extremes besides (tested by parts)."""
     cells = v.grid(spark, sf_dir)
-    cells = grid_ops.position_index(cells, 300.0).withColumn("id", F.col("row") * 64 + F.col("col"))
+    cells = grid_ops.position_index(cells, 300.0).withColumn("id", F.shiftleft(F.col("row").cast("long"), 32) + F.col("col"))
     binned = sample_ops.binned(sample_ops.binned(cells, "z", 20, "zbin"), "tpi", 10, "tbin")
     some = sample_ops.stratified(binned, ["zbin", "tbin"], 400, "row", "col").withColumn("x", F.col("col") * 100.0).withColumn("y", F.col("row") * 100.0).withColumn("rank", sample_ops.draw("row", "col", seed=7))
     apart = sample_ops.thinned(some, "id", "x", "y", "rank", 500.0).select("id", "row", "col")
@@ -162,23 +176,31 @@ def season_month_ranges(spark, sf_dir):
 def point_and_label_text(spark, sf_dir):
     """'lat,lon' texts as numbers, and formatted labels."""
     k = F.col("c_custkey")
-    p = F.split(F.concat((35 + k % 7).cast("string"), F.lit(".5,-"), (80 + k % 5).cast("string"), F.lit(".25")), ",")
-    return v.table(spark, sf_dir, "customer").select("c_custkey", p[0].cast("double").alias("lat"), p[1].cast("double").alias("lon"), F.lower("c_mktsegment").contains("build").alias("in_context"), F.format_string("anomaly_%+.1fC", (k % 9 - 4) / 2.0).alias("label"))
+    p = geo.point(F.concat((35 + k % 7).cast("string"), F.lit(".5,-"), (80 + k % 5).cast("string"), F.lit(".25")))
+    return v.table(spark, sf_dir, "customer").select("c_custkey", p["lat"].alias("lat"), p["lon"].alias("lon"), F.lower("c_mktsegment").contains("build").alias("in_context"), F.format_string("anomaly_%+.1fC", (k % 9 - 4) / 2.0).alias("label"))
 
 
-LATTICE = "v_ll AS (SELECT CAST(floor(range / 40.0) AS INTEGER) AS i, CAST(range % 40 AS INTEGER) AS j, 36.03::DOUBLE - floor(range / 40.0) * 0.0075::DOUBLE AS lat, -83.2::DOUBLE + (range % 40) * 0.002::DOUBLE AS lon FROM range(2400))"
+#: Target lattice of the display: it spans the grid's rows (a step is 25/3 cells) and columns (8/5 cells).
+LATTICE = """v_n AS (SELECT (max(row) + 1) * 3 + 24 AS h, (max(col) + 1) * 5 + 7 AS w FROM v_grid), v_ll AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, 36.03::DOUBLE - i * 0.0075::DOUBLE AS lat, -83.2::DOUBLE + j * 0.002::DOUBLE AS lon
+FROM (SELECT unnest(range(h // 25)) AS i FROM v_n) CROSS JOIN (SELECT unnest(range(w // 8)) AS j FROM v_n))"""
+FRACTION = "(3990968.829495334::DOUBLE - north) / 100.0::DOUBLE - 0.5::DOUBLE AS pr, (east - 301472.366725655::DOUBLE) / 100.0::DOUBLE - 0.5::DOUBLE AS pc"
 
 
-@query(v.with_(v.GRID, LATTICE, utm_sql("v_ll"), f"v_at AS (SELECT i, j, {PIXEL} FROM v_utm)", body="SELECT i, j, round(z, 6) AS z FROM v_at LEFT JOIN v_grid USING (row, col)"))
+@query(v.with_(v.GRID, LATTICE, utm_sql("v_ll"), f"v_at AS (SELECT i, j, {PIXEL}, {FRACTION} FROM v_utm)", "v_near AS (SELECT i, j, pr - floor(pr) AS fr, pc - floor(pc) AS fc, CAST(floor(pr) AS INTEGER) AS r, CAST(floor(pc) AS INTEGER) AS c FROM v_at)", """
+v_one AS (SELECT i, j, CASE WHEN count(z) = 4 THEN sum(z * w) END AS z FROM (SELECT i, j, g.z, CASE WHEN dr = 0 THEN 1 - fr ELSE fr END * CASE WHEN dc = 0 THEN 1 - fc ELSE fc END AS w FROM v_near CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dr, dc) JOIN v_grid g ON g.row = r + dr AND g.col = c + dc) GROUP BY 1, 2)""",
+    body="SELECT i, j, round(v_one.z, 6) AS z, v_grid.z > 500 AS high FROM v_at LEFT JOIN v_grid USING (row, col) LEFT JOIN v_one USING (i, j)"))
 def display_reproject(spark, sf_dir):
-    """The grid on a longitude-latitude lattice for display: each target cell goes to UTM and takes the nearest source cell."""
+    """The grid on a longitude-latitude lattice for display: values from the four source cells around (null unless all are known), a mask from the nearest."""
     west, north = 301472.366725655, 3990968.829495334
-    lattice = spark.range(60 * 40).select(F.floor(F.col("id") / 40).cast("int").alias("i"), (F.col("id") % 40).cast("int").alias("j"))
+    grid = v.grid(spark, sf_dir)
+    high, wide = grid.agg(F.max("row"), F.max("col")).first()
+    lattice = grid_ops.lattice(spark, ((high + 1) * 3 + 24) // 25, ((wide + 1) * 5 + 7) // 8).select(F.col("row").alias("i"), F.col("col").alias("j"))
     lat, lon = 36.03 - F.col("i") * 0.0075, -83.2 + F.col("j") * 0.002
     east, northing = geo.utm(lat, lon)
     row, col = geo.pixel(east, northing, west, north)
-    target = lattice.select("i", "j", row.alias("row"), col.alias("col"))
-    return target.join(v.grid(spark, sf_dir), ["row", "col"], "left").select("i", "j", F.round("z", 6).alias("z"))
+    at = lattice.select("i", "j", row.alias("row"), col.alias("col"), ((north - northing) / 100.0 - 0.5).alias("pr"), ((east - west) / 100.0 - 0.5).alias("pc"))
+    mask = at.join(grid, ["row", "col"], "left").select("i", "j", (F.col("z") > 500).alias("high"))
+    return mask.join(grid_ops.order_one(at, grid), ["i", "j"]).select("i", "j", F.round("z", 6).alias("z"), "high")
 
 
 @query(v.with_(v.LONG, body="SELECT element, d, n, running FROM (SELECT element, d, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY element ORDER BY d) AS BIGINT) AS running FROM v_long GROUP BY 1, 2)"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hoarfrost.operators.trees import TreeModel
+
 
 def table(df: DataFrame, path: str, by: list[str] | None = None, rows_a_file: int = 0, codec: str = "zstd") -> None:
     """Parquet, in folders by the given columns; rows of a folder are brought together first, in as many files as they need."""
@@ -40,9 +43,14 @@ def record(spark: SparkSession, values: dict, path: str) -> None:
     spark.range(1).select(*fields).coalesce(1).write.mode("overwrite").json(path)
 
 
-def model(m: PipelineModel, path: str) -> None:
-    m.write().overwrite().save(path)
+def model(m: TreeModel, path: str) -> None:
+    """A tree model: its nodes as Parquet, the rest as one JSON record."""
+    spark = m.nodes.sparkSession
+    m.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+    text = json.dumps({"features": m.features, "target": m.target, "cuts": m.cuts, "base": m.base, "rate": m.rate})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(spark: SparkSession, path: str) -> TreeModel:
+    m = json.loads(spark.read.text(f"{path}/model").first()[0])
+    return TreeModel(tuple(m["features"]), m["target"], tuple(map(tuple, m["cuts"])), spark.read.parquet(f"{path}/nodes"), m["base"], m["rate"])
