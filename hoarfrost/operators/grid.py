@@ -219,6 +219,16 @@ def cubic(targets: DataFrame, grid: DataFrame, ratio_rows: float, ratio_cols: fl
     return _weighted(targets, grid, ends("row", ratio_rows), ends("col", ratio_cols), z)
 
 
+def order_one(places: DataFrame, grid: DataFrame, z: str = "z") -> DataFrame:
+    """places (i, j, pr, pc: row and column in cells from the first centre) with z between the four cells around, null unless all four are known."""
+    low_r, low_c = F.floor("pr"), F.floor("pc")
+    fr, fc = F.col("pr") - low_r, F.col("pc") - low_c
+    ends = F.array(*[F.struct((low_r + a).cast("int").alias("r"), (low_c + b).cast("int").alias("c"), ((fr if a else 1 - fr) * (fc if b else 1 - fc)).alias("w")) for a in (0, 1) for b in (0, 1)])
+    near = places.select("i", "j", F.explode(ends).alias("x")).select("i", "j", "x.r", "x.c", "x.w")
+    known = near.join(grid.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col(z).alias("v")), ["r", "c"], "left")
+    return known.groupBy("i", "j").agg(F.when(F.count("v") == 4, F.sum(F.col("v") * F.col("w"))).alias("z"))
+
+
 def nearest(targets: DataFrame, grid: DataFrame, ratio_rows: float, ratio_cols: float, z: str = "z") -> DataFrame:
     """Targets from the source cell that holds their centre."""
     at = lambda index, ratio: F.floor((F.col(index) + 0.5) * ratio).cast("int")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,17 +20,15 @@ def harmonic_fit(obs: DataFrame, key: str, day: str, value: str) -> DataFrame:
 
     def solve(batches):
         for pdf in batches:
-            beta, sigma = [], []
-            for r in pdf.to_dict("records"):
-                a = np.zeros((5, 5))
-                for i, j in names:
-                    a[i, j] = a[j, i] = r[f"a{i}{j}"]
-                rhs = np.array([r[f"r{i}"] for i in range(5)])
-                b = np.linalg.lstsq(a, rhs, rcond=None)[0]
-                rest = max(0.0, r["yy"] - 2 * b @ rhs + b @ a @ b)
-                n = int(r["n"])
-                beta.append(b.tolist())
-                sigma.append(math.sqrt(rest / max(1, n - min(5, max(1, n - 1)))))
-            yield pd.DataFrame({key: pdf[key], "n": pdf["n"], "beta": beta, "sigma": sigma})
+            a = np.zeros((len(pdf), 5, 5))
+            for i, j in names:
+                a[:, i, j] = a[:, j, i] = pdf[f"a{i}{j}"]
+            rhs = pdf[[f"r{i}" for i in range(5)]].to_numpy(float)
+            beta = (np.linalg.pinv(a, hermitian=True) @ rhs[:, :, None])[:, :, 0]
+            fitted = np.einsum("ki,kij,kj->k", beta, a, beta)
+            rest = np.maximum(0, pdf["yy"].to_numpy(float) - 2 * (beta * rhs).sum(axis=1) + fitted)
+            n = pdf["n"].to_numpy()
+            sigma = np.sqrt(rest / np.maximum(1, n - np.minimum(5, np.maximum(1, n - 1))))
+            yield pd.DataFrame({key: pdf[key], "n": n, "beta": beta.tolist(), "sigma": sigma})
 
     return grouped.mapInPandas(solve, f"{key} {dict(grouped.dtypes)[key]}, n bigint, beta array<double>, sigma double")

@@ -22,9 +22,9 @@ def nearest_days(dimension: DataFrame, day: str) -> DataFrame:
 
 
 def asof_nearest(left: DataFrame, day: str, dimension: DataFrame, key: str) -> DataFrame:
-    """left with the rows of dimension on the day nearest to its own (the earlier one of two); days outside go to the first or last."""
+    """left with the rows of dimension on the day nearest to its own (the earlier one of two); days outside go to the first or last, and a null day to none."""
     ends = dimension.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    clamped = left.crossJoin(F.broadcast(ends)).withColumn("_day", F.least(F.greatest(F.col(day), F.col("_lo")), F.col("_hi"))).drop("_lo", "_hi")  # ends is one row
+    clamped = left.crossJoin(F.broadcast(ends)).withColumn("_day", F.when(F.col(day).isNotNull(), F.least(F.greatest(F.col(day), F.col("_lo")), F.col("_hi")))).drop("_lo", "_hi")  # ends is one row
     found = clamped.join(nearest_days(dimension, key), "_day", "left").drop("_day")
     return found.join(dimension.withColumnRenamed(key, "nearest"), "nearest", "left")
 
@@ -65,5 +65,5 @@ def with_fallback(left: DataFrame, day: str, composites: DataFrame, key: str, va
     known = weekly.agg(F.sort_array(F.collect_list(F.struct("_w", "_median"))).alias("_weeks"))  # 53 weeks at most
     recent = asof_nearest(left, day, composites.select(key, value), key)
     near = F.array_min(F.transform("_weeks", lambda s: F.struct(F.abs(s["_w"] - F.weekofyear(day)).alias("gap"), s["_w"].alias("w"), s["_median"].alias("m"))))["m"]
-    out = recent.crossJoin(F.broadcast(known)).withColumn(value, F.when(F.year(day) >= since, F.col(value)).otherwise(near))
+    out = recent.crossJoin(F.broadcast(known)).withColumn(value, F.when(F.year(day) >= since, F.col(value)).when(F.col(day).isNotNull(), near))
     return out.drop("_weeks", "nearest")

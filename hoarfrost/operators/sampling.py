@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,18 +21,24 @@ def sample_n(df: DataFrame, n: int, *keys: str, seed: int = 42) -> DataFrame:
 
 
 def sample_per_group(df: DataFrame, group: str, fraction: float, *keys: str, seed: int = 42) -> DataFrame:
-    """max(1, int(size * fraction)) rows of each group."""
-    whole = Window.partitionBy(group)
-    out = df.withColumn("_h", draw(*keys, seed=seed)).withColumn("_n", F.count(F.lit(1)).over(whole)).withColumn("_i", F.row_number().over(whole.orderBy("_h", *keys)))
-    return out.where(F.col("_i") <= F.greatest(F.lit(1), F.floor(F.col("_n") * fraction))).drop("_h", "_n", "_i")
+    """max(1, int(size * fraction)) rows of each group: those of the smallest draws.
+
+    A row's place in its group is its rank over the whole table less that of
+    the group's first row, so a large group is no task of its own.
+    """
+    order = ranked(df.withColumn("_h", draw(*keys, seed=seed)), group, "_h", *keys, name="_i")
+    sizes = order.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    kept = order.join(sizes, F.col(group).eqNullSafe(F.col("_g")))
+    return kept.where(F.col("_i") - F.col("_first") < F.greatest(F.lit(1), F.floor(F.col("_n") * fraction))).select(*df.columns)
 
 
 def binned(df: DataFrame, col: str, bins: int, name: str) -> DataFrame:
-    """df with the number of col's bin of equal width over its whole range; the largest value is in the last bin."""
-    ends = df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
+    """df with the number of col's bin of equal width over its whole range; the largest value is in the last bin. Null and NaN have no bin and no say in the range."""
+    known = F.when(~F.isnan(F.col(col).cast("double")), F.col(col))
+    ends = df.agg(F.min(known).alias("_lo"), F.max(known).alias("_hi"))
     width = F.coalesce(F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)), F.lit(1.0))
-    at = F.floor((F.col(col) - F.col("_lo")) / width * bins).cast("int")
-    return df.crossJoin(F.broadcast(ends)).withColumn(name, F.least(at, F.lit(bins - 1))).drop("_lo", "_hi")  # ends is one row
+    at = F.floor((known - F.col("_lo")) / width * bins).cast("int")
+    return df.crossJoin(F.broadcast(ends)).withColumn(name, F.when(at.isNotNull(), F.least(at, F.lit(bins - 1)))).drop("_lo", "_hi")  # ends is one row
 
 
 def stratified(df: DataFrame, strata: list[str], n: int, *keys: str, cells: int = 200, seed: int = 42) -> DataFrame:
@@ -51,26 +59,29 @@ def extremes(df: DataFrame, cols: list[str], *keys: str) -> DataFrame:
 
 
 def group_split(df: DataFrame, group: str, share: float = 0.3, seed: int = 42) -> DataFrame:
-    """df with is_test: ceil(share * number of groups) whole groups are test."""
-    groups = df.select(group).distinct().withColumn("_h", draw(group, seed=seed))
-    count = groups.agg(F.ceil(F.count(F.lit(1)) * share).alias("_n"))
-    order = Window.orderBy("_h", group)  # one row a group
-    test = groups.withColumn("_i", F.row_number().over(order)).crossJoin(F.broadcast(count)).select(group, (F.col("_i") <= F.col("_n")).alias("is_test"))
-    return df.join(test, group)
+    """df with is_test: ceil(share * number of groups) whole groups are test, those of the smallest draws."""
+    groups = ranked(df.select(group).distinct().withColumn("_h", draw(group, seed=seed)), "_h", group, name="_i")
+    test = math.ceil(groups.count() * share)
+    return df.join(groups.select(group, (F.col("_i") <= test).alias("is_test")), group)
 
 
-def ranked(df: DataFrame, key: str, name: str = "rank", ranges: int = 64) -> DataFrame:
-    """df with the rank (from 1) of each row by a numeric key, without one task that sorts all rows.
+def ranked(df: DataFrame, *keys: str, name: str = "rank") -> DataFrame:
+    """df with the rank (from 1) of each row by keys (ascending, nulls first), without one task that sorts all rows.
 
-    Rows go into ranges between approximate quantiles; a row's rank is its place
-    within its range and the number of rows of the ranges before.
+    Rows are dealt by ranges of the keys, and within equal ones by a draw, so
+    that a heavy key is split; a row's rank is its place in its range and the
+    number of rows in the ranges before. The dealt rows are written once to the
+    shared folder. Equal keys are in any order.
     """
-    cuts = df.agg(F.percentile_approx(key, F.array(*[F.lit(k / ranges) for k in range(1, ranges)])).alias("_cuts"))
-    dealt = df.crossJoin(F.broadcast(cuts)).withColumn("_r", F.size(F.filter("_cuts", lambda c: c < F.col(key)))).drop("_cuts")  # one row
-    counts = dealt.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_r", (F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).alias("_before"))  # a row a range
-    placed = dealt.withColumn(name, F.row_number().over(Window.partitionBy("_r").orderBy(key)))
-    return placed.join(F.broadcast(before), "_r").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_r", "_before")
+    spread = df.withColumn("_tie", F.rand(7))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = spread.repartitionByRange(parts, *keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
+    dealt = written(order.withColumn("_place", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_place", 33)  # its lower 33 bits count the rows of a partition
+    counts = dealt.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
+    placed = dealt.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return placed.withColumn(name, F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_part", "_place", "_before")
 
 
 def runs(df: DataFrame, key: str, n: int, name: str = "fold") -> DataFrame:
@@ -80,26 +91,46 @@ def runs(df: DataFrame, key: str, n: int, name: str = "fold") -> DataFrame:
     at = F.col("_rank") - 1
     big = more * (size + 1)
     number = F.when(at < big, F.floor(at / (size + 1))).otherwise(more + F.floor((at - big) / F.greatest(size, F.lit(1))))
-    return ranked(df, key, "_rank").crossJoin(F.broadcast(total)).withColumn(name, number.cast("int")).drop("_rank", "_t")  # one row
+    return ranked(df, key, name="_rank").crossJoin(F.broadcast(total)).withColumn(name, number.cast("int")).drop("_rank", "_t")  # one row
 
 
 def group_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
     """df with fold: groups, largest first, each to the fold with the fewest rows so far (the first of equal ones).
 
-    The greedy pass is over one row a group, gathered as sizes in one sorted
-    array, and is an aggregate over it.
+    Groups of one size are dealt together: the driver sees only how many
+    groups there are of each size (fewer sizes than the square root of twice
+    the rows), and a group finds its fold by its rank among those of its size.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    rows = sizes.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(group).alias("g")))).alias("gs"))
-    start = F.struct(F.transform(F.sequence(F.lit(0), F.lit(folds - 1)), lambda i: F.struct(F.lit(0).cast("long").alias("n"), i.alias("f"))).alias("load"), F.array().cast("array<int>").alias("at"))
-
-    def step(acc, x):
-        f = F.array_min(acc["load"])["f"]
-        load = F.transform(acc["load"], lambda s: F.struct(F.when(s["f"] == f, s["n"] - x["m"]).otherwise(s["n"]).alias("n"), s["f"].alias("f")))
-        return F.struct(load.alias("load"), F.concat(acc["at"], F.array(f)).alias("at"))
-
-    placed = rows.select("gs", F.aggregate("gs", start, step)["at"].alias("at")).select(F.explode(F.arrays_zip("gs", "at")).alias("x")).select(F.col("x.gs.g").alias(group), F.col("x.at").alias("fold"))
-    return df.join(placed, group)
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_m", -F.col("_n"))
+    order = ranked(sizes, "_m", group, name="_i")
+    load, first, dealt = [0] * folds, 1, []
+    for n, count in order.groupBy("_n").count().orderBy(F.desc("_n")).collect():
+        for length, cycle in rounds_of(load, n, count):
+            dealt.append((n, first, first + length, cycle))
+            first += length
+    spark = df.sparkSession
+    parts = spark.createDataFrame(dealt, "_n long, _from long, _to long, _cycle array<int>")
+    found = order.join(parts, "_n").where((F.col("_i") >= F.col("_from")) & (F.col("_i") < F.col("_to")))
+    at = F.pmod(F.col("_i") - F.col("_from"), F.size("_cycle")).cast("int")
+    return df.join(found.select(group, F.get("_cycle", at).alias("fold")), group)
+
+
+def rounds_of(load: list[int], n: int, count: int) -> list[tuple[int, list[int]]]:
+    """How count groups of n rows go to the folds, each to the least loaded (the first of equal ones): runs (groups, the folds that they go to in turn). load is brought up to date."""
+    out = []
+    while count:
+        order = sorted(range(len(load)), key=lambda f: (load[f], f))
+        low = load[order[0]]
+        cycle = [f for f in order if (load[f], f) <= (low + n, order[0])]
+        rest = [load[f] for f in range(len(load)) if f not in cycle]
+        turns = min(count // len(cycle), *((low_rest - max(load[f] for f in cycle) - 1) // n + 1 for low_rest in [min(rest)])) if rest else count // len(cycle)
+        if turns < 1:
+            cycle, turns = cycle[:1], 1
+        for f in cycle:
+            load[f] += n * turns
+        count -= turns * len(cycle)
+        out.append((turns * len(cycle), cycle))
+    return out
 
 
 def thinned(points: DataFrame, key: str, x: str, y: str, order: str, apart: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -55,3 +55,11 @@ def scratch() -> Iterator[None]:
         for df in _tables.get():
             forget(df)
         _tables.reset(before)
+
+
+def stored(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path, made and written if it isn't there whole (by its success mark): steps that are done are skipped when a run starts again."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        make().write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)

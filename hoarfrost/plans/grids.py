@@ -102,8 +102,16 @@ def class_fraction_majority(spark, sf_dir):
     return rounded(ops.class_fractions(cells, "code", [1, 2, 3, 4], 4), "fraction")
 
 
-TARGETS = "v_tgt AS (SELECT CAST(floor(range / 40.0) AS INTEGER) AS row, CAST(range % 40 AS INTEGER) AS col FROM range(300 * 40))"
-RATIO = (500 / 300, 64 / 40)
+#: Targets cover the whole grid, whatever its size: three cells for five rows, five for eight columns.
+TARGETS = """v_n AS (SELECT (max(row) + 1) * 3 + 4 AS h, (max(col) + 1) * 5 + 7 AS w FROM v_grid), v_tgt AS (SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col FROM (SELECT unnest(range(h // 5)) AS r FROM v_n) CROSS JOIN (SELECT unnest(range(w // 8)) AS c FROM v_n))"""
+RATIO = (5 / 3, 8 / 5)
+
+
+def targets(spark, sf_dir):
+    high, wide = v.grid(spark, sf_dir).agg(F.max("row"), F.max("col")).first()
+    return ops.lattice(spark, ((high + 1) * 3 + 4) // 5, ((wide + 1) * 5 + 7) // 8)
+
+
 PLACES = f"v_pl AS (SELECT row, col, (row + 0.5::DOUBLE) * {RATIO[0]!r}::DOUBLE - 0.5::DOUBLE AS pr, (col + 0.5::DOUBLE) * {RATIO[1]!r}::DOUBLE - 0.5::DOUBLE AS pc FROM v_tgt)"
 
 
@@ -120,17 +128,17 @@ CUBIC = f"""[{{{{'i': CAST(floor({{p}}) AS INTEGER) - 1, 'w': (1 - {_t}) * (1 -
 
 @query(v.with_(v.GRID, v.HOLED, TARGETS, PLACES, body=_resampled(BILINEAR)))
 def bilinear_resample(spark, sf_dir):
-    return rounded(ops.bilinear(ops.lattice(spark, 300, 40), v.holed(v.grid(spark, sf_dir)), *RATIO), "z")
+    return rounded(ops.bilinear(targets(spark, sf_dir), v.holed(v.grid(spark, sf_dir)), *RATIO), "z")
 
 
 @query(v.with_(v.GRID, v.HOLED, TARGETS, PLACES, body=_resampled(CUBIC)))
 def cubic_resample(spark, sf_dir):
-    return rounded(ops.cubic(ops.lattice(spark, 300, 40), v.holed(v.grid(spark, sf_dir)), *RATIO), "z")
+    return rounded(ops.cubic(targets(spark, sf_dir), v.holed(v.grid(spark, sf_dir)), *RATIO), "z")
 
 
 @query(v.with_(v.GRID, TARGETS, body=f"""SELECT t.row, t.col, round(g.z, 6) AS z FROM v_tgt t JOIN v_grid g ON g.row = CAST(floor((t.row + 0.5::DOUBLE) * {RATIO[0]!r}::DOUBLE) AS INTEGER) AND g.col = CAST(floor((t.col + 0.5::DOUBLE) * {RATIO[1]!r}::DOUBLE) AS INTEGER)"""))
 def nearest_resample(spark, sf_dir):
-    return rounded(ops.nearest(ops.lattice(spark, 300, 40), v.grid(spark, sf_dir), *RATIO), "z")
+    return rounded(ops.nearest(targets(spark, sf_dir), v.grid(spark, sf_dir), *RATIO), "z")
 
 
 @query(v.with_(v.GRID, v.HOLED, body="SELECT CAST(floor((row + 0.5::DOUBLE) / 2.5::DOUBLE) AS INTEGER) AS row, CAST(floor((col + 0.5::DOUBLE) / 1.6::DOUBLE) AS INTEGER) AS col, round(avg(z), 6) AS z FROM v_hole GROUP BY 1, 2"))

@@ -46,17 +46,21 @@ def group_shuffle_split(spark, sf_dir):
     return split.groupBy("l_suppkey", "is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""WITH g AS (SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT list(l_suppkey ORDER BY n DESC, l_suppkey) AS keys, list({'load': [0::BIGINT], 'spots': [0], 'n': n} ORDER BY n DESC, l_suppkey) AS steps FROM g),
+f AS (SELECT keys, list_reduce(list_prepend({'load': [0::BIGINT, 0, 0, 0, 0], 'spots': []::INTEGER[], 'n': 0::BIGINT}, steps), lambda acc, x: {'load': list_transform(acc.load, lambda v, i: v + CASE WHEN i = list_position(acc.load, list_min(acc.load)) THEN x.n ELSE 0 END),
+'spots': list_append(acc.spots, list_position(acc.load, list_min(acc.load)) - 1), 'n': x.n}).spots AS spots FROM s), d AS (SELECT unnest(keys) AS l_suppkey, unnest(spots) AS fold FROM f)
+SELECT CAST(fold AS INTEGER) AS fold, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_groups FROM d JOIN g USING (l_suppkey) GROUP BY 1""")
 def group_kfold(spark, sf_dir):
-    """Rows and groups of five folds of about the same size (greedy: no SQL; see tests)."""
+    """Rows and groups of five folds of about the same size, dealt greedily."""
     folds = ops.group_folds(v.table(spark, sf_dir, "lineitem").select("l_suppkey"), "l_suppkey")
     return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_suppkey").alias("n_groups"))
 
 
-@query()
+@query(v.with_(v.GRID, "v_c AS (SELECT [{'id': CAST(row AS BIGINT) * 64 + col, 'x': row::DOUBLE, 'y': col::DOUBLE}] AS c, z FROM v_grid WHERE z > 514)", body="""
+SELECT k.id, k.x, k.y FROM (SELECT unnest(list_reduce(list(c ORDER BY z DESC, c[1].id), lambda acc, c: CASE WHEN len(list_filter(acc, lambda a: (a.x - c[1].x) * (a.x - c[1].x) + (a.y - c[1].y) * (a.y - c[1].y) < 36)) > 0 THEN acc ELSE list_concat(acc, c) END)) AS k FROM v_c)"""))
 def min_separation_thinning(spark, sf_dir):
-    """Cells at least 6 apart, in the order of their height (greedy: no SQL; see tests)."""
-    cells = v.grid(spark, sf_dir).where("z > 514").select((F.col("row") * 64 + F.col("col")).alias("id"), F.col("row").cast("double").alias("x"), F.col("col").cast("double").alias("y"), (-F.col("z")).alias("rank"))
+    """Cells at least 6 apart, taken greedily in the order of their height."""
+    cells = v.grid(spark, sf_dir).where("z > 514").select((F.col("row").cast("long") * 64 + F.col("col")).alias("id"), F.col("row").cast("double").alias("x"), F.col("col").cast("double").alias("y"), (-F.col("z")).alias("rank"))
     return ops.thinned(cells, "id", "x", "y", "rank", 6.0).select("id", "x", "y")
 
 

@@ -1,7 +1,9 @@
 """Operators on small literal tables: edges, ties, nulls, and those that SQL can't express."""
 
 import datetime as dt
+import hashlib
 import math
+import os
 import random
 
 import numpy as np
@@ -241,7 +243,7 @@ def test_models(spark):
     model = models.fit(df, models.forest(["a", "b"], "y", trees=10, depth=6, leaf=5))
     got = models.metrics(model.transform(models.complete(df, ["a", "b", "y"])), "y", "predicted").first()
     assert got.r2 > 0.95 and got.n == 1500
-    ranks = {r.feature: r.rank for r in models.importances(spark, model, ["a", "b"]).collect()}
+    ranks = {r.feature: r.rank for r in models.importances(spark, model).collect()}
     assert ranks == {"a": 1, "b": 2}
     rise = {r.feature: r.rise for r in models.permuted(models.complete(df, ["a", "b", "y"]), model, ["a", "b"], "y").collect()}
     assert rise["a"] > 0.3 > abs(rise["b"])
@@ -278,3 +280,91 @@ def test_ranks(spark):
     folds = sorted((r.x, r.fold) for r in sampling.runs(df, "x", 5).collect())
     assert [f for _, f in folds] == [0] * 64 + [1] * 64 + [2] * 63 + [3] * 63 + [4] * 63
     assert [r.fold for r in sampling.runs(df.limit(2), "x", 5).orderBy("x").collect()] == [0, 1]
+
+
+def test_null_days_match_nothing(spark):
+    left = spark.createDataFrame([(1, D(2020, 1, 3)), (2, None)], "k int, d date")
+    composites = spark.createDataFrame([(D(2020, 1, 1), 10.0), (D(2020, 1, 20), 20.0)], "day date, v double")
+    assert {r.k: (r.nearest, r.v) for r in joins.asof_nearest(left, "d", composites, "day").collect()} == {1: (D(2020, 1, 1), 10.0), 2: (None, None)}
+    assert {r.k: r.v for r in joins.with_fallback(left, "d", composites, "day", "v", 2013).collect()} == {1: 10.0, 2: None}
+
+
+def test_ranks_of_heavy_keys(spark):
+    rows = [(7, i) for i in range(900)] + [(k, 0) for k in range(60)] + [(None, 1)]
+    df = spark.createDataFrame(rows, "k int, v int").repartition(6)
+    got = sampling.ranked(df, "k", "v").collect()
+    assert [(r.k, r.v) for r in sorted(got, key=lambda r: r["rank"])] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert sorted(r["rank"] for r in sampling.ranked(df, "k").collect()) == list(range(1, 962))
+    assert sampling.ranked(df.limit(0), "k").count() == 0
+
+
+def test_sample_of_a_heavy_group(spark):
+    rows = [("a", i) for i in range(1000)] + [("b", i) for i in range(3)] + [(None, 1), (None, 2)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    got = {}
+    for r in sampling.sample_per_group(df, "g", 0.1, "v").collect():
+        got.setdefault(r.g, set()).add(r.v)
+    draws = lambda vs: sorted(vs, key=lambda v: (hashlib.md5(f"{v}|42".encode()).hexdigest(), v))
+    assert got == {"a": set(draws(range(1000))[:100]), "b": {draws(range(3))[0]}, None: {draws([1, 2])[0]}}
+
+
+def slow_folds(sizes, folds):
+    load, out = [0] * folds, {}
+    for g, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        f = min(range(folds), key=lambda f: (load[f], f))
+        out[g] = f
+        load[f] += n
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_folds_against_the_greedy_pass(spark, seed):
+    rng = random.Random(seed)
+    sizes = {g: rng.choice([1, 1, 2, 2, 3, 5, 40, 41, 200]) for g in range(rng.choice([3, 40, 120]))}
+    df = spark.createDataFrame([(g,) for g, n in sizes.items() for _ in range(n)], "g int")
+    folds = rng.choice([2, 3, 5])
+    got = {r.g: r.fold for r in sampling.group_folds(df, "g", folds).distinct().collect()}
+    assert got == slow_folds(sizes, folds)
+
+
+def test_rounds_of_groups():
+    for seed in range(300):
+        rng = random.Random(seed)
+        load = [rng.randrange(50) for _ in range(rng.randrange(1, 6))]
+        n, count = rng.randrange(1, 12), rng.randrange(0, 80)
+        want, mine = list(load), list(load)
+        order = []
+        for _ in range(count):
+            f = min(range(len(want)), key=lambda f: (want[f], f))
+            want[f] += n
+            order.append(f)
+        got = [f for length, cycle in sampling.rounds_of(mine, n, count) for k in range(length) for f in [cycle[k % len(cycle)]]]
+        assert got == order and mine == want, (seed, load)
+
+
+def test_bins_with_odd_values(spark):
+    df = spark.createDataFrame([(0.0,), (5.0,), (10.0,), (float("nan"),), (None,)], "x double")
+    assert [r.b for r in sampling.binned(df, "x", 4, "b").collect()] == [0, 2, 3, None, None]
+
+
+def test_points_and_units(spark):
+    texts = ["35.5,-83.25", " 1 , 2 ", "91,0", "0,181", "1", "1,2,3", "a,b", "", None]
+    got = [r.p and (r.p.lat, r.p.lon) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(geo.point(F.col("t")).alias("p")).collect()]
+    assert got == [(35.5, -83.25), (1.0, 2.0), None, None, None, None, None, None, None]
+    north, east = spark.range(1).select(*geo.degrees_per_metre(F.lit(60.0))).first()
+    assert abs(north * 111_319.49 - 1) < 1e-6 and abs(east / north - 2) < 1e-9
+    assert spark.range(1).select(stats.celsius(F.lit(300.0))).first()[0] == 300 - 273.15
+
+
+def test_steps_are_kept(spark, tmp_path):
+    from hoarfrost.operators.storage import scratch, stored, written
+
+    calls = []
+    make = lambda: calls.append(1) or spark.range(3)
+    for _ in range(2):
+        assert stored(spark, f"{tmp_path}/a", make).count() == 3
+    assert len(calls) == 1
+    with scratch():
+        gone, there = written(spark.range(2), "x"), written(spark.range(2), "y", keep=True)
+        assert gone.count() == 2
+    assert there.count() == 2 and not os.path.exists(gone._written_at.removeprefix("file:"))
