@@ -1,11 +1,12 @@
-"""Single-band TIFF rasters as cells, read and written by Spark tasks."""
+"""TIFF rasters as cells, read and written by Spark tasks."""
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -13,24 +14,54 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Tags of the TIFF format and of its GDAL and GeoTIFF extensions.
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, PREDICTOR, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 317, 339
-PIXEL_SCALE, TIE_POINT, NODATA = 33550, 33922, 42113
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
+TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, FORMAT = 322, 323, 324, 325, 339
+PIXEL_SCALE, TIE_POINT, GEO_KEYS, METADATA, NODATA = 33550, 33922, 34735, 42112, 42113
+#: GeoTIFF keys of the coordinate system: type of model, geographic, projected.
+MODEL_KEY, GEOGRAPHIC_KEY, PROJECTED_KEY = 1024, 2048, 3072
 KINDS = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 12: "d"}
+PLAIN, LZW, DEFLATE, OLD_DEFLATE = 1, 5, 8, 32946
 
 
 @dataclass
 class Raster:
-    """values: the band. west, north, cell: its upper left corner and cell size (0, 0, 1 if not given). nodata: the value that means none."""
+    """bands: (band, row, column). west, north, cell: its upper left corner and cell size (0, 0, 1 if not given). nodata: the value that means none. names: of the bands. epsg: the code of its coordinate system, if given."""
 
-    values: np.ndarray
+    bands: np.ndarray
     west: float = 0.0
     north: float = 0.0
     cell: float = 1.0
     nodata: float | None = None
-
-
-def decode(data: bytes) -> Raster:
-    """One band in strips, plain or deflated, of 8 to 64 bits; other forms are refused."""
+    names: list[str] = field(default_factory=list)
+    epsg: int | None = None
+
+
+def unpack_lzw(data: bytes) -> bytes:
+    """TIFF's variable-length codes of 9 to 12 bits, the high bits first; 256 clears the table and 257 ends."""
+    out, table, last = [], [], b""
+    value = bits = 0
+    width = 9
+    for byte in data:
+        value, bits = (value << 8 | byte) & 0xFFFFFF, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = value >> bits & ((1 << width) - 1)
+        if code == 256:
+            table, last, width = [bytes([k]) for k in range(256)] + [b"", b""], b"", 9
+            continue
+        if code == 257:
+            break
+        entry = table[code] if code < len(table) else last + last[:1]
+        out.append(entry)
+        if last:
+            table.append(last + entry[:1])
+        last = entry
+        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+    return b"".join(out)
+
+
+def _tags(data: bytes) -> tuple[str, dict[int, tuple]]:
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("not a TIFF")
@@ -42,72 +73,146 @@ def decode(data: bytes) -> Raster:
             size = struct.calcsize(order + KINDS[kind]) * n
             where = at + 10 + 12 * k if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
             tags[tag] = (data[where : where + n],) if kind == 2 else struct.unpack_from(order + KINDS[kind] * n, data, where)
+    return order, tags
+
+
+def _undone(raw: bytes, order: str, kind: str, size: int, shape: tuple[int, int, int], predictor: int) -> np.ndarray:
+    """A block (row, column, sample) with its predictor taken back."""
+    rows, width, samples = shape
+    if predictor == 3:  # bytes of a row by significance, each the difference to the one before
+        planes = np.frombuffer(raw, np.uint8, rows * width * samples * size).reshape(rows, -1, samples).cumsum(axis=1, dtype=np.uint8)
+        planes = planes.reshape(rows, size, width * samples).transpose(0, 2, 1)
+        return np.ascontiguousarray(planes).view(f">f{size}").reshape(shape)
+    values = np.frombuffer(raw, f"{order}{kind}{size}", rows * width * samples).reshape(shape)
+    return values.cumsum(axis=1, dtype=values.dtype.newbyteorder("=")) if predictor == 2 else values
+
+
+def decode(data: bytes, window: tuple[int, int, int, int] | None = None) -> Raster:
+    """Bands in strips or tiles, together or apart; plain, LZW or deflated, with or without a predictor, of 8 to 64 bits; other forms are refused.
+
+    Only blocks that meet the window (first row, last row, first and last
+    column) are unpacked; the corner is then that of the window.
+    """
+    order, tags = _tags(data)
     one = lambda tag, default: tags.get(tag, (default,))[0]
-    width, height, packing = one(WIDTH, 0), one(HEIGHT, 0), one(COMPRESSION, 1)
-    if one(SAMPLES, 1) != 1 or packing not in (1, 8, 32946) or one(PREDICTOR, 1) != 1 or OFFSETS not in tags:
-        raise ValueError("only one band in plain or deflated strips is read")
-    parts = [data[a : a + n] for a, n in zip(tags[OFFSETS], tags[COUNTS])]
-    raw = b"".join(parts if packing == 1 else map(zlib.decompress, parts))
-    kind = {1: "u", 2: "i", 3: "f"}[one(FORMAT, 1)]
-    values = np.frombuffer(raw, f"{order}{kind}{one(BITS, 8) // 8}", width * height).reshape(height, width)
+    width, height, packing, samples = one(WIDTH, 0), one(HEIGHT, 0), one(COMPRESSION, PLAIN), one(SAMPLES, 1)
+    unpack = {PLAIN: bytes, LZW: unpack_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress}.get(packing)
+    tiled = TILE_OFFSETS in tags
+    if unpack is None or not tiled and OFFSETS not in tags or one(PREDICTOR, 1) not in (1, 2, 3) or one(BITS, 8) % 8:
+        raise ValueError("this form of TIFF isn't read")
+    high, wide = (one(TILE_HEIGHT, 0), one(TILE_WIDTH, 0)) if tiled else (min(one(ROWS, height), height), width)
+    offsets, counts = (tags[TILE_OFFSETS], tags[TILE_COUNTS]) if tiled else (tags[OFFSETS], tags[COUNTS])
+    across, down, apart = -(-width // wide), -(-height // high), one(PLANAR, 1) == 2
+    a, b, c, d = window or (0, height - 1, 0, width - 1)
+    a, b, c, d = max(0, a), min(b, height - 1), max(0, c), min(d, width - 1)
+    kind, size = {1: "u", 2: "i", 3: "f"}[one(FORMAT, 1)], one(BITS, 8) // 8
+    out = np.zeros((samples, max(0, b - a + 1), max(0, d - c + 1)), f"{kind}{size}")
+    for plane in range(samples if apart else 1):
+        for r in range(a // high, b // high + 1):
+            for q in range(c // wide, d // wide + 1):
+                k = (plane * down + r) * across + q
+                rows = high if tiled else min(high, height - r * high)
+                block = _undone(unpack(data[offsets[k] : offsets[k] + counts[k]]), order, kind, size, (rows, wide, 1 if apart else samples), one(PREDICTOR, 1))
+                top, left = max(a, r * high), max(c, q * wide)
+                part = block[top - r * high : b + 1 - r * high, left - q * wide : d + 1 - q * wide]
+                part = part[: height - top, : width - left].transpose(2, 0, 1)
+                out[plane if apart else slice(None), top - a : top - a + part.shape[1], left - c : left - c + part.shape[2]] = part[0] if apart else part
     text = one(NODATA, b"").rstrip(b"\x00 ").decode() if NODATA in tags else ""
     tie, scale = tags.get(TIE_POINT, (0,) * 6), tags.get(PIXEL_SCALE, (1.0,))
-    return Raster(values, float(tie[3]), float(tie[4]), float(scale[0]), float(text) if text else None)
+    keys = tags.get(GEO_KEYS, ())
+    codes = {keys[k]: keys[k + 3] for k in range(4, len(keys), 4) if keys[k + 1] == 0}
+    found = re.findall(r'<Item name="DESCRIPTION" sample="(\d+)"[^>]*>([^<]*)</Item>', one(METADATA, b"").decode("utf-8", "replace")) if METADATA in tags else []
+    names = [dict(found).get(str(k), f"band_{k + 1}") for k in range(samples)]
+    return Raster(out, float(tie[3]) + c * float(scale[0]), float(tie[4]) - a * float(scale[0]), float(scale[0]), float(text) if text else None, names, codes.get(PROJECTED_KEY, codes.get(GEOGRAPHIC_KEY)))
 
 
 def encode(r: Raster) -> bytes:
-    """A deflated little-endian 32-bit float TIFF."""
-    values = np.where(np.isnan(r.values), np.nan if r.nodata is None else r.nodata, r.values).astype("<f4")
-    body = zlib.compress(values.tobytes())
-    nodata = (b"nan" if r.nodata is None else repr(float(r.nodata)).encode()) + b"\x00"
-    scale, tie = struct.pack("<3d", r.cell, r.cell, 0.0), struct.pack("<6d", 0, 0, 0, r.west, r.north, 0)
-    extra_at = 8 + len(body)
-    entries = [
-        (WIDTH, 4, 1, values.shape[1]), (HEIGHT, 4, 1, values.shape[0]), (BITS, 3, 1, 32), (COMPRESSION, 3, 1, 8), (PHOTOMETRIC, 3, 1, 1), (OFFSETS, 4, 1, 8), (SAMPLES, 3, 1, 1),
-        (ROWS, 4, 1, values.shape[0]), (COUNTS, 4, 1, len(body)), (FORMAT, 3, 1, 3), (PIXEL_SCALE, 12, 3, extra_at), (TIE_POINT, 12, 6, extra_at + 24), (NODATA, 2, len(nodata), extra_at + 72),
-    ]
-    if len(nodata) <= 4:
-        entries[-1] = (NODATA, 2, len(nodata), int.from_bytes(nodata.ljust(4, b"\x00"), "little"))
-    directory = struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + struct.pack("<I", 0)
-    extra = scale + tie + nodata
-    return b"II*\x00" + struct.pack("<I", extra_at + len(extra)) + body + extra + directory
+    """A deflated little-endian 32-bit float TIFF with one strip a band, its bands' names and its coordinate system."""
+    values = np.where(np.isnan(r.bands), np.nan if r.nodata is None else r.nodata, r.bands).astype("<f4")
+    n, height, width = values.shape
+    strips = [zlib.compress(v.tobytes()) for v in values]
+    body = b"".join(strips)
+    at = np.cumsum([8, *map(len, strips)]).tolist()
+    names = "".join(f'<Item name="DESCRIPTION" sample="{k}" role="description">{x}</Item>' for k, x in enumerate(r.names))
+    own = {
+        WIDTH: (4, [width]), HEIGHT: (4, [height]), BITS: (3, [32] * n), COMPRESSION: (3, [DEFLATE]), PHOTOMETRIC: (3, [1]), OFFSETS: (4, at[:-1]), SAMPLES: (3, [n]), ROWS: (4, [height]),
+        COUNTS: (4, [len(s) for s in strips]), PLANAR: (3, [2]), FORMAT: (3, [3] * n), PIXEL_SCALE: (12, [r.cell, r.cell, 0.0]), TIE_POINT: (12, [0, 0, 0, r.west, r.north, 0]),
+        NODATA: (2, (b"nan" if r.nodata is None else repr(float(r.nodata)).encode()) + b"\x00"),
+    }
+    if r.epsg:
+        flat = 4000 <= r.epsg < 5000
+        own[GEO_KEYS] = (3, [1, 1, 0, 2, MODEL_KEY, 0, 1, 2 if flat else 1, GEOGRAPHIC_KEY if flat else PROJECTED_KEY, 0, 1, r.epsg])
+    if r.names:
+        own[METADATA] = (2, f"<GDALMetadata>{names}</GDALMetadata>".encode() + b"\x00")
+    directory, extra = b"", b""
+    for tag, (kind, x) in sorted(own.items()):
+        raw = x if kind == 2 else struct.pack("<" + KINDS[kind] * len(x), *x)
+        if len(raw) > 4:
+            extra += b"\x00" * (len(extra) % 2)
+            raw, extra = struct.pack("<I", at[-1] + len(extra)), extra + raw
+        directory += struct.pack("<HHI", tag, kind, len(x)) + raw.ljust(4, b"\x00")
+    extra += b"\x00" * (len(extra) % 2)
+    return b"II*\x00" + struct.pack("<I", at[-1] + len(extra)) + body + extra + struct.pack("<H", len(own)) + directory + struct.pack("<I", 0)
 
 
 CELLS = "layer string, row int, col int, value double"
 
 
 def read_cells(spark: SparkSession, path: str, zero_fill: bool = False, window: tuple[int, int, int, int] | None = None) -> DataFrame:
-    """(layer, row, col, value) of the TIFFs of a path; layer is the file's name without .tif.
+    """(layer, row, col, value) of the TIFFs of a path; layer is the file's name without .tif, and for one of several bands the band's name behind a dot.
 
     No-data cells are null (0 with zero_fill, for binary layers). window (first
-    row, last row, first and last column) leaves other cells out while decoding.
+    row, last row, first and last column): only blocks that meet it are
+    unpacked. Rows and columns are those of the whole raster.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").load(path).select(F.regexp_extract("path", r"([^/]*)\.tif$", 1).alias("layer"), "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for layer, content in zip(pdf["layer"], pdf["content"]):
-                r = decode(content)
-                a, b, c, d = window or (0, r.values.shape[0] - 1, 0, r.values.shape[1] - 1)
-                for row in range(a, min(b + 1, r.values.shape[0]), 256):  # some rows at a time
-                    v = r.values[row : min(row + 256, b + 1), c : d + 1].astype(float)
-                    if r.nodata is not None:
-                        v[np.isclose(v, r.nodata)] = np.nan
-                    rows, cols = np.indices(v.shape)
-                    flat = v.ravel()
-                    yield pd.DataFrame({"layer": layer, "row": (rows.ravel() + row).astype("int32"), "col": (cols.ravel() + c).astype("int32"), "value": np.nan_to_num(flat, nan=0.0) if zero_fill else flat})
+                r = decode(content, window)
+                first_row, first_col = (max(0, window[0]), max(0, window[2])) if window else (0, 0)
+                for name, band in zip(r.names, r.bands):
+                    for row in range(0, band.shape[0], 256):  # some rows at a time
+                        v = band[row : row + 256].astype(float)
+                        if r.nodata is not None:
+                            v[np.isclose(v, r.nodata)] = np.nan
+                        rows, cols = np.indices(v.shape)
+                        flat = v.ravel()
+                        yield pd.DataFrame({"layer": layer if len(r.bands) == 1 else f"{layer}.{name}", "row": (rows.ravel() + row + first_row).astype("int32"), "col": (cols.ravel() + first_col).astype("int32"), "value": np.nan_to_num(flat, nan=0.0) if zero_fill else flat})
 
     out = files.mapInPandas(run, CELLS)
     return out.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
-def to_rasters(cells: DataFrame, height: int, width: int, west: float = 0.0, north: float = 0.0, cell: float = 1.0, nodata: float | None = None) -> DataFrame:
-    """(layer, content): a TIFF for every layer; a layer is as large as the grid, whatever the number of layers."""
+def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """(layer, height, width, west, north, cell, nodata, epsg, names) of the TIFFs of a path: what a raster is apart from its cells, of which one is unpacked."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").load(path).select(F.regexp_extract("path", r"([^/]*)\.tif$", 1).alias("layer"), "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for layer, content in zip(pdf["layer"], pdf["content"]):
+                r, tags = decode(content, (0, 0, 0, 0)), _tags(content)[1]
+                rows.append((layer, tags[HEIGHT][0], tags[WIDTH][0], r.west, r.north, r.cell, r.nodata, r.epsg, r.names))
+            yield pd.DataFrame(rows, columns=["layer", "height", "width", "west", "north", "cell", "nodata", "epsg", "names"]).astype({"epsg": "Int32"})
+
+    return files.mapInPandas(run, "layer string, height int, width int, west double, north double, cell double, nodata double, epsg int, names array<string>")
+
+
+def to_rasters(cells: DataFrame, height: int, width: int, west: float = 0.0, north: float = 0.0, cell: float = 1.0, nodata: float | None = None, bands: list[str] | None = None, epsg: int | None = None) -> DataFrame:
+    """(layer, content): a TIFF for every layer; a layer is as large as the grid, whatever the number of layers.
+
+    With bands, cells also have a column band, and each layer is one raster of
+    these bands, which carry their names; cells of other bands are left out.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        band = np.full((height, width), np.nan)
-        band[pdf["row"].to_numpy(), pdf["col"].to_numpy()] = pdf["value"].to_numpy(dtype=float)
-        return pd.DataFrame({"layer": [pdf["layer"].iloc[0]], "content": [encode(Raster(band, west, north, cell, nodata))]})
+        out = np.full((len(bands or [""]), height, width), np.nan)
+        at = np.array([bands.index(b) if b in bands else -1 for b in pdf["band"]]) if bands else np.zeros(len(pdf), int)
+        own = pdf[at >= 0]
+        out[at[at >= 0], own["row"].to_numpy(), own["col"].to_numpy()] = own["value"].to_numpy(dtype=float)
+        return pd.DataFrame({"layer": [pdf["layer"].iloc[0]], "content": [encode(Raster(out, west, north, cell, nodata, bands or [], epsg))]})
 
     return cells.groupBy("layer").applyInPandas(run, "layer string, content binary")
 

@@ -41,22 +41,56 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
-def upserts(stream: DataFrame, target: str, key: str, order: str) -> None:
-    """Merge each batch into a Parquet table of one row a key, the newest by order; versions are written side by side and the last one is read."""
+#: Parts of an upserted table, by the key's hash.
+PARTS = 64
+
+
+def upserts(stream: DataFrame, target: str, key: str, order: str, parts: int = PARTS) -> None:
+    """Merge each batch into a Parquet table of one row a key, the newest by order.
+
+    Rows are in parts by the key's hash; a batch rewrites the parts that it
+    touches, beside the old ones, and a small table tells which version of each
+    part holds. What the version before the last one alone needed is deleted,
+    so disk stays within two versions of the parts that change.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if number:
-            rows = spark.read.parquet(f"{target}/v{number - 1}").unionByName(batch)
-        newest(rows, key, order).write.mode("overwrite").parquet(f"{target}/v{number}")  # the same batch again writes the same version
+        rows = batch.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        before = _versions(spark, target, number - 1)
+        touched = [r["_part"] for r in rows.select("_part").distinct().collect()]  # parts at most
+        old = [f"{target}/v{before[p]}/_part={p}" for p in touched if p in before]
+        if old:
+            rows = rows.unionByName(spark.read.schema(batch.schema).parquet(*old).withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")))
+        merged = newest(rows, key, order).repartition("_part")
+        merged.write.mode("overwrite").partitionBy("_part").parquet(f"{target}/v{number}")  # the same batch again writes the same version
+        now = before | {p: number for p in touched}
+        spark.createDataFrame(sorted(now.items()), "part int, version int").coalesce(1).write.mode("overwrite").parquet(f"{target}/m{number}")
+        earlier = _versions(spark, target, number - 2)
+        for p, v in earlier.items():
+            if before.get(p) != v:
+                _delete(spark, f"{target}/v{v}/_part={p}")
+        _delete(spark, f"{target}/m{number - 2}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{target}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _versions(spark: SparkSession, target: str, number: int) -> dict[int, int]:
+    """The version of each part as of a batch; none before the first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/m{number}")
+    if number < 0 or not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return {}
+    return {r["part"]: r["version"] for r in spark.read.parquet(f"{target}/m{number}").collect()}
+
+
 def latest_version(spark: SparkSession, target: str) -> DataFrame:
-    """The last version that upserts() finished, by its commit log."""
+    """The table as of the last batch that upserts() finished, by its commit log."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/checkpoint/commits")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     done = [int(f.getPath().getName()) for f in fs.listStatus(path) if f.getPath().getName().isdigit()]
-    return spark.read.parquet(f"{target}/v{max(done)}")
+    return spark.read.parquet(*[f"{target}/v{v}/_part={p}" for p, v in _versions(spark, target, max(done)).items()])
