@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from hoarfrost.operators.storage import forget, shared_dir, written
+from hoarfrost.operators.storage import forget, scratch, shared_dir, written
 
-__all__ = ["forget", "shared_dir", "written"]
+__all__ = ["forget", "scratch", "shared_dir", "written"]
 
 #: ASCII white space, as in the word rule [^\x20\x09-\x0D]+; bytes.split() splits on just these.
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import forget, written
 
 
-def _checksum(links: DataFrame):
-    return links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+def _summed(links: DataFrame) -> tuple[DataFrame, tuple]:
+    """links, written, and a checksum of them that is found on the way."""
+    seen = Observation()
+    out = written(links.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("x")), "links")
+    return out, (seen.get["n"], seen.get["x"])
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -23,18 +26,26 @@ def connected(links: DataFrame) -> DataFrame:
     Links with a null end and loops are ignored.
     """
     down = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = written(down, "links")
-    seen = _checksum(now)
+    now, seen = _summed(down)
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
-        before, now = now, written(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        before = now
+        last = seen
+        now, seen = _summed(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         forget(before)
-        last, seen = seen, _checksum(now)
         if seen == last:
             break
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+
+
+def rooted_by(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) and further links (a, b) of their nodes -> (node, root) by both: only the roots are linked anew."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("r" + c))
+    ends = links.join(of("b"), "b").join(of("a"), "a").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    further = connected(ends).select(F.col("node").alias("root"), F.col("root").alias("further"))
+    return roots.join(further, "root", "left").select("node", F.coalesce("further", "root").alias("root"))

@@ -5,9 +5,9 @@ differ in few bits. At similarity 0.8 texts differ in ten bits of 64 or so, and
 blocks for so many (3,060 of 14 bits a text for a distance of 14) would be far
 too many and too wide, so that MinHash bands propose the rest: a band is ROWS
 minima of hashes, and texts of similarity s share one of BANDS bands with
-probability 1 - (1 - s ** ROWS) ** BANDS: 0.998 at 0.8. Pairs from bands must
-be at most FAR bits apart (which is so for 0.99999 at 0.8), and all pairs are
-compared by their sets at last: nothing under SIMILAR is linked.
+probability 1 - (1 - s ** ROWS) ** BANDS: 0.998 at 0.8. A text and the first of
+its band must be at most FAR bits apart to be compared (which holds for 0.99999
+at 0.8). All links are found by the sets at last: nothing under SIMILAR is linked.
 """
 
 from __future__ import annotations
@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, made, slices, utf8, written
-from .components import connected
+from .components import connected, rooted_by
 
 SEED = 42
 #: Words of a shingle, least similarity of near copies, minima of a band, bands, most bits between near copies' fingerprints.
 WIDTH, SIMILAR, ROWS, BANDS, FAR = 5, 0.8, 6, 20, 22
+#: Texts and bytes of sets of a band (of a block of a large one) that a task compares.
+BAND_ROWS, BAND_BYTES = 4096, 32 << 20
 
 _RNG = np.random.default_rng(11)
 _MUL = _RNG.integers(0, 1 << 63, (ROWS * BANDS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,6 +115,61 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
 
+def forest_of(words: list[np.ndarray], root: np.ndarray, main: int, side: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) of sets that connect all components which similar sets connect; the sets outside the component main are compared with all those of other components.
+
+    An inverted index counts what a set shares with every other one at once.
+    side: where both sides occur, only sets of different sides are compared.
+    """
+    size = np.array([len(w) for w in words])
+    value = np.concatenate(words)
+    owner = np.repeat(np.arange(len(words)), size)
+    order = np.argsort(value, kind="stable")
+    posted = owner[order]
+    first = np.flatnonzero(np.append(True, value[order[1:]] != value[order[:-1]]))
+    length = np.diff(np.append(first, len(value)))
+    term = np.empty(len(value), np.int64)
+    term[order] = np.repeat(np.arange(len(first)), length)
+    begin = np.cumsum(size) - size
+    label, both = root.copy(), side.min() != side.max()
+    out = []
+    for i in np.flatnonzero(root != main).tolist():
+        terms = term[begin[i] : begin[i] + size[i]]
+        n = length[terms]
+        at = np.repeat(first[terms] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        same = np.bincount(posted[at], minlength=len(words))
+        near = np.flatnonzero((same >= SIMILAR * (size + size[i] - same)) & (label != label[i]) & ((side != side[i]) | (not both)))
+        for j in near.tolist():
+            if label[j] != label[i]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _compared(table: pa.Table) -> pa.Table:
+    """Links of one band, or of two blocks of a large one."""
+    table = table.sort_by("node")
+    node = table.column("node").to_numpy()
+    links = forest_of([np.frombuffer(w, "<u8") for w in table.column("words").to_pylist()], table.column("root").to_numpy().copy(), table.column("main")[0].as_py(), table.column("side").to_numpy())
+    return pa.table([[int(node[i]) for i, _ in links], [int(node[j]) for _, j in links]], schema=arrow_schema("a long, b long"))
+
+
+def compared(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """left (band, node, root, main) -> links (a, b) of similar sets of one band and different components, enough to connect what they connect.
+
+    A band is compared in one task, over an index of its sets. One of more than
+    BAND_ROWS texts or BAND_BYTES of sets is dealt into blocks, and each two of
+    them are a task, so that no pair is left out. No pairs are emitted but links.
+    """
+    sized = left.join(sets.select("node", F.octet_length("words").cast("long").alias("size")), "node")
+    total = sized.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BAND_ROWS), F.ceil(F.col("bytes") / BAND_BYTES)).cast("int")
+    dealt = sized.join(total.select("band", blocks.alias("blocks")), "band").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    pairs = dealt.select("band", "node", "root", "main", "side", meets.alias("other")).withColumn("p", F.least("side", "other")).withColumn("q", F.greatest("side", "other"))
+    return pairs.join(sets, "node").groupBy("band", "p", "q").applyInArrow(_compared, "a long, b long").distinct()
+
+
 def rooted(nodes: DataFrame, near: DataFrame, texts_of) -> DataFrame:
     """nodes (node, fp, bands) -> (node, root): what links of near copies connect.
 
@@ -120,37 +177,32 @@ def rooted(nodes: DataFrame, near: DataFrame, texts_of) -> DataFrame:
     text) for some nodes. First each text meets what SimHash gives and the
     first of all that share a band with it, then the first of each of its
     bands. In bands that still hold several components, the texts outside the
-    band's largest one then meet all those of other components: pairs within a
-    component need no look, so a large group of near copies takes a few
-    comparisons a text, and no pair of a band is left out otherwise.
+    band's largest one are then compared with all those of other components.
+    Pairs within a component need no look, so most of a large group of near
+    copies takes a few comparisons a text, and no pair of a band is left out.
     """
     keys = nodes.select(F.explode("bands").alias("band"), "node", "fp")
     buckets = keys.groupBy("band").agg(F.min(F.struct("node", "fp")).alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "rep")
     shared = written(keys.join(buckets, "band").select("band", "node", "fp", "rep"), "shared")
-    bits = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-    star = shared.where((F.col("node") != F.col("rep.node")) & (bits("fp", "rep.fp") <= FAR)).select(F.col("node").alias("a"), F.col("rep.node").alias("b"))
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("rep.fp")))
+    star = shared.where((F.col("node") != F.col("rep.node")) & (apart <= FAR)).select(F.col("node").alias("a"), F.col("rep.node").alias("b"))
     star = written(star.distinct(), "star")
     near = written(near, "near")
-    ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
-    wanted = ends(near).unionByName(ends(star)).unionByName(shared.select("node")).distinct()
-    sets = written(with_sets(texts_of(wanted)), "sets")
-    links = written(verified(near.unionByName(star.groupBy("a").agg(F.min("b").alias("b"))).distinct(), sets), "links")
+    ends = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(shared.select("node")).distinct()
+    sets = written(with_sets(texts_of(ends)), "sets")
+    links = verified(near.unionByName(star.groupBy("a").agg(F.min("b").alias("b"))).distinct(), sets)
     roots = written(_all_rooted(sets.select("node"), links), "roots")
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("r" + c))
-    apart = star.join(of("b"), "b").join(of("a"), "a").where("ra != rb").select("a", "b")
-    links = written(links.unionByName(verified(apart, sets)), "links")
-    roots = written(_all_rooted(sets.select("node"), links), "roots")
-    own = written(shared.select("band", "node", "fp").join(roots, "node"), "own")
+    unlike = star.join(of("b"), "b").join(of("a"), "a").where("ra != rb").select("a", "b")
+    roots = written(rooted_by(roots, verified(unlike, sets)), "roots")
+    own = shared.select("band", "node").join(roots, "node")
     parts = own.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("band")  # summed before the shuffle
     mixed = parts.agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", "main")
-    left = own.join(mixed, "band")
-    few = left.where("root != main").select("band", F.col("node").alias("a"), F.col("fp").alias("fa"), F.col("root").alias("ra"))
-    every = left.select("band", F.col("node").alias("b"), F.col("fp").alias("fb"), F.col("root").alias("rb"), "main")
-    met = few.join(every, "band").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") > F.col("b"))) & (bits("fa", "fb") <= FAR))
-    links = written(links.unionByName(verified(met.select("a", "b").distinct(), sets)), "links")
-    return _all_rooted(nodes.select("node"), links)
+    left = written(own.join(mixed, "band").select("band", "node", "root", "main"), "mixed")
+    roots = rooted_by(roots, compared(left, sets)).withColumnRenamed("node", "linked")
+    return nodes.join(roots, nodes["node"] == roots["linked"], "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def _all_rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    roots = written(connected(links), "roots").withColumnRenamed("node", "linked")
+    roots = connected(links).withColumnRenamed("node", "linked")
     return nodes.join(roots, nodes["node"] == roots["linked"], "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -145,8 +145,9 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, rounds: int = 12, batch: int
     if not len(labels) or labels.min() == labels.max():
         return Model.constant(float(labels.mean()) if len(labels) else 0.5)
     rng = np.random.default_rng(seed)
-    every = np.concatenate(bags)
-    model = Model(every.mean(0), every.std(0) + 1e-3, *(rng.normal(0, 1 / np.sqrt(m), (m, n)) for m, n in ((FEATURES, ENCODING), (ENCODING, ATTENTION), (ENCODING, ATTENTION))), rng.normal(0, 0.3, ATTENTION), rng.normal(0, 0.1, ENCODING), np.array(0.0))
+    mean = sum(b.sum(0, dtype=float) for b in bags) / sum(map(len, bags))
+    spread = np.sqrt(sum(((b - mean) ** 2).sum(0) for b in bags) / sum(map(len, bags)))
+    model = Model(mean, spread + 1e-3, *(rng.normal(0, 1 / np.sqrt(m), (m, n)) for m, n in ((FEATURES, ENCODING), (ENCODING, ATTENTION), (ENCODING, ATTENTION))), rng.normal(0, 0.3, ATTENTION), rng.normal(0, 0.1, ENCODING), np.array(0.0))
     model.mean[-1] = 0
     model.scale[-1] = 1
     names = ["E", "V", "U", "w", "c", "b"]
@@ -200,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int
     last = sizes[max(1, int(np.searchsorted(whole, limit, "right"))) - 1 :][:1]  # the last id that fits
     fits = F.struct(rank, "id") <= F.struct(F.xxhash64(F.lit(last[0].id).cast(ids), F.lit(17)), F.lit(last[0].id).cast(ids)) if last else F.lit(False)
     found = encoded.where(fits).select("id", "y", "x").orderBy("id", "x").limit(rows).collect()
-    return fit([np.frombuffer(r.x, "<f4").reshape(-1, FEATURES).astype(float) for r in found], np.array([float(r.y > 0) for r in found]))
+    return fit([np.frombuffer(r.x, "<f4").reshape(-1, FEATURES) for r in found], np.array([float(r.y > 0) for r in found]))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, fresh, made, named, schema_of, short, slices, taken, utf8, written
+from .common import arrow_schema, forget, fresh, made, named, schema_of, scratch, short, slices, taken, utf8, written
 from .components import connected
 from .near_copies import marked, rooted, shingle_hashes
 
@@ -148,9 +148,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     a null id. An empty table gives an empty result; other columns are left out.
     """
     marks = written(fingerprints(docs, doc_id, text), "fingerprints")
-    rooted = written(_rooted(marks, distance).join(marks.groupBy("fp").agg(F.min("id").alias("least")), "fp"), "rooted")
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(names, "root").select(F.col("fp").alias("of"), "component_id")
+    with scratch():
+        rooted = written(_rooted(marks, distance).join(marks.groupBy("fp").agg(F.min("id").alias("least")), "fp"), "rooted")
+        names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        of = written(rooted.join(names, "root").select(F.col("fp").alias("of"), "component_id"), "named", keep=True)
     return marks.join(of, F.col("fp") == F.col("of"), "left").select(F.col("id").alias(doc_id), "fp", "component_id")
 
 
@@ -172,20 +173,22 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dis
     some = F.lit("" if kind.simpleString() == "string" else 0).cast(kind)
     keyed = docs.withColumn(id_, F.coalesce(named(doc_id), some)).withColumn(key, F.xxhash64(named(doc_id).isNull(), named(doc_id), named(text)))
     rows = keyed.select(named(doc_id).alias("id"), named(key).alias("key"), named(text).alias("text"))
-    marks = written(marked(rows, fingerprint), "marks")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
-    groups = marks.groupBy("fp", "h").agg(first, F.first("bands").alias("bands"))  # summed before the shuffle, whatever the number of copies
-    nodes = written(groups.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    chosen = lambda df: df.select(F.coalesce("first.id", some).alias(id_), F.col("first.key").alias(key))
-
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        these = nodes.join(wanted, "node")
-        these = written(these.select("node", F.coalesce("first.id", some).alias(id_), F.col("first.key").alias(key)), "wanted")
-        return keyed.select(named(id_), named(key), named(text).alias("text")).join(these, [id_, key]).select("node", "text")
-
-    roots = rooted(nodes, _proposed(nodes, distance), texts_of)
-    kept = nodes.join(roots, "node").groupBy("root").agg(F.min("first").alias("first"))
-    return taken(keyed.join(written(chosen(kept), "kept"), [id_, key], "left_semi").dropDuplicates([id_, key]), docs.columns)
+    known_by = F.coalesce("first.id", some).alias(id_), F.col("first.key").alias(key)
+    with scratch():
+        marks = written(marked(rows, fingerprint), "marks")
+        groups = marks.groupBy("fp", "h").agg(first, F.first("bands").alias("bands"))  # summed before the shuffle, whatever the number of copies
+        nodes = written(groups.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        forget(marks)
+
+        def texts_of(wanted: DataFrame) -> DataFrame:
+            these = written(nodes.join(wanted, "node").select("node", *known_by), "wanted")
+            return keyed.select(named(id_), named(key), named(text).alias("text")).join(these, [id_, key]).select("node", "text")
+
+        roots = rooted(nodes, _proposed(nodes, distance), texts_of)
+        kept = nodes.join(roots, "node").groupBy("root").agg(F.min("first").alias("first"))
+        kept = written(kept.select(*known_by), "kept", keep=True)
+    return taken(keyed.join(kept, [id_, key], "left_semi").dropDuplicates([id_, key]), docs.columns)
 
 
 def _proposed(nodes: DataFrame, distance: int) -> DataFrame:

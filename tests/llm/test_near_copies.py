@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 from hoarfrost.llm import near_copies, simhash
 
 
@@ -72,3 +74,34 @@ def test_near_copies_go(spark):
     want = brute_kept(rows)
     assert len(want) < len(rows) - 60
     assert set(got) >= set(want) and len(got) <= len(want) + 2  # no pair under the least similarity; a missed one may stay
+
+
+def test_forest_against_all_pairs():
+    rng = random.Random(12)
+    for both in (False, True):
+        base = [rng.randrange(1 << 63) for _ in range(60)]
+        sets = [np.unique(np.array(rng.sample(base, rng.choice([50, 55, 60])) + [rng.randrange(1 << 63) for _ in range(rng.choice([0, 2, 20]))], np.uint64)) for _ in range(80)]
+        root = np.array([rng.choice([0, i]) for i in range(80)])
+        side = np.array([rng.randrange(2) if both else 0 for _ in range(80)])
+        links = near_copies.forest_of(sets, root, 0, side)
+        assert all(near_copies.jaccard(sets[i], sets[j]) >= 0.8 and (not both or side[i] != side[j]) for i, j in links)
+
+        def parts(pairs):
+            label = root.tolist()
+            for i, j in pairs:
+                label = [label[i] if x == label[j] else x for x in label]
+            return {tuple(k for k, x in enumerate(label) if x == v) for v in set(label)}
+
+        every = [(i, j) for i, j in combinations(range(80), 2) if near_copies.jaccard(sets[i], sets[j]) >= 0.8 and (not both or side[i] != side[j])]
+        assert parts(links) == parts(every) and len(links) < len(every)
+
+
+def test_large_bands_in_blocks(spark, monkeypatch):
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    rows = list(enumerate(edited(rng, base, rng.choice([1, 3, 5, 8])) for _ in range(120)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_kept(rows)
+    monkeypatch.setattr(near_copies, "BAND_ROWS", 7)
+    got = sorted(r.doc_id for r in simhash.one_of_each(docs).collect())
+    assert set(got) >= set(want) and len(got) <= len(want) + 2 and 10 < len(want) < 110
