@@ -219,6 +219,34 @@ def cubic(targets: DataFrame, grid: DataFrame, ratio_rows: float, ratio_cols: fl
     return _weighted(targets, grid, ends("row", ratio_rows), ends("col", ratio_cols), z)
 
 
+def cube_resampled(targets: DataFrame, cube: DataFrame, time: str, ways: dict[str, str], ratio_rows: float, ratio_cols: float) -> DataFrame:
+    """A cube (time, row, col, variables) on another grid, each variable by its way: nearest, bilinear or cubic.
+
+    The sources of a target and their weights are the same for all times, so
+    they are listed once and joined with the cube by cell; a variable's
+    unknown cells don't count at that time.
+    """
+    def spread(index: str, ratio: float, way: str) -> list[tuple[Column, Column]]:
+        p = _place(index, ratio)
+        low = F.floor(p)
+        t = p - low
+        if way == "nearest":
+            return [(F.floor((F.col(index) + 0.5) * ratio), F.lit(1.0))]
+        if way == "bilinear":
+            return [(low, 1 - t), (low + 1, t)]
+        w = [(1 - t) * (1 - t) * (1 - t) / 6, (3 * t * t * t - 6 * t * t + 4) / 6, (-3 * t * t * t + 3 * t * t + 3 * t + 1) / 6, t * t * t / 6]
+        return [(low + (k - 1), w[k]) for k in range(4)]
+
+    parts = []
+    for way in sorted(set(ways.values())):
+        parts += [F.struct(F.lit(way).alias("way"), r.cast("int").alias("sr"), c.cast("int").alias("sc"), (wr * wc).alias("w")) for r, wr in spread("row", ratio_rows, way) for c, wc in spread("col", ratio_cols, way)]
+    near = targets.select("row", "col", F.explode(F.array(*parts)).alias("x")).select("row", "col", "x.*").where("w <> 0")
+    values = cube.select(F.col("row").alias("sr"), F.col("col").alias("sc"), time, *ways)
+    joined = near.join(values, ["sr", "sc"])
+    mean = lambda name, way: F.try_divide(F.sum(F.when(F.col("way") == way, F.col(name) * F.col("w"))), F.sum(F.when((F.col("way") == way) & F.col(name).isNotNull(), F.col("w")))).alias(name)
+    return joined.groupBy(time, "row", "col").agg(*[mean(n, w) for n, w in ways.items()])
+
+
 def order_one(places: DataFrame, grid: DataFrame, z: str = "z") -> DataFrame:
     """places (i, j, pr, pc: row and column in cells from the first centre) with z between the four cells around, null unless all four are known."""
     low_r, low_c = F.floor("pr"), F.floor("pc")

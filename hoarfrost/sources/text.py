@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+log = logging.getLogger(__name__)
+
 
 def station_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """Station metadata of fixed-width lines (columns 0-11, 12-20, 21-30, 31-37, 41-71)."""
@@ -47,6 +51,27 @@ def first_readable(spark: SparkSession, paths: list[str]) -> DataFrame:
     raise FileNotFoundError(", ".join(paths))
 
 
+def optional(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None with a warning if it isn't there."""
+    try:
+        return first_readable(spark, [path])
+    except FileNotFoundError:
+        log.warning("%s isn't there", path)
+        return None
+
+
+def daily_files(spark: SparkSession, paths: list[str], **more) -> DataFrame:
+    """daily_lines() of many station files; those that aren't there are left out with a warning, and none at all give no rows."""
+    there = []
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            there.append(path)
+        else:
+            log.warning("%s isn't there", path)
+    return daily_lines(spark.read.text(there) if there else spark.createDataFrame([], "value string"), **more)
+
+
 def julian_date(name: Column) -> Column:
     """Date of '.yyyyDDDT' within a name, or null."""
     return F.try_to_date(F.nullif(F.regexp_extract(name, r"\.(\d{7})T", 1), F.lit("")), "yyyyDDD")

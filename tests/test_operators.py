@@ -368,3 +368,28 @@ def test_steps_are_kept(spark, tmp_path):
         gone, there = written(spark.range(2), "x"), written(spark.range(2), "y", keep=True)
         assert gone.count() == 2
     assert there.count() == 2 and not os.path.exists(gone._written_at.removeprefix("file:"))
+
+
+def test_cube_by_variable(spark):
+    rng = np.random.default_rng(3)
+    cells = [(D(2020, 1, t), r, c, float(rng.random()), float(rng.random()) if (r, c, t) != (2, 2, 1) else None) for t in (1, 2) for r in range(9) for c in range(8)]
+    cube = spark.createDataFrame(cells, "time date, row int, col int, pr double, tmin double")
+    targets = grid.lattice(spark, 6, 5)
+    got = {(r.time, r.row, r.col): r for r in grid.cube_resampled(targets, cube, "time", {"pr": "nearest", "tmin": "bilinear"}, 1.5, 1.6).collect()}
+    assert len(got) == 60
+    for t in (1, 2):
+        one = cube.where(F.col("time") == F.lit(D(2020, 1, t)))
+        for name, way in (("pr", grid.nearest), ("tmin", grid.bilinear)):
+            for r in way(targets, one, 1.5, 1.6, z=name).collect():
+                assert abs(got[D(2020, 1, t), r.row, r.col][name] - r.z) < 1e-9
+
+
+def test_files_that_are_missing(spark, tmp_path):
+    line = "USC00311234" + "200002" + "TMIN" + "  -55 X " + "-9999   " + "        " + "   10   " * 28
+    (tmp_path / "a.dly").write_text(line + "\n" + line[:40] + "\n")
+    got = text.daily_files(spark, [f"{tmp_path}/a.dly", f"{tmp_path}/b.dly"]).collect()
+    assert len(got) == 27 and got[0].value == -5.5 and got[0].qflag == "X"  # 29 days less one blank and one without a value
+    assert text.daily_files(spark, [f"{tmp_path}/none.dly"]).count() == 0
+    assert text.optional(spark, f"{tmp_path}/none") is None
+    spark.range(2).write.parquet(f"{tmp_path}/some")
+    assert text.optional(spark, f"{tmp_path}/some").count() == 2
