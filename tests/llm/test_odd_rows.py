@@ -21,7 +21,7 @@ def table(spark):
     rng = random.Random(1)
     text = lambda n: " ".join("w%d" % rng.randrange(50) for _ in range(n))
     same = text(80)
-    rows = [(1, None), (2, ""), (3, " \n\t"), (4, same), (4, same), (4, same), (5, same), (None, same), (None, None), (6, "é\x00\U0001f600 token = abcdef12"), (7, text(300)), (8, "x" * 3_000_000), (9, "word " * 400_000), (10, "\n" * 50)]
+    rows = [(1, None), (2, ""), (3, " \n\t"), (4, same), (4, same), (4, same), (5, same), (None, same), (None, None), (6, "é\x00\U0001f600 token = abcdef12"), (7, text(300)), (8, "x" * 400_000), (9, "word " * 400_000), (10, "\n" * 50)]
     rows += [(20 + i, text(60)) for i in range(20)]
     docs = spark.createDataFrame([(i, t, ["en", "de", None][k % 3], [None, "s1", "s2"][k % 3], k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
     return docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHES)]).repartition(3), rows
