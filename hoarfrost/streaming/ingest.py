@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +44,7 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 #: Parts of an upserted table, by the key's hash.
-PARTS = 64
+PARTS = 16
 
 
 def upserts(stream: DataFrame, target: str, key: str, order: str, parts: int = PARTS) -> None:
@@ -65,7 +67,7 @@ def upserts(stream: DataFrame, target: str, key: str, order: str, parts: int = P
         merged = newest(rows, key, order).repartition("_part")
         merged.write.mode("overwrite").partitionBy("_part").parquet(f"{target}/v{number}")  # the same batch again writes the same version
         now = before | {p: number for p in touched}
-        spark.createDataFrame(sorted(now.items()), "part int, version int").coalesce(1).write.mode("overwrite").parquet(f"{target}/m{number}")
+        _note(spark, f"{target}/m{number}", json.dumps(now))
         earlier = _versions(spark, target, number - 2)
         for p, v in earlier.items():
             if before.get(p) != v:
@@ -80,12 +82,23 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _note(spark: SparkSession, path: str, text: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def _versions(spark: SparkSession, target: str, number: int) -> dict[int, int]:
-    """The version of each part as of a batch; none before the first."""
+    """The version of each part as of a batch; none before the first. Written whole before the batch counts as done."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/m{number}")
-    if number < 0 or not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if number < 0 or not fs.exists(path):
         return {}
-    return {r["part"]: r["version"] for r in spark.read.parquet(f"{target}/m{number}").collect()}
+    file = fs.open(path)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+    file.close()
+    return {int(p): v for p, v in json.loads(text).items()}
 
 
 def latest_version(spark: SparkSession, target: str) -> DataFrame:
