@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import language_id, quality_model, sql
 from .byte_bpe import encode_texts
 from .common import learnable, ship, table
+from .filter_audit import failure_masks, interaction_audit
 from .packing import pack, token_pieces
 from .progressive_jpeg import read_media, store_media
 from .quality_rules import host_rules
@@ -25,7 +26,7 @@ GOOD = 0.3
 SEQUENCE = 2048
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {"op2_host_rules": sql.HOST_RULES, "op8_suffix_dedup": sql.SUFFIX_DEDUP}
+ORACLES: dict[str, str] = {"op2_host_rules": sql.HOST_RULES, "op8_suffix_dedup": sql.SUFFIX_DEDUP, "op13_filter_audit": sql.FILTER_AUDIT}
 
 
 def query(f):
@@ -123,3 +124,9 @@ def op6_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(docs)
     found = language_id.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = failure_masks(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return interaction_audit(masks, table(spark, sf_dir, "labels"))

@@ -67,7 +67,8 @@ def test_against_duckdb(spark, name):
     df = registry.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     rel = con.sql(registry.ORACLES[name])
     assert sorted(rel.columns) == cols
     want = sorted(con.sql(f"SELECT {', '.join(cols)} FROM rel").fetchall())
@@ -96,4 +97,4 @@ def test_digests(spark):
     for r in registry.QUERIES["op1_url_bayes"](spark, SMALL).collect():
         host, path, rule, verdict = brute_rule(urls[r.page_id])
         assert (r.host, r.path, r.rule) == (host, path, rule) and (verdict is None or r.verdict == verdict)
-    assert {q.split("_")[0] for q in registry.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in registry.QUERIES} == {f"op{n}" for n in range(1, 14)}
