@@ -13,6 +13,7 @@ from .byte_bpe import encode_texts
 from .common import learnable, ship, table
 from .filter_audit import failure_masks, interaction_audit
 from .packing import pack, token_pieces
+from .periodic_runs import find_runs
 from .progressive_jpeg import read_media, store_media
 from .quality_rules import host_rules
 from .secret_scan import BASE_RULES, scan_secrets
@@ -26,7 +27,7 @@ GOOD = 0.3
 SEQUENCE = 2048
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {"op2_host_rules": sql.HOST_RULES, "op8_suffix_dedup": sql.SUFFIX_DEDUP, "op13_filter_audit": sql.FILTER_AUDIT}
+ORACLES: dict[str, str] = {"op2_host_rules": sql.HOST_RULES, "op8_suffix_dedup": sql.SUFFIX_DEDUP, "op11_periodic_runs": sql.PERIODIC_RUNS, "op13_filter_audit": sql.FILTER_AUDIT}
 
 
 def query(f):
@@ -126,6 +127,31 @@ def op6_hierarchical_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~learnable(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")
 
 
+def replayed(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) in which every document with h % 10 = 0, h = crc32(decimal doc_id), repeats from its word g % n on what follows there, g = h div 10."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    parts = docs.select("doc_id", "text", F.expr("crc32(CAST(doc_id AS string)) DIV 10").alias("g"), words.alias("words")).select("*", F.size("words").alias("n"))
+    placed = parts.select("*", (F.col("g") % F.greatest("n", F.lit(1))).cast("int").alias("a"))
+    period = placed.select("*", F.expr("CAST(1 + (n - a) DIV (3 + g % 8) AS int)").alias("p"))
+    again = F.flatten(F.array_repeat(F.expr("slice(words, a + 1, p)"), F.ceil(F.col("n") / F.col("p")).cast("int")))
+    ws = F.concat(F.expr("slice(words, 1, a)"), F.slice(again, F.lit(1), F.col("n") - F.col("a")))
+    return period.select("doc_id", F.when(F.col("n") > 0, F.array_join(ws, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(replayed(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_sort("runs", lambda x, y: F.coalesce(*[F.when(a < b, -1).when(a > b, 1) for a, b in ((y["length"], x["length"]), (x["start"], y["start"]), (x["period"], y["period"]))], F.lit(0)))
+    listed = F.concat(F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    longest = F.get(best, F.lit(0))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), longest.alias("best"),
+    ).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length DIV best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 @query
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     masks = failure_masks(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))

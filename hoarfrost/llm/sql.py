@@ -57,3 +57,22 @@ CAST(sum(CASE WHEN mask & own > 0 AND mask & earlier = 0 THEN good ELSE 0 END) A
 CAST(sum(CASE WHEN mask & own > 0 AND mask & earlier = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
 CAST(sum(sum(CASE WHEN mask & own > 0 AND mask & earlier = 0 THEN n ELSE 0 END)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
 FROM c CROSS JOIN b GROUP BY part, filter_order, step, own"""
+
+#: op11: a document's periodic part is written out, four-word windows meet their repeats, and consecutive meetings at one distance are runs.
+PERIODIC_RUNS = r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, CAST(doc_id AS VARCHAR) AS k, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+h AS (SELECT rid, doc_id, ws, len(ws) AS n, xor(4294967295::BIGINT, list_reduce(range(8 * length(k)), lambda c, b: xor((CASE WHEN b % 8 = 0 THEN xor(c, ascii(k[b // 8 + 1])::BIGINT) ELSE c END) >> 1,
+CASE WHEN (CASE WHEN b % 8 = 0 THEN xor(c, ascii(k[b // 8 + 1])::BIGINT) ELSE c END) & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END), 4294967295::BIGINT)) AS h FROM t),
+g AS (SELECT *, h // 10 AS g, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+d AS (SELECT rid, doc_id, CASE WHEN a IS NULL THEN ws ELSE ws[1 : a] || list_transform(range(n - a), lambda i: ws[a + i % p + 1]) END AS ws FROM p),
+w AS (SELECT rid, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM d),
+f AS (SELECT rid, i, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o) AS f, lead(i, 3) OVER o AS whole FROM w WINDOW o AS (PARTITION BY rid ORDER BY i)),
+m AS (SELECT x.rid, x.i, y.i - x.i AS q FROM f x JOIN f y ON x.rid = y.rid AND x.f = y.f AND x.i < y.i WHERE x.whole IS NOT NULL AND y.whole IS NOT NULL),
+s AS (SELECT rid, q, min(i) AS s, count(*) + 3 + q AS n FROM (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS grp FROM m) GROUP BY rid, q, grp HAVING count(*) + 3 >= greatest(q, 12 - q)),
+r AS (SELECT rid, s, n, min(q) AS q FROM s GROUP BY 1, 2, 3),
+best AS (SELECT rid, count(*) AS n_runs, arg_min(struct_pack(s := s, n := n, q := q), [-n, s, q]) AS b, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM r GROUP BY 1),
+gone AS (SELECT DISTINCT rid, unnest(range(s + q, s + n)) AS i FROM r),
+kept AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS text FROM w ANTI JOIN gone USING (rid, i) GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.n AS length, b.q AS period, 1000 * b.n // b.q AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)"""
