@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -73,6 +74,21 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, rows: int = SLICE_ROWS,
             at = to
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of the blocks that long texts are read in.
+BLOCK_BYTES = 1 << 20
+
+
+def word_blocks(text: bytes, size: int = BLOCK_BYTES) -> Iterator[bytes]:
+    """A text in blocks of some size bytes that end where words do; a longer word is in a longer block."""
+    at = 0
+    while at < len(text):
+        found = _SPACE.search(text, at + size)
+        to = found.end() if found else len(text)
+        yield text[at:to]
+        at = to
+
+
 def short(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Slices of at most rows rows, for batches without texts."""
     for batch in batches:

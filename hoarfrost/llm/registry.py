@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import language_id, quality_model, sql
 from .byte_bpe import encode_texts
+from .circulant_minhash import near_duplicate_sets
 from .common import learnable, ship, table
 from .filter_audit import failure_masks, interaction_audit
 from .packing import pack, token_pieces
@@ -27,7 +28,7 @@ GOOD = 0.3
 SEQUENCE = 2048
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {"op2_host_rules": sql.HOST_RULES, "op8_suffix_dedup": sql.SUFFIX_DEDUP, "op11_periodic_runs": sql.PERIODIC_RUNS, "op13_filter_audit": sql.FILTER_AUDIT}
+ORACLES: dict[str, str] = {"op2_host_rules": sql.HOST_RULES, "op8_suffix_dedup": sql.SUFFIX_DEDUP, "op11_periodic_runs": sql.PERIODIC_RUNS, "op12_circulant_minhash": sql.CIRCULANT_MINHASH, "op13_filter_audit": sql.FILTER_AUDIT}
 
 
 def query(f):
@@ -152,6 +153,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_sets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     masks = failure_masks(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))

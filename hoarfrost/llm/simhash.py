@@ -183,7 +183,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dis
 
         def texts_of(wanted: DataFrame) -> DataFrame:
             these = written(nodes.join(wanted, "node").select("node", *known_by), "wanted")
-            return keyed.select(named(id_), named(key), named(text).alias("text")).join(these, [id_, key]).select("node", "text")
+            # The join has dealt the rows by these columns, so that repeated rows go without another shuffle.
+            return keyed.select(named(id_), named(key), named(text).alias("text")).join(these, [id_, key]).dropDuplicates([id_, key]).select("node", "text")
 
         roots = rooted(nodes, _proposed(nodes, distance), texts_of)
         kept = nodes.join(roots, "node").groupBy("root").agg(F.min("first").alias("first"))

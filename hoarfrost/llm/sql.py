@@ -76,3 +76,15 @@ gone AS (SELECT DISTINCT rid, unnest(range(s + q, s + n)) AS i FROM r),
 kept AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS text FROM w ANTI JOIN gone USING (rid, i) GROUP BY 1)
 SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.n AS length, b.q AS period, 1000 * b.n // b.q AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
 FROM d LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)"""
+
+#: op12: five-word shingles that texts have in common, the pairs that share 85 % or more, and what they connect.
+CIRCULANT_MINHASH = r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(lower_ascii, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM
+(SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii FROM documents)),
+s AS (SELECT DISTINCT rid, array_to_string(ws[i : i + 4], ' ') AS s FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM t WHERE len(ws) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.rid AS a, y.rid AS b, count(*) AS same FROM s x JOIN s y ON x.s = y.s AND x.rid <> y.rid GROUP BY 1, 2),
+link AS (SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * same >= 85 * (x.n + y.n - same)),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+least AS (SELECT a AS rid, min(doc_id) AS least FROM reach JOIN t ON t.rid = b GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(doc_id, least), doc_id) AS component_id, coalesce(least(doc_id, least), doc_id) = doc_id AS kept FROM t LEFT JOIN n USING (rid) LEFT JOIN least USING (rid)"""
