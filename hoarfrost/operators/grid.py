@@ -6,6 +6,7 @@ many lines as there are; nothing needs the whole grid in one place.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def _down():
     return Window.partitionBy("col").orderBy("row")
 
@@ -219,6 +219,38 @@ def cubic(targets: DataFrame, grid: DataFrame, ratio_rows: float, ratio_cols: fl
     return _weighted(targets, grid, ends("row", ratio_rows), ends("col", ratio_cols), z)
 
 
+@dataclass(frozen=True)
+class Lattice:
+    """Cells around the centres of two axes: the outer edges, the steps, and how many there are. Row 0 is in the north, whichever way the axis runs."""
+
+    north: float
+    west: float
+    dlat: float
+    dlon: float
+    rows: int
+    cols: int
+
+    @staticmethod
+    def around(lats, lons, alone: float = 1 / 24) -> Lattice:
+        """The lattice whose cells have these centres, half a step beyond the outermost ones; alone: the step of an axis of one value."""
+        lats, lons = sorted(map(float, lats)), sorted(map(float, lons))
+        dlat, dlon = (abs(a[1] - a[0]) if len(a) > 1 else alone for a in (lats, lons))
+        return Lattice(lats[-1] + dlat / 2, lons[0] - dlon / 2, dlat, dlon, len(lats), len(lons))
+
+    def place(self, lat: Column, lon: Column) -> tuple[Column, Column]:
+        """Row and column, in cells from the first centre: whole numbers at centres."""
+        return (self.north - lat) / self.dlat - 0.5, (lon - self.west) / self.dlon - 0.5
+
+    def cell(self, lat: Column, lon: Column) -> tuple[Column, Column]:
+        """The cell (row, col) that a place is in."""
+        r, c = self.place(lat, lon)
+        return F.floor(r + 0.5).cast("int"), F.floor(c + 0.5).cast("int")
+
+    def affine(self) -> tuple[float, float, float, float, float, float]:
+        """Column step, shear, west edge, shear, row step, north edge."""
+        return self.dlon, 0.0, self.west, 0.0, -self.dlat, self.north
+
+
 def cube_resampled(targets: DataFrame, cube: DataFrame, time: str, ways: dict[str, str], ratio_rows: float, ratio_cols: float) -> DataFrame:
     """A cube (time, row, col, variables) on another grid, each variable by its way: nearest, bilinear or cubic.
 
