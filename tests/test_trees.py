@@ -143,6 +143,63 @@ def test_odd_inputs(spark):
     assert [r.predicted for r in model.transform(spark.createDataFrame([(1.0,), (None,)], "a double")).collect()] == [0.0, 0.0]
     some = spark.createDataFrame([(None, 1.0), (float("nan"), 2.0), (1.0, math.inf), (2.0, 3.0)], "a double, y double")
     assert [r.predicted for r in models.fit(some, models.boosted(["a"], "y", rounds=2)).transform(some).collect()] == [3.0] * 4
-    held, _ = frame(spark, 60)
-    few = trees.fit(held, models.forest(["a"], "y", trees=2, leaf=1, depth=2), rows=10)
-    assert few.transform(held).count() == 60
+    one = spark.createDataFrame([(1.0, 7.0)], "a double, y double")
+    assert models.fit(one, models.forest(["a"], "y", trees=20)).transform(one).first().predicted == 7.0  # whatever samples are empty
+
+
+def shape(nodes, at=0):
+    """A tree without its numbers of nodes."""
+    f = int(nodes["feature"][at])
+    if f < 0:
+        return round(float(nodes["value"][at]), 12)
+    left = int(nodes["left"][at])
+    return f, int(nodes["cut"][at]), round(float(nodes["gain"][at]), 9), shape(nodes, left), shape(nodes, left + 1)
+
+
+@pytest.mark.parametrize("local", [0, 40, 150])
+def test_nodes_split_over_tasks_are_those_of_one_task(spark, monkeypatch, local):
+    """All nodes, or the larger ones, by histograms of blocks; the rest in tasks: the same trees, and for a forest those that grow() gives for each sample."""
+    df, rows = frame(spark, 300)
+    forest, boosted = models.forest(["a", "b", "c"], "y", trees=7, depth=6, leaf=3), models.boosted(["a", "b", "c"], "y", rounds=7, depth=3, rate=0.3, leaf=5)
+    want = [[shape(p) for p in by_tree(models.fit(df, what))] for what in (forest, boosted)]
+    monkeypatch.setattr(trees, "LOCAL_ROWS", local)
+    monkeypatch.setattr(trees, "KEEP", 3)
+    monkeypatch.setattr(trees, "HISTOGRAM_BYTES", 1 << 17)
+    got = [models.fit(df.repartition(5), what) for what in (forest, boosted)]
+    assert [[shape(p) for p in by_tree(m)] for m in got] == want
+    for m in got:
+        for p in by_tree(m):
+            assert sorted(p["node"]) == list(range(len(p)))  # numbered without gaps
+    again = models.fit(df, forest)
+    x = np.array([bins(again, r[:3]) for r in rows], np.uint8)
+    h = {(r.a, r.b, r.c, r.y): r.h for r in df.withColumn("h", F.xxhash64("a", "b", "c", "y")).collect()}
+    scale = 2.0 ** math.floor(51 - math.log2(max(abs(r[3]) for r in rows) * 600))
+    weight = trees.copies(np.array([h[r] for r in rows]), 42, 3)
+    alone, _ = trees.grow(x, np.round(np.array([r[3] for r in rows]) * scale), weight, 6, 3, forest.share, 42, 3, 1, scale)
+    assert shape(alone) == want[0][3]
+
+
+def test_samples_and_features_are_drawn_evenly():
+    h = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 200_000)
+    a, b = trees.copies(h, 42, 0), trees.copies(h, 42, 1)
+    counts = np.bincount(a) / len(a)
+    assert np.allclose(counts[:4], [math.exp(-1), math.exp(-1), math.exp(-1) / 2, math.exp(-1) / 6], atol=0.005) and abs(a.mean() - 1) < 0.01
+    assert abs(np.corrcoef(a, b)[0, 1]) < 0.01
+    may = trees.chosen(np.arange(1, 20_001), 42, 5, 6, 0.5)
+    assert (may.sum(axis=1) == 3).all() and np.allclose(may.mean(axis=0), 0.5, atol=0.02)
+
+
+def test_many_nodes_of_few_rows():
+    """Splits from sorted rows are those of histograms."""
+    rng = np.random.default_rng(3)
+    x, y, w = rng.integers(0, 255, (3000, 3)).astype(np.uint8), rng.integers(-1000, 1000, 3000).astype(float), rng.integers(1, 4, 3000)
+    node = np.sort(rng.integers(0, 40, 3000))
+    total, whole = np.bincount(node, w, 40), np.bincount(node, w * y, 40)
+    may = rng.random(40) < 0.8
+    a, b = trees.Best(40), trees.Best(40)
+    for j in range(3):
+        cell = node * trees.BINS + x[:, j]
+        trees.sparse_splits(a, j, cell, w.astype(float), w * y, total, whole, 5, may)
+        trees.dense_splits(b, j, np.bincount(cell, w, 40 * trees.BINS).reshape(40, -1), np.bincount(cell, w * y, 40 * trees.BINS).reshape(40, -1), total, whole, 5, may)
+    for c in ("gain", "feature", "cut", "n", "s"):
+        assert (getattr(a, c)[may] == getattr(b, c)[may]).all()
