@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def nearest_days(dimension: DataFrame, day: str) -> DataFrame:
     """(day, nearest): for every day from the first to the last of dimension the nearest of its days; ties go to the earlier.
@@ -61,7 +63,7 @@ def nearest_value(value: Column, stored: list[float]) -> Column:
 
 def with_fallback(left: DataFrame, day: str, composites: DataFrame, key: str, value: str, since: int) -> DataFrame:
     """left with value of the nearest composite from year since on; before that the median of the composites' ISO week, or of the nearest week that has one (the smaller of two)."""
-    weekly = composites.groupBy(F.weekofyear(key).alias("_w")).agg(F.percentile(value, 0.5).alias("_median"))
+    weekly = quantiles(composites.select(F.weekofyear(key).alias("_w"), value), value, [0.5], "_w").select("_w", F.col("q")[0].alias("_median"))
     known = weekly.agg(F.sort_array(F.collect_list(F.struct("_w", "_median"))).alias("_weeks"))  # 53 weeks at most
     recent = asof_nearest(left, day, composites.select(key, value), key)
     near = F.array_min(F.transform("_weeks", lambda s: F.struct(F.abs(s["_w"] - F.weekofyear(day)).alias("gap"), s["_w"].alias("w"), s["_median"].alias("m"))))["m"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import trees
+from .quantiles import quantiles
 from .sampling import group_folds, ranked
 from .storage import written
 
@@ -107,7 +108,7 @@ def grid_of(df: DataFrame, feature: str, points: int) -> list[float]:
 
 def binned_means(df: DataFrame, x: str, y: str, bins: int = 40, least: int = 20) -> DataFrame:
     """Mean of y in bins of equal width between the 1st and 99th percentile of x; bins with fewer than least rows go."""
-    ends = df.agg(F.percentile(x, F.array(F.lit(0.01), F.lit(0.99))).alias("_q")).select(F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
+    ends = quantiles(df, x, [0.01, 0.99]).select(F.col("q")[0].alias("_lo"), F.col("q")[1].alias("_hi"))
     rows = df.crossJoin(F.broadcast(ends)).where(F.col(x).between(F.col("_lo"), F.col("_hi")))  # one row
     width = (F.col("_hi") - F.col("_lo")) / float(bins)
     at: Column = F.least(F.floor((F.col(x) - F.col("_lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1)).cast("int")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import matched, quantiles
+
 #: Study area: west, south, east, north.
 BOX = (-83.055207, 35.205304, -82.281531, 35.960311)
 
@@ -55,7 +57,7 @@ def monthly_stats(df: DataFrame, keys: list[str], day: str, value: str) -> DataF
 
 def tukey(df: DataFrame, key: str, value: str, k: float = 1.25) -> DataFrame:
     """q1, q3, iqr and lower fence by key (exact, linear quartiles; nulls don't count)."""
-    q = df.groupBy(key).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    q = quantiles(df, value, [0.25, 0.75], key)
     q1, q3 = F.col("q")[0], F.col("q")[1]
     return q.select(key, q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"), (q1 - k * (q3 - q1)).alias("fence"))
 
@@ -91,7 +93,7 @@ def diagnostics(filtered: DataFrame, key: str = "scene", lst: str = "lst") -> Da
 
 def quantile_composite(df: DataFrame, key: str, value: str, points: tuple = (0.15, 0.25, 0.5, 0.75, 0.85), least: int = 5) -> DataFrame:
     """Exact quantiles by key, their interquartile range and the count; null below least values."""
-    q = df.groupBy(key).agg(F.percentile(value, F.array(*map(F.lit, points))).alias("q"), F.count(value).alias("n_valid"))
+    q = matched(df.groupBy(key).agg(F.count(value).alias("n_valid")), quantiles(df, value, list(points), key), [key])
     enough = F.col("n_valid") >= least
     cols = [F.when(enough, F.col("q")[i]).alias(f"p{round(100 * p)}") for i, p in enumerate(points)]
     out = q.select(key, "n_valid", *cols)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hoarfrost.functions import calendar as cal
 from hoarfrost.operators import quality as ops
+from hoarfrost.operators.quantiles import matched, quantiles
 
 from . import views as v
 from .registry import query
@@ -143,19 +144,23 @@ def scene_qualification(spark, sf_dir):
 
 @query(v.with_(v.OBS, body="SELECT CAST(weekofyear(d) AS INTEGER) AS week, round(quantile_cont(tmin, 0.5), 6) AS median, count(*) AS n FROM v_obs GROUP BY 1"))
 def iso_week_median(spark, sf_dir):
-    return v.obs(spark, sf_dir).groupBy(F.weekofyear("d").alias("week")).agg(F.round(F.percentile("tmin", 0.5), 6).alias("median"), F.count(F.lit(1)).alias("n"))
+    rows = v.obs(spark, sf_dir).select(F.weekofyear("d").alias("week"), "tmin")
+    median = quantiles(rows, "tmin", [0.5], "week").select("week", F.round(F.col("q")[0], 6).alias("median"))
+    return matched(rows.groupBy("week").agg(F.count(F.lit(1)).alias("n")), median, ["week"])
 
 
 @query(v.with_(v.LONG, body="SELECT element, count(*) AS n, count(DISTINCT entity) AS n_entities, round(min(value), 6) AS low, round(max(value), 6) AS high, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(quantile_cont(value, 0.5), 6) AS median FROM v_long GROUP BY 1"))
 def summary_by_class(spark, sf_dir):
-    return v.long_obs(spark, sf_dir).groupBy("element").agg(
+    rows = v.long_obs(spark, sf_dir)
+    median = quantiles(rows, "value", [0.5], "element").select("element", F.round(F.col("q")[0], 6).alias("median"))
+    return matched(rows.groupBy("element").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("entity").alias("n_entities"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"),
-        F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"), F.round(F.percentile("value", 0.5), 6).alias("median"),
-    )
+        F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"),
+    ), median, ["element"])
 
 
 @query(v.with_(v.SCENE, body="""SELECT round(lo, 6) AS lo, round(CASE WHEN hi - lo < 1 THEN lo + 1 ELSE hi END, 6) AS hi FROM (SELECT quantile_cont(lst, 0.02) AS lo, quantile_cont(lst, 0.98) AS hi FROM v_scene)"""))
 def percentile_stretch(spark, sf_dir):
     """Colour range: 2nd to 98th percentile, at least 1 wide."""
-    q = v.scene(spark, sf_dir).agg(F.percentile("lst", F.array(F.lit(0.02), F.lit(0.98))).alias("q")).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    q = quantiles(v.scene(spark, sf_dir), "lst", [0.02, 0.98]).select(F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     return rounded(q.select("lo", F.when(F.col("hi") - F.col("lo") < 1, F.col("lo") + 1).otherwise(F.col("hi")).alias("hi")), "lo", "hi")

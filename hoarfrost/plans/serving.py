@@ -10,6 +10,7 @@ from hoarfrost.functions import calendar as cal
 from hoarfrost.functions import geo
 from hoarfrost.operators import season as season_ops
 from hoarfrost.operators import series as series_ops
+from hoarfrost.operators.quantiles import matched, quantiles
 from hoarfrost.sources import text as src
 
 from . import views as v
@@ -41,7 +42,9 @@ def last_frost_series(spark, sf_dir):
 
 @query(v.with_(*CHAIN, body="SELECT threshold, round(100.0::DOUBLE * count(*) FILTER (step IS NULL) / count(*), 6) AS not_reached_pct, round(quantile_cont(step, 0.5), 6) AS median_week FROM v_cross GROUP BY 1"))
 def not_reached_share(spark, sf_dir):
-    return crossings(spark, sf_dir).groupBy("threshold").agg(F.round(100.0 * F.count_if(F.col("step").isNull()) / F.count(F.lit(1)), 6).alias("not_reached_pct"), F.round(F.percentile("step", 0.5), 6).alias("median_week"))
+    rows = crossings(spark, sf_dir)
+    median = quantiles(rows, "step", [0.5], "threshold").select("threshold", F.round(F.col("q")[0], 6).alias("median_week"))
+    return matched(rows.groupBy("threshold").agg(F.round(100.0 * F.count_if(F.col("step").isNull()) / F.count(F.lit(1)), 6).alias("not_reached_pct")), median, ["threshold"])
 
 
 @query(v.with_(*CHAIN, body="SELECT entity, min(CASE WHEN p >= 0.5 THEN week_num END) AS first_week, round(max(p), 6) AS top FROM v_clim GROUP BY 1"))
