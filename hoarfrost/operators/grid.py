@@ -113,13 +113,41 @@ def sky_view(grid: DataFrame, z: str = "z", cell: float = 100.0, reach_m: float
     return dealt.groupBy("ti", "tj").applyInPandas(run, "row int, col int, horizon double, svf double")
 
 
+def nearest_of(at: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """For each of some ascending places the number of the one with the least squared offset plus more (the first of equal ones; NaN: none), -1 if there is none.
+
+    The nearest one's number never falls from place to place, so the places are
+    taken middle first, each within the bounds that its neighbours on the level
+    before leave: a level looks at each number about once.
+    """
+    known = np.flatnonzero(~np.isnan(more))
+    n, m = len(at), len(known)
+    if not m:
+        return np.full(n, -1, np.int32)
+    a, g, best = at[known], more[known], np.zeros(n, np.int64)
+    step = 1 << (n.bit_length() - 1)
+    while step:
+        i = np.arange(step - 1, n, 2 * step)
+        low = np.where(i - step >= 0, best[np.maximum(i - step, 0)], 0)
+        high = np.where(i + step < n, best[np.minimum(i + step, n - 1)], m - 1)
+        size = high - low + 1
+        begin = np.cumsum(size) - size
+        j = np.arange(size.sum()) - np.repeat(begin - low, size)
+        cost = (np.repeat(at[i], size) - a[j]) ** 2 + g[j]
+        hit = np.flatnonzero(cost == np.repeat(np.minimum.reduceat(cost, begin), size))
+        part = np.repeat(np.arange(len(i)), size)[hit]
+        best[i] = j[hit[np.append(True, part[1:] != part[:-1])]]
+        step //= 2
+    return known[best].astype(np.int32)
+
+
 def distances(grid: DataFrame, is_target: Column, cell: float = 1.0) -> DataFrame:
     """Exact Euclidean distance of each cell to the nearest target, and that target (of equal ones the first by column, then row).
 
     First the nearest target within the cell's column, both ways (windows); then,
     within each row, the least of squared offsets over its columns (numpy on a
-    row's columns, whose other values stay with Spark). Without any target
-    the distance is the diagonal of the grid.
+    row's columns, whose other values stay with Spark, in time of width times
+    its logarithm). Without any target the distance is the diagonal of the grid.
     """
     down = _down().rowsBetween(Window.unboundedPreceding, 0)
     up = _down().rowsBetween(0, Window.unboundedFollowing)
@@ -136,12 +164,7 @@ def distances(grid: DataFrame, is_target: Column, cell: float = 1.0) -> DataFram
         out = []
         for r, c, t in zip(row, cols, targets):
             c, t = np.asarray(c, float), np.asarray(t, float)  # a null is NaN
-            g = np.where(np.isnan(t), np.inf, (t - r) ** 2)
-            found = np.empty(len(c), np.int32)
-            for k in range(0, len(c), 256):
-                d = (c[k : k + 256, None] - c) ** 2 + g
-                found[k : k + 256] = np.where(np.isinf(d.min(1)), -1, d.argmin(1))
-            out.append(found)
+            out.append(nearest_of(c, (t - r) ** 2))
         return pd.Series(out)
 
     lines = lines.withColumn("_best", best("row", F.col("_cells.col"), F.transform("_cells", lambda x: x["_t"])))

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import written
+from .quantiles import matched
+from .storage import forget, written
 
 
 def draw(*cols: str, seed: int = 42) -> Column:
@@ -42,10 +43,18 @@ def binned(df: DataFrame, col: str, bins: int, name: str) -> DataFrame:
 
 
 def stratified(df: DataFrame, strata: list[str], n: int, *keys: str, cells: int = 200, seed: int = 42) -> DataFrame:
-    """max(1, n // cells) rows of each stratum, then others by their draw up to n in all."""
-    each = max(1, n // cells)
-    ranked = df.withColumn("_h", draw(*keys, seed=seed)).withColumn("_i", F.row_number().over(Window.partitionBy(*strata).orderBy("_h", *keys)))
-    return ranked.orderBy((F.col("_i") > each).cast("int"), "_h", *keys).limit(n).drop("_h", "_i")
+    """max(1, n // cells) rows of each stratum, then others by their draw up to n in all.
+
+    A stratum's rows are a top-k, which tasks cut to k rows before they are
+    shuffled; the others are among the n smallest draws of the whole table, a
+    top-n. So a stratum may hold all rows. keys tell rows apart.
+    """
+    drawn = df.withColumn("_h", draw(*keys, seed=seed))
+    place = F.row_number().over(Window.partitionBy(*strata).orderBy("_h", *keys))
+    top = drawn.withColumn("_i", place).where(F.col("_i") <= max(1, n // cells)).withColumn("_i", F.lit(0))
+    rest = drawn.orderBy("_h", *keys).limit(n).withColumn("_i", F.lit(1))
+    found = matched(rest, top.select(*keys), list(keys), "left_anti").unionByName(top)
+    return found.orderBy("_i", "_h", *keys).limit(n).drop("_h", "_i")
 
 
 def extremes(df: DataFrame, cols: list[str], *keys: str) -> DataFrame:
@@ -134,28 +143,35 @@ def rounds_of(load: list[int], n: int, count: int) -> list[tuple[int, list[int]]
 
 
 def thinned(points: DataFrame, key: str, x: str, y: str, order: str, apart: float) -> DataFrame:
-    """A maximal subset of points at least apart from each other: rounds keep every point that comes first (by order, then key) among its undecided neighbours.
-
-    The result is that of going through the points in order. Points meet their
-    neighbours in the nine squares of side apart around them, so no task holds
-    more than a neighbourhood; rounds go on while points are undecided.
+    """A maximal subset of points at least apart from each other: that of going through the points by order, then key.
+
+    Points lie in squares whose diagonal is apart, so a square has one chosen
+    point at most, and a chosen point is found from each square's first
+    undecided one alone: it is chosen if it comes before the first ones of the
+    24 squares around, which is before all points in its reach. Then its square
+    and what is near it in the others is decided at once. So a round works on
+    a row a square and on the points left, however dense they lie, and no pairs
+    of points are made. Rounds go on while points are undecided. Points without
+    coordinates are left out.
     """
-    cell = lambda c: F.floor(F.col(c) / apart).cast("long")
-    todo = points.select(key, x, y, order, cell(x).alias("cx"), cell(y).alias("cy"))
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = todo.select("*", F.explode(steps).alias("s")).select(F.col(key).alias("ka"), F.col(x).alias("xa"), F.col(y).alias("ya"), F.col(order).alias("oa"), (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
-    b = todo.select(F.col(key).alias("kb"), F.col(x).alias("xb"), F.col(y).alias("yb"), F.col(order).alias("ob"), "cx", "cy")
-    near = (F.pow(F.col("xa") - F.col("xb"), F.lit(2)) + F.pow(F.col("ya") - F.col("yb"), F.lit(2))) < apart * apart
-    before = F.struct("ob", "kb") < F.struct("oa", "ka")
-    pairs = written(a.join(b, ["cx", "cy"]).where(near & before).select("ka", "kb"), "pairs")  # kb comes before ka
-    undecided, chosen = written(todo.select(key), "undecided"), None
-    while True:
-        # Free: no undecided point before it; those near a free point are out.
-        blocked = pairs.join(undecided.withColumnRenamed(key, "kb"), "kb", "left_semi").select(F.col("ka").alias(key))
-        free = written(undecided.join(blocked, key, "left_anti"), "free")
-        chosen = free if chosen is None else chosen.unionByName(free)
-        out = pairs.join(free.withColumnRenamed(key, "kb"), "kb", "left_semi").select(F.col("ka").alias(key))
-        undecided = written(undecided.join(out.unionByName(free), key, "left_anti"), "undecided")
-        if undecided.isEmpty():
-            break
-    return points.join(chosen, key, "left_semi")
+    side = apart / math.sqrt(2) * (1 - 1e-9)  # a little less, so that rounding brings no two chosen points into a square
+    cell = lambda c: F.floor(F.col(c) / side).cast("long")
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)])
+    spread = lambda df: df.withColumn("_s", F.explode(around)).withColumn("cx", F.col("cx") + F.col("_s.i")).withColumn("cy", F.col("cy") + F.col("_s.j")).drop("_s")
+    todo = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(order).alias("o"), cell(x).alias("cx"), cell(y).alias("cy"))
+    todo, chosen = written(todo, "undecided"), None
+    while not todo.isEmpty():
+        first = written(todo.groupBy("cx", "cy").agg(F.min(F.struct("o", "k", "x", "y")).alias("f")), "first")  # summed before the shuffle
+        least = spread(first).groupBy("cx", "cy").agg(F.min(F.struct("f.o", "f.k")).alias("least"))
+        free = first.join(least, ["cx", "cy"]).where(F.struct("f.o", "f.k") <= F.col("least")).select("f.k", "f.x", "f.y", "cx", "cy")
+        free = written(free, "free")
+        chosen = free.select("k") if chosen is None else chosen.unionByName(free.select("k"))
+        reach = spread(free.withColumn("own_x", F.col("cx")).withColumn("own_y", F.col("cy"))).select("cx", "cy", "own_x", "own_y", F.col("x").alias("fx"), F.col("y").alias("fy")).alias("r")
+        near = (F.col("t.x") - F.col("r.fx")) * (F.col("t.x") - F.col("r.fx")) + (F.col("t.y") - F.col("r.fy")) * (F.col("t.y") - F.col("r.fy")) < apart * apart
+        own = (F.col("t.cx") == F.col("r.own_x")) & (F.col("t.cy") == F.col("r.own_y"))
+        before = todo
+        todo = written(todo.alias("t").join(reach, (F.col("t.cx") == F.col("r.cx")) & (F.col("t.cy") == F.col("r.cy")) & (own | near), "left_anti"), "undecided")
+        forget(before)
+        forget(first)
+    forget(todo)
+    return points.join(chosen.withColumnRenamed("k", key), key, "left_semi") if chosen is not None else points.limit(0)
