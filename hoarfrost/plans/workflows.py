@@ -14,7 +14,6 @@ from hoarfrost.operators import season as season_ops
 from hoarfrost.operators import series as series_ops
 from hoarfrost.operators import training as train_ops
 from hoarfrost.operators.harmonic import harmonic_fit
-from hoarfrost.operators.storage import stored
 
 from . import views as v
 from .registry import query
@@ -53,19 +52,6 @@ def train_and_evaluate(spark, sf_dir):
     return model_ops.metrics(model.transform(split.where("is_test")), "lst", "predicted")
 
 
-def training_run(spark, sf_dir, folder):
-    """The steps of a training run, each kept in folder: the matrix, its split (by seed and share, as in the folder's name) and the predictions for held-out scenes. A run that starts again goes on from what is there."""
-    matrix = stored(spark, f"{folder}/matrix", lambda: training(spark, sf_dir).withColumn("doy", F.dayofyear("d")))
-    split = stored(spark, f"{folder}/split-42-0.3", lambda: sample_ops.group_split(matrix, "scene"))
-    features = model_ops.available(split, ["base", "clim", "size", "elev", "doy"])
-
-    def predicted():
-        model = model_ops.fit(split.where(~F.col("is_test")), model_ops.forest(features, "lst"))
-        return model.transform(split.where("is_test"))
-
-    return model_ops.metrics(stored(spark, f"{folder}/predicted", predicted), "lst", "predicted")
-
-
 @query()
 def gbt_frost_model(spark, sf_dir):
     """Boosted trees on the log odds of weekly frost; predicted maps for three anomalies."""
