@@ -24,6 +24,8 @@ from .common import fresh, learnable, named, others, short, written
 
 #: Words up to this length are found in a name through all its substrings, longer ones through their first letters.
 SHORT_WORD = 24
+#: Heads of a name that are sent on together.
+HEADS = 4096
 
 
 @dataclass(frozen=True)
@@ -78,13 +80,23 @@ def names_of(host: Column, path: Column) -> Column:
     return F.filter(F.split(F.lower(F.concat_ws("/", host, path)), r"[^\p{L}]+"), lambda x: x != "")
 
 
+def without(text: Column, tag: str) -> Column:
+    """text without the elements of a tag, from its opening on to its first closing, or to the end of the text; literal splits, so linear in any text."""
+    cut = lambda part: F.when(F.locate(f"</{tag}>", part) > 0, F.substring(part, F.locate(f"</{tag}>", part) + len(tag) + 3, F.length(part))).otherwise("")
+    return F.array_join(F.transform(F.split(text, f"<{tag}"), lambda part, k: F.when(k == 0, part).otherwise(cut(part))), " ")
+
+
+def plain_text(html: Column) -> Column:
+    """html in lower case without scripts, styles and tags. A tag ends before the next <, so that signs that open nothing are looked at once."""
+    return F.regexp_replace(without(without(F.lower(html), "script"), "style"), r"<[^<>]*>", " ")
+
+
 def word_counts(pages: DataFrame, url: str = "url", html: str | None = "html") -> DataFrame:
     """(word, n): how often each word is in the pages' texts (tags left out) and, as separate names, in their urls. Summed before the shuffle."""
     names = names_of(*url_parts(named(url)))
     words = pages.select(F.explode(names).alias("word"))
     if html:
-        text = F.regexp_replace(F.lower(named(html)), r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " ")
-        words = words.unionByName(pages.select(F.explode(F.filter(F.split(text, r"[^\p{L}]+"), lambda x: x != "")).alias("word")))
+        words = words.unionByName(pages.select(F.explode(F.filter(F.split(plain_text(named(html)), r"[^\p{L}]+"), lambda x: x != "")).alias("word")))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -119,22 +131,29 @@ def segment_names(names: DataFrame, counts: DataFrame) -> DataFrame:
     """names (name) -> (name, words): each distinct name split by unigram Viterbi with counts (word, n).
 
     A name's substrings are joined with the counted words, so no vocabulary is
-    sent around; what comes together for a name is bounded by its length. Words
-    of over SHORT_WORD letters are joined by their first ones and then
-    compared. Names are known by hashes meanwhile: names with one hash would
+    sent around. Words of over SHORT_WORD letters are joined by their first ones;
+    the split takes those that are there whole. Heads are cut in tasks, each
+    once, so a name of any length takes linear time. Names are known by hashes meanwhile: names with one hash would
     merely share the words that they are looked up in. A word's cost is the
     negative logarithm of its share, and never more than that of an unknown
     word; a whole name seen twice at most is no word merely because it occurs.
     """
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     distinct = names.select("name").distinct().withColumn("id", F.xxhash64("name"))
-    starts = F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda at: F.substring(F.col("name"), at, F.lit(SHORT_WORD)))
-    heads = distinct.where(F.length("name") > 1).select("id", F.posexplode(starts).alias("at", "head")).where(F.length("head") > 1)
+
+    def heads_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for at in range(0, len(name) - 1, HEADS):
+                    heads = list(dict.fromkeys(name[k : k + SHORT_WORD] for k in range(at, min(at + HEADS, len(name) - 1))))
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(heads), pa.int64()), pa.array(heads, pa.string())], names=["id", "head"])
+
+    heads = distinct.where(F.length("name") > 1).select("id", "name").mapInArrow(heads_of, "id long, head string")
     parts = heads.select("id", F.explode(F.transform(F.sequence(F.lit(2), F.length("head")), lambda n: F.substring(F.col("head"), F.lit(1), n))).alias("word"))
     found = parts.distinct().join(counts, "word").select("id", "word", "n")
     long = counts.where(F.length("word") > SHORT_WORD).withColumn("head", F.substring("word", 1, SHORT_WORD))
-    there = heads.where(F.length("head") == SHORT_WORD).join(long, "head").join(distinct, "id")
-    found = found.unionByName(there.where(F.substring(F.col("name"), F.col("at") + 1, F.length("word")) == F.col("word")).select("id", "word", "n").distinct())
+    there = heads.where(F.length("head") == SHORT_WORD).distinct().join(long, "head")
+    found = found.unionByName(there.select("id", "word", "n").distinct())
     known = found.groupBy("id").agg(F.collect_list(F.struct("word", "n")).alias("known"))
     unknown = math.log(max(2, total)) / 2
     grouped = distinct.join(known, "id", "left").select("name", F.coalesce("known", F.array().cast("array<struct<word:string,n:bigint>>")).alias("known"))
@@ -150,21 +169,27 @@ def segment_names(names: DataFrame, counts: DataFrame) -> DataFrame:
     return grouped.mapInArrow(run, "name string, words array<string>")
 
 
+def known_by() -> tuple[Column, Column]:
+    """Two hashes that stand for a place (host, shape)."""
+    return F.xxhash64("host", "shape").alias("pa"), F.xxhash64(F.lit(1), "shape", "host").alias("pb")
+
+
 def url_words(urls: DataFrame, counts: DataFrame) -> DataFrame:
     """Distinct (host, shape) -> the same with words: the split names of host (marked "host:") and of the path's shape.
 
     Each distinct name is split once and joined back; Spark splits the rows of
-    a hot name.
+    a hot name. Meanwhile a place is known by 128 bits, so that its names don't
+    carry its shape along, however long that is.
     """
     places = urls.select("host", "shape").distinct()
-    marked = places.select("host", "shape", F.explode(F.concat(
+    marked = places.select(*known_by(), F.explode(F.concat(
         F.transform(names_of(F.col("host"), F.lit("")), lambda x: F.struct(F.lit("host:").alias("side"), x.alias("name"))),
         F.transform(names_of(F.lit(""), F.col("shape")), lambda x: F.struct(F.lit("path:").alias("side"), x.alias("name"))),
-    )).alias("x")).select("host", "shape", "x.side", "x.name")
+    )).alias("x")).select("pa", "pb", "x.side", "x.name")
     marked = written(marked, "names")
     split = written(segment_names(marked, counts), "split")
-    words = marked.join(split, "name").groupBy("host", "shape").agg(F.flatten(F.collect_list(F.transform("words", lambda w: F.concat("side", w)))).alias("words"))
-    return places.join(words, ["host", "shape"], "left").select("host", "shape", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
+    words = marked.join(split, "name").groupBy("pa", "pb").agg(F.flatten(F.collect_list(F.transform("words", lambda w: F.concat("side", w)))).alias("words"))
+    return places.select("*", *known_by()).join(words, ["pa", "pb"], "left").select("host", "shape", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
 
 
 def with_evidence(places: DataFrame, rules: tuple[UrlRule, ...], seeds: tuple[str, ...]) -> DataFrame:
@@ -201,10 +226,10 @@ def fit_bayes(labelled: DataFrame) -> NaiveBayes:
 
 def with_scores(places: DataFrame, model: NaiveBayes) -> DataFrame:
     """places (host, shape, words) -> (host, shape, block_score): the probability of block, to six places. Words that the model doesn't know say nothing."""
-    each = places.select("host", "shape", F.explode("words").alias("word")).join(model.words, "word")
-    odds = each.groupBy("host", "shape").agg(F.sum("odds").alias("odds"))
+    each = places.select(*known_by(), F.explode("words").alias("word")).join(model.words, "word")
+    odds = each.groupBy("pa", "pb").agg(F.sum("odds").alias("odds"))
     total = F.coalesce(F.col("odds"), F.lit(0.0)) + F.lit(model.prior)
-    return places.select("host", "shape").join(odds, ["host", "shape"], "left").select("host", "shape", F.round(1 / (1 + F.exp(-total)), 6).alias("block_score"))
+    return places.select("host", "shape", *known_by()).join(odds, ["pa", "pb"], "left").select("host", "shape", F.round(1 / (1 + F.exp(-total)), 6).alias("block_score"))
 
 
 def judge_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, seeds: tuple[str, ...] = SEED_WORDS, url: str = "url", html: str | None = "html", threshold: float = 0.5, hold_out: bool = False) -> DataFrame:

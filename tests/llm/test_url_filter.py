@@ -1,6 +1,7 @@
 import math
 import os
 import re
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -150,3 +151,29 @@ def test_names_of_any_length_are_split(spark):
         cost = {w: c for w, c in cost.items() if len(w) > 1}
         assert got[name] == uf.viterbi(name, cost, math.log(total) / 2)
     assert len(got) == len(names) and got["pillscheap" * 20] == ["pills", "cheap"] * 20
+
+
+def test_plain_text(spark):
+    cases = {
+        "<p>A <b>b</b></p>": "a b", "x<script src=1>var y<z</script>w <style>q</style>v": "x w v", "a<script>never closed": "a", "a<script>b<script>c</script>d": "a d", "1 < 2 <b>c</b>": "1 < 2 c",
+        "<<<a>b": "<< b", "<SCRIPT>x</Script>y": "y", "": "", "</script>z": "z",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "h string")
+    got = {r.h: " ".join(r.t.split()) for r in df.select("h", uf.plain_text(F.col("h")).alias("t")).collect()}
+    assert got == cases
+
+
+def test_a_megabyte_of_anything(spark):
+    """Openings without ends and one long run of letters take seconds, not hours; words over SHORT_WORD letters are found in it."""
+    word = "abcdefghijklmnopqrstuvwxyz"
+    rng = __import__("random").Random(2)
+    long = "".join(rng.choice(["ab", "cd", word]) for _ in range(20_000))
+    htmls = ["<" * (1 << 20), "<script" * 150_000, "<style <" * 130_000, "ab cd " * 10 + f"{word} {word} {word} " * 5, None]
+    urls = ["http://a.b/x", "http://" + "x" * 40 + ".b/" + "y/" * 200_000, f"http://c.d/{long}", "http://e.f/ab", None]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(zip(urls, htmls))], "page_id long, url string, html string")
+    began = time.time()
+    out = uf.judge_urls(pages).select("page_id", "verdict", F.length("path").alias("n")).collect()
+    assert len(out) == 5 and max(r.n for r in out) >= 400_000 and time.time() - began < 100
+    counts = uf.word_counts(pages)
+    split = uf.segment_names(spark.createDataFrame([(long[:3000],)], "name string"), counts).first().words
+    assert "".join(split) == long[:3000] and {"ab", "cd", word} >= set(split[:-1])
