@@ -1,4 +1,4 @@
 """All climate queries and their SQL."""
 
-from . import cleaning, cubes, forecasts, grids, joining, learning, runs, sampling, seasons, serving, series, streams, workflows  # noqa: F401
+from . import cleaning, cubes, files, forecasts, grids, joining, learning, runs, sampling, seasons, serving, series, streams, workflows  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -60,12 +60,14 @@ def seasonal_anomaly(spark, sf_dir):
     return rounded(ops.seasonal_anomaly(v.obs(spark, sf_dir), "entity"), "season_mean", "anomaly")
 
 
-@query("""SELECT CAST(w + 1 AS INTEGER) AS week_num, CAST(CASE WHEN 244 + 7 * w > 365 THEN 244 + 7 * w - 365 ELSE 244 + 7 * w END AS INTEGER) AS start_doy,
+@query("""SELECT frost_year, CAST(w + 1 AS INTEGER) AS week_num, CAST(CASE WHEN 244 + 7 * w > 365 THEN 244 + 7 * w - 365 ELSE 244 + 7 * w END AS INTEGER) AS start_doy,
 CAST(CASE WHEN 247 + 7 * w > 365 THEN 247 + 7 * w - 365 ELSE 247 + 7 * w END AS INTEGER) AS center_doy, CAST(CASE WHEN 250 + 7 * w > 365 THEN 250 + 7 * w - 365 ELSE 250 + 7 * w END AS INTEGER) AS end_doy,
 strftime(f, '%b') || '-wk' || CAST(CAST(floor((day(f) - 1) / 7.0) + 1 AS INTEGER) AS VARCHAR) AS label
-FROM (SELECT range AS w, DATE '2024-01-01' + CAST((CASE WHEN 244 + 7 * range > 365 THEN 244 + 7 * range - 365 ELSE 244 + 7 * range END) - 1 AS INTEGER) AS f FROM range(39))""")
+FROM (SELECT DISTINCT CAST(CASE WHEN month(o_orderdate) >= 9 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END AS INTEGER) AS frost_year FROM orders) CROSS JOIN (SELECT range AS w, DATE '2024-01-01' + CAST((CASE WHEN 244 + 7 * range > 365 THEN 244 + 7 * range - 365 ELSE 244 + 7 * range END) - 1 AS INTEGER) AS f FROM range(39))""")
 def frost_week_calendar(spark, sf_dir):
-    return cal.week_calendar(spark)
+    """The weeks of every season that has observations."""
+    years = v.table(spark, sf_dir, "orders").select(cal.frost_year(F.col("o_orderdate")).alias("frost_year")).distinct()
+    return years.crossJoin(F.broadcast(cal.week_calendar(spark)))  # 39 weeks
 
 
 @query(v.with_(v.OBS, COUNTS, body="SELECT entity, frost_year, week_num, n_frost, n_days, round(n_frost / n_days::DOUBLE, 6) AS frost_prob FROM v_counts"))

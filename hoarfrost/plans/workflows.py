@@ -149,10 +149,11 @@ def predict_mask(spark, sf_dir):
 
 
 @query("""SELECT CAST(y AS INTEGER) AS season, CAST(make_date(CASE WHEN m >= 9 THEN y ELSE y + 1 END, m, 1) AS DATE) AS first_day, CAST(last_day(make_date(CASE WHEN m >= 9 THEN y ELSE y + 1 END, m, 1)) AS DATE) AS final_day
-FROM (SELECT range AS y FROM range(1995, 2001)) CROSS JOIN (SELECT unnest([9, 10, 11, 12, 1, 2, 3, 4, 5]) AS m)""")
+FROM (SELECT DISTINCT year(o_orderdate) AS y FROM orders) CROSS JOIN (SELECT unnest([9, 10, 11, 12, 1, 2, 3, 4, 5]) AS m)""")
 def season_month_ranges(spark, sf_dir):
-    """First and last days of every month of the seasons."""
-    y = spark.range(1995, 2001).select(F.col("id").cast("int").alias("season"), F.explode(F.array(*map(F.lit, cal.FROST_MONTHS))).alias("m"))
+    """First and last days of every month of the seasons that the observations' years begin."""
+    years = v.table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("season")).distinct()
+    y = years.select("season", F.explode(F.array(*map(F.lit, cal.FROST_MONTHS))).alias("m"))
     first = F.make_date(F.when(F.col("m") >= 9, F.col("season")).otherwise(F.col("season") + 1), F.col("m"), F.lit(1))
     return y.select("season", first.alias("first_day"), F.last_day(first).alias("final_day"))
 

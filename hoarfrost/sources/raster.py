@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cube import placed
+
 # Tags of the TIFF format and of its GDAL and GeoTIFF extensions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, FORMAT = 322, 323, 324, 325, 339
@@ -217,6 +220,24 @@ def to_rasters(cells: DataFrame, height: int, width: int, west: float = 0.0, nor
     return cells.groupBy("layer").applyInPandas(run, "layer string, content binary")
 
 
+def save(rasters: DataFrame, folder: str) -> int:
+    """Write rasters (layer, content) as files folder/layer.tif, from the tasks; how many. A file is there whole or not at all, whichever attempt of a task writes it."""
+    fs, at = placed(folder)
+    fs.create_dir(at)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, at = placed(folder)
+        for pdf in batches:
+            for layer, content in zip(pdf["layer"], pdf["content"]):
+                aside = f"{at}/.{layer}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(aside) as f:
+                    f.write(bytes(content))
+                fs.move(aside, f"{at}/{layer}.tif")
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    return rasters.select("layer", "content").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def wide(cells: DataFrame, layers: list[str]) -> DataFrame:
     """One row a cell with a column a layer: complete pixels are those without a null."""
     return cells.groupBy("row", "col").pivot("layer", layers).agg(F.first("value"))

@@ -40,6 +40,11 @@ def daily_lines(lines: DataFrame, value: str = "value", elements: tuple = ("TMIN
     return out.where("date is not null and value is not null")
 
 
+def known(value: Column, nodata: float, near: float = 1e-8, share: float = 1e-5) -> Column:
+    """value, or null where it is the no-data value or as close to it as rounding brings it, or NaN."""
+    return F.when(~F.isnan(value) & (F.abs(value - nodata) > near + share * abs(nodata)), value)
+
+
 def first_readable(spark: SparkSession, paths: list[str]) -> DataFrame:
     """The first of some Parquet tables that is there."""
     for path in paths:
