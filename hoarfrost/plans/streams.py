@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from hoarfrost.operators.storage import shared_dir
-from hoarfrost.streaming import ingest
+from hoarfrost.streaming import held, ingest
 
 from . import views as v
 from .registry import query
@@ -58,3 +58,18 @@ def stream_sessions(spark, sf_dir):
     path, schema = folder_of(spark, sf_dir)
     rows = ingest.drained(ingest.sessions(ingest.observations(spark, path, schema), "ts", "user_id", "12 hours"), f"sessions-{uuid.uuid4().hex}")
     return rows.select("user_id", F.unix_timestamp("session_start").alias("start_s"), "n")
+
+
+@query("""SELECT user_id, day, low, n, CAST(least(3, row_number() OVER w) AS INTEGER) AS n_held, round(avg(low) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS mean_low, min(day) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS first_held
+FROM (SELECT user_id, CAST(ts AS DATE) AS day, min(value) AS low, count(*) AS n FROM events GROUP BY 1, 2) WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY day)""")
+def stream_recent_days(spark, sf_dir):
+    """Each day of a user that the watermark has passed, with the last three days held: older ones are evicted from the state."""
+    path, schema = folder_of(spark, sf_dir)
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(conf, None)
+    spark.conf.set(conf, held.ROCKSDB)
+    try:
+        rows = ingest.drained(held.recent_days(ingest.observations(spark, path, schema), "user_id", "ts", "value", 3), f"held-{uuid.uuid4().hex}")
+    finally:
+        spark.conf.set(conf, before) if before else spark.conf.unset(conf)
+    return rows.withColumn("mean_low", F.round("mean_low", 6))
