@@ -386,25 +386,36 @@ class Image:
         flat = np.concatenate([c.blocks.reshape(-1) for c in self.components])[:n]
         return BYTE[flat + 150].tobytes()
 
+    def _plane(self, c: Component, first: int, last: int) -> np.ndarray:
+        """Samples of a component's rows of blocks, brought to full resolution."""
+        blocks = c.blocks[first:last]
+        rows, cols = blocks.shape[:2]
+        x = (blocks.reshape(-1, 64) * self.quants[c.quant]) @ TRANSFORM
+        x = np.clip(np.floor((x + 4096) / 8192) + 128, 0, 255).astype(np.int32)
+        plane = x.reshape(rows, cols, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, cols * 8)
+        return np.repeat(np.repeat(plane, self.v // c.v, axis=0), self.h // c.h, axis=1)
+
     def rgb(self) -> np.ndarray:
-        """Height x width x 3, uint8. The transform is exact in integers (held in doubles), so equal images give equal bytes."""
-        planes = []
-        for c in self.components:
-            rows, cols = c.blocks.shape[:2]
-            x = (c.blocks.reshape(-1, 64) * self.quants[c.quant]) @ TRANSFORM
-            x = np.clip(np.floor((x + 4096) / 8192) + 128, 0, 255).astype(np.int32)
-            plane = x.reshape(rows, cols, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, cols * 8)
-            plane = np.repeat(np.repeat(plane, self.v // c.v, axis=0), self.h // c.h, axis=1)
-            planes.append(plane[: self.height, : self.width])
-        if len(planes) == 1:
-            return np.repeat(planes[0].astype(np.uint8)[:, :, None], 3, axis=2)
-        y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
+        """Height x width x 3, uint8. The transform is exact in integers (held in doubles), so equal images give equal bytes; strips of some rows are transformed at a time."""
         out = np.empty((self.height, self.width, 3), np.uint8)
-        for k, add in enumerate((91881 * cr, -22554 * cb - 46802 * cr, 116130 * cb)):
-            out[:, :, k] = np.clip(y + ((add + 32768) >> 16), 0, 255)
+        step = 8 * self.v
+        n = max(1, STRIP_PIXELS // (step * max(1, self.width)))
+        for r in range(0, -(-self.height // step), n):
+            a, b = r * step, min(self.height, (r + n) * step)
+            planes = [self._plane(c, r * c.v, (r + n) * c.v)[: b - a, : self.width] for c in self.components]
+            if len(planes) == 1:
+                out[a:b] = planes[0][:, :, None]
+                continue
+            y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
+            for k, add in enumerate((91881 * cr, -22554 * cb - 46802 * cr, 116130 * cb)):
+                out[a:b, :, k] = np.clip(y + ((add + 32768) >> 16), 0, 255)
         return out
 
 
+#: Pixels that are transformed together.
+STRIP_PIXELS = 1 << 18
+
+
 _MARKER = re.compile(rb"\xff[^\x00\xd0-\xd7]")
 
 

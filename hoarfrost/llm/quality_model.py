@@ -9,7 +9,6 @@ from the documents' labels.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,24 +33,34 @@ _KINDS[128:] = 8
 _KINDS[0xC3] = 8
 _KIND_COUNT, _SHAPE = 9, 6
 FEATURES = _KIND_COUNT + _SHAPE + BUCKETS + 1
-_ENDS = re.compile(rb"[^\x20\x09-\x0D]+")
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
+#: Bytes of passages whose features are worked out together.
+FEATURE_BYTES = 1 << 20
 
 
 def passages(text: bytes) -> list[bytes]:
     """Runs of PASSAGE_WORDS words; the last may be shorter; a text without words is one empty passage."""
-    ends = [m.end() for m in _ENDS.finditer(text)]
-    if not ends:
+    word = np.append(_IN_WORD[np.frombuffer(text, np.uint8)], False)
+    ends = np.flatnonzero(word[:-1] & ~word[1:]) + 1
+    if not len(ends):
         return [b""]
-    cuts = [0, *ends[PASSAGE_WORDS - 1 :: PASSAGE_WORDS]]
+    cuts = [0, *ends[PASSAGE_WORDS - 1 :: PASSAGE_WORDS].tolist()]
     if cuts[-1] != ends[-1]:
-        cuts.append(ends[-1])
+        cuts.append(int(ends[-1]))
     return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def features(parts: list[bytes]) -> np.ndarray:
-    """(passage, FEATURES): shares of kinds of characters, shape of the words, shares of hashed pairs."""
-    n = len(parts)
+    """(passage, FEATURES): shares of kinds of characters, shape of the words, shares of hashed pairs. Passages are taken some at a time, so that arrays of eight bytes a byte stay small."""
     sizes = np.array([len(p) for p in parts])
+    group = np.cumsum(sizes) // FEATURE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(parts)]
+    return np.concatenate([_features(parts[a:b], sizes[a:b]) for a, b in zip(cuts, cuts[1:])])
+
+
+def _features(parts: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    n = len(parts)
     data = np.frombuffer(b"".join(parts), np.uint8)
     own = np.repeat(np.arange(n), sizes)
     kinds = np.bincount(own * _KIND_COUNT + _KINDS[data], minlength=n * _KIND_COUNT).reshape(n, -1)
