@@ -94,13 +94,14 @@ def ranked(df: DataFrame, *keys: str, name: str = "rank") -> DataFrame:
 
 
 def runs(df: DataFrame, key: str, n: int, name: str = "fold") -> DataFrame:
-    """df with the number (from 0) of the one of n runs in order of key that the row is in; the first ones are larger by one row if need be."""
+    """df with the number (from 0) of the one of n runs in order of key that the row is in; the first ones are larger by one row if need be. Equal keys are in the order of a hash of their rows, however these are partitioned."""
     total = df.agg(F.count(F.lit(1)).alias("_t"))
     size, more = F.floor(F.col("_t") / n), F.col("_t") % n
     at = F.col("_rank") - 1
     big = more * (size + 1)
     number = F.when(at < big, F.floor(at / (size + 1))).otherwise(more + F.floor((at - big) / F.greatest(size, F.lit(1))))
-    return ranked(df, key, name="_rank").crossJoin(F.broadcast(total)).withColumn(name, number.cast("int")).drop("_rank", "_t")  # one row
+    tied = df.withColumn("_row", F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind]))
+    return ranked(tied, key, "_row", name="_rank").crossJoin(F.broadcast(total)).withColumn(name, number.cast("int")).drop("_rank", "_t", "_row")  # one row
 
 
 def group_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:

@@ -71,3 +71,10 @@ def test_a_stratum_with_all_rows(spark):
         assert sorted(r.id for r in out.collect()) == sorted(want)
     plan = sampling.stratified(df, ["s"], 60, "id", cells=20)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_folds_of_equal_keys_stay(spark):
+    """Runs are cut through equal keys alike, however the rows come."""
+    df = spark.createDataFrame([(i % 3, i) for i in range(100)], "k int, id int")
+    one, other = ({r.id: r.fold for r in sampling.runs(part, "k", 7).collect()} for part in (df.repartition(1), df.repartition(5, "id")))
+    assert one == other and sorted(one.values()) == sorted([f for f in range(7) for _ in range(15 if f < 2 else 14)])
