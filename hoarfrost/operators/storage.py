@@ -27,12 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
 _tables: ContextVar[list | None] = ContextVar("tables", default=None)
 
 
+#: All that written() wrote in this process and that is still there.
+_there: set[str] = set()
+
+
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df, written as Parquet in the shared folder and read back: lineage ends here. Within scratch() it goes at the end, unless it is to be kept."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_at = path
+    _there.add(path)
     if not keep and _tables.get() is not None:
         _tables.get().append(out)
     return out
@@ -40,9 +45,21 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 
 def forget(df: DataFrame) -> None:
     """Delete what written() wrote, once nothing reads it any more. Deleting twice does nothing."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+    _delete(df.sparkSession, df._written_at)
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _there.discard(where)
+
+
+def close(spark: SparkSession) -> int:
+    """Delete every table that written() left: to be called when no frame that the engine gave out is read any more. How many there were."""
+    left = sorted(_there)
+    for where in left:
+        _delete(spark, where)
+    return len(left)
 
 
 @contextmanager

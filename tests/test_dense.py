@@ -1,12 +1,13 @@
 """Dense points, wide rows and large strata against plain Python."""
 
 import hashlib
+import os
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from hoarfrost.operators import grid, sampling
+from hoarfrost.operators import grid, sampling, storage
 
 
 def greedy(points, apart):
@@ -78,3 +79,12 @@ def test_folds_of_equal_keys_stay(spark):
     df = spark.createDataFrame([(i % 3, i) for i in range(100)], "k int, id int")
     one, other = ({r.id: r.fold for r in sampling.runs(part, "k", 7).collect()} for part in (df.repartition(1), df.repartition(5, "id")))
     assert one == other and sorted(one.values()) == sorted([f for f in range(7) for _ in range(15 if f < 2 else 14)])
+
+
+def test_what_is_left_can_be_deleted(spark, monkeypatch):
+    monkeypatch.setattr(storage, "_there", set())
+    kept = storage.written(spark.range(3), "x")
+    gone = storage.written(spark.range(3), "x")
+    storage.forget(gone)
+    assert kept.count() == 3 and storage.close(spark) == 1 and storage.close(spark) == 0
+    assert not os.path.exists(kept._written_at.removeprefix("file:"))
