@@ -10,8 +10,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _down():
@@ -141,49 +143,105 @@ def nearest_of(at: np.ndarray, more: np.ndarray) -> np.ndarray:
     return known[best].astype(np.int32)
 
 
-def distances(grid: DataFrame, is_target: Column, cell: float = 1.0) -> DataFrame:
-    """Exact Euclidean distance of each cell to the nearest target, and that target (of equal ones the first by column, then row).
+#: Cells of a band of rows, which a task works out at once; offsets that are tried for all cells before rows are taken one by one.
+BAND_CELLS, OFFSETS = 1 << 18, 256
 
-    First the nearest target within the cell's column, both ways (windows); then,
-    within each row, the least of squared offsets over its columns (numpy on a
-    row's columns, whose other values stay with Spark, in time of width times
-    its logarithm). Without any target the distance is the diagonal of the grid.
+
+def nearest_columns(g: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """For each cell of some rows the number of the column with the least squared offset plus g (inf: none), the first of equal ones; -1 if there is none.
+
+    Offsets grow until none can be nearer; cells that are far from all go by
+    nearest_of, row by row.
+    """
+    best, at = g.copy(), np.where(np.isinf(g), -1, np.arange(len(cols)))
+    if len(cols) == cols[-1] - cols[0] + 1:  # no gaps, so that an offset is a shift
+        for d in range(1, min(len(cols), OFFSETS + 1)):
+            if d * d > best.max():
+                return at
+            left, right = g[:, :-d] + d * d, g[:, d:] + d * d
+            hit = (left <= best[:, d:]) & ~np.isinf(left)
+            best[:, d:][hit], at[:, d:][hit] = left[hit], (hit.nonzero()[1])
+            hit = right < best[:, :-d]
+            best[:, :-d][hit], at[:, :-d][hit] = right[hit], hit.nonzero()[1] + d
+        if len(cols) <= OFFSETS + 1:
+            return at
+    more, places = np.where(np.isinf(g), np.nan, g), cols.astype(float)
+    for r in range(len(g)):
+        at[r] = nearest_of(places, more[r])
+    return at
+
+
+def distances(grid: DataFrame, is_target: Column, cell: float = 1.0, carry: str | None = None) -> DataFrame:
+    """Exact Euclidean distance of each cell to the nearest target, and that target (of equal ones the first by column, then row). carry: a column whose value at that target is near_value.
+
+    Rows are dealt in bands. First each column's outermost targets in each band
+    are found (one grouping), and from them its nearest targets before and
+    after the band; so a task has all that its band's cells need: the nearest
+    target within their column, both ways, and then the least of squared
+    offsets over a row's columns. No column and no more than a band's rows come
+    together. Without any target the distance is the diagonal of the grid.
     """
-    down = _down().rowsBetween(Window.unboundedPreceding, 0)
-    up = _down().rowsBetween(0, Window.unboundedFollowing)
-    at = F.when(is_target, F.col("row"))
-    one = grid.withColumn("_a", F.last(at, True).over(down)).withColumn("_b", F.first(at, True).over(up))
-    above, below = F.col("row") - F.col("_a"), F.col("_b") - F.col("row")
-    one = one.withColumn("_t", F.when(F.col("_b").isNull() | (above <= below), F.col("_a")).otherwise(F.col("_b")))
-    inner = F.sort_array(F.collect_list(F.struct("col", *[c for c in grid.columns if c not in ("row", "col")], "_t")))  # a row's width at most
-    lines = one.groupBy("row").agg(inner.alias("_cells"))
-
-    @F.pandas_udf("array<int>")
-    def best(row: pd.Series, cols: pd.Series, targets: pd.Series) -> pd.Series:
-        """For each cell of a row the number of the one whose column's target is nearest; -1 if there is none."""
-        out = []
-        for r, c, t in zip(row, cols, targets):
-            c, t = np.asarray(c, float), np.asarray(t, float)  # a null is NaN
-            out.append(nearest_of(c, (t - r) ** 2))
-        return pd.Series(out)
-
-    lines = lines.withColumn("_best", best("row", F.col("_cells.col"), F.transform("_cells", lambda x: x["_t"])))
-    near = F.when(F.col("x._best") >= 0, F.get("_cells", F.col("x._best")))
-    size = grid.agg((F.max("row") - F.min("row") + 1).alias("_h"), (F.max("col") - F.min("col") + 1).alias("_w"))
-    out = lines.select("row", "_cells", F.explode(F.arrays_zip("_cells", "_best")).alias("x")).withColumn("_near", near).crossJoin(F.broadcast(size))  # size is one row
-    sq = lambda x: x * x
-    d2 = sq(F.col("_near.col") - F.col("x._cells.col")) + sq(F.col("_near._t") - F.col("row"))
-    far = F.sqrt((F.col("_h") * F.col("_h") + F.col("_w") * F.col("_w")).cast("double"))
-    kept = [F.col("row") if c == "row" else F.col(f"x._cells.{c}").alias(c) for c in grid.columns]
-    return out.select(*kept, (F.coalesce(F.sqrt(d2.cast("double")), far) * cell).alias("distance"), F.col("_near._t").alias("near_row"), F.col("_near.col").alias("near_col"))
+    r0, r1, c0, c1 = grid.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
+    high, wide = (r1 - r0 + 1, c1 - c0 + 1) if r0 is not None else (1, 1)
+    rows = max(1, BAND_CELLS // wide)
+    far = float(np.sqrt(float(high * high + wide * wide)))
+    tasks = max(1, min(-(-high // rows), 2000))
+    cells = grid.withColumn("_b", F.floor(F.col("row") / rows).cast("long")).withColumn("_t", F.coalesce(is_target, F.lit(False)))
+    at = F.when(F.col("_t"), F.struct("row", (F.col(carry) if carry else F.lit(None).cast("int")).alias("v")))
+    own = cells.groupBy("_b", "col").agg(F.min_by(at, F.when(F.col("_t"), F.col("row"))).alias("lo"), F.max_by(at, F.when(F.col("_t"), F.col("row"))).alias("hi"))
+    every = cells.select("_b").distinct().crossJoin(cells.select("col").distinct())  # bands by columns
+    known = every.join(own, ["_b", "col"], "left")
+    by = lambda *order: Window.partitionBy("col").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    known = known.select("_b", "col", F.last("hi", True).over(by("_b")).alias("a"), F.last("lo", True).over(by(F.desc("_b"))).alias("z"))
+    known = known.select(F.col("_b").alias("_e"), "col", F.col("a.row").alias("a"), F.col("a.v").alias("av"), F.col("z.row").alias("z"), F.col("z.v").alias("zv"))
+
+    def run(cells: pa.Table, ends: pa.Table) -> pa.Table:
+        ends = ends.sort_by("col")
+        cols = ends.column("col").to_numpy()
+        first = cells.column("_b")[0].as_py() * rows
+        r, c = cells.column("row").to_numpy() - first, np.searchsorted(cols, cells.column("col").to_numpy())
+        size = int(r.max()) + 1
+        target = np.zeros((size, len(cols)), bool)
+        hit = cells.column("_t").to_numpy(zero_copy_only=False).astype(bool)
+        target[r[hit], c[hit]] = True
+        here = np.arange(first, first + size, dtype=float)[:, None]
+        inner = np.where(target, here, np.nan)
+        before, after = (ends.column(k).cast(pa.float64()).to_numpy(zero_copy_only=False) for k in ("a", "z"))
+        above = np.fmax.accumulate(np.vstack([before, inner]))[1:]
+        below = np.fmin.accumulate(np.vstack([after, inner[::-1]]))[:0:-1]
+        near = np.where(np.isnan(below) | (here - above <= below - here), above, below)
+        best = nearest_columns(np.where(np.isnan(near), np.inf, (here - near) ** 2), cols)
+        col = best[r, c]
+        none = col < 0
+        row = near[r, col]
+        d = np.where(none, far, np.sqrt((cols[col] - cols[c]).astype(float) ** 2 + (row - first - r) ** 2))
+        out = cells.drop_columns(["_b", "_t"])
+        more = {"distance": pa.array(d * cell), "near_row": pa.array(np.where(none, 0, row).astype(np.int64), mask=none).cast(cells.schema.field("row").type), "near_col": pa.array(cols[col], mask=none)}
+        if carry:
+            # Places of values: the band's cells, then what lies before it, then what lies behind.
+            place = np.full((size, len(cols)), -1)
+            place[r[hit], c[hit]] = np.flatnonzero(hit)
+            inside = ~none & (row >= first) & (row < first + size)
+            at = np.where(inside, place[np.where(inside, row - first, 0).astype(int), col], len(r) + col + np.where(row < first, 0, len(cols)))
+            kind = cells.schema.field(carry).type
+            values = pa.chunked_array([x.cast(kind) for v in (cells.column(carry), ends.column("av"), ends.column("zv")) for x in v.chunks], kind)
+            more["near_value"] = values.take(pa.array(at, mask=none))
+        for name, x in more.items():
+            out = out.append_column(name, x)
+        return out
+
+    kinds = {f.name: f.dataType for f in grid.schema.fields}
+    extra = {"distance": T.DoubleType(), "near_row": kinds["row"], "near_col": kinds["col"]} | ({"near_value": kinds[carry]} if carry else {})
+    schema = T.StructType(list(grid.schema.fields))
+    for name, kind in extra.items():
+        schema = schema.add(name, kind)
+    return cells.repartition(tasks, "_b").groupBy("_b").cogroup(known.repartition(tasks, "_e").groupBy("_e")).applyInArrow(run, schema)
 
 
 def filled(grid: DataFrame, z: str = "z", within: float = 5.0) -> DataFrame:
     """z_filled: the value of the nearest known cell where z is null and one is near enough."""
-    found = distances(grid, F.col(z).isNotNull())
-    source = grid.select(F.col("row").alias("near_row"), F.col("col").alias("near_col"), F.col(z).alias("_z"))
-    out = found.join(source, ["near_row", "near_col"], "left")
-    return out.select(*grid.columns, F.when(F.col("distance") <= within, F.coalesce(F.col(z), F.col("_z"))).otherwise(F.col(z)).alias("z_filled"))
+    found = distances(grid, F.col(z).isNotNull(), carry=z)
+    return found.select(*grid.columns, F.when(F.col("distance") <= within, F.coalesce(F.col(z), F.col("near_value"))).otherwise(F.col(z)).alias("z_filled"))
 
 
 def blocks(grid: DataFrame, n: int = 4, z: str = "z", flag: Column | None = None) -> DataFrame:
