@@ -203,3 +203,28 @@ def test_many_nodes_of_few_rows():
         trees.dense_splits(b, j, np.bincount(cell, w, 40 * trees.BINS).reshape(40, -1), np.bincount(cell, w * y, 40 * trees.BINS).reshape(40, -1), total, whole, 5, may)
     for c in ("gain", "feature", "cut", "n", "s"):
         assert (getattr(a, c)[may] == getattr(b, c)[may]).all()
+
+
+@pytest.mark.parametrize("depth", [1, 6])
+def test_rounds_on_the_lattice_are_those_on_cells(depth):
+    r = np.random.default_rng(depth)
+    x = np.unique(np.stack([r.integers(0, 5, 900), r.integers(0, 40, 900), r.integers(0, 1, 900), r.integers(0, 9, 900)], axis=1).astype(np.uint8), axis=0)
+    n = r.integers(1, 30, len(x)).astype(float)
+    y, scale = np.round(1024 * n * (x[:, 1] - 3.0 * x[:, 3] + r.normal(size=len(x)))) / 1024, 2.0**20
+    what, left = trees.Boosting(tuple("abcd"), "y", rounds=25, depth=depth), y
+    for nodes in trees.boxed_rounds(x, y, n, what, scale):
+        other, leaf = trees.grow(x, None, n, depth, what.leaf, scale=scale, sums=np.round(left * scale))
+        left = left - what.rate * other["value"].to_numpy()[leaf] * n
+        assert nodes.equals(other)
+
+
+def test_values_for_all_bins_are_those_of_the_trees(spark, monkeypatch):
+    df, _ = frame(spark)
+    model = models.fit(df, models.boosted(["a", "b"], "y", rounds=12))
+    rows = df.unionByName(spark.createDataFrame([(None, float("nan"), 0.0, 0.0), (-1e9, 1e9, 0.0, 0.0)], df.schema))
+    assert model._tabled() is not None
+    tabled = [r["predicted"] for r in model.transform(rows).collect()]
+    monkeypatch.setattr(trees, "LATTICE", 0)
+    walked = trees.TreeModel(model.features, model.target, model.cuts, model.nodes, model.base, model.rate, model.trees)
+    assert walked._tabled() is None
+    assert tabled == pytest.approx([r["predicted"] for r in walked.transform(rows).collect()], rel=1e-12)
