@@ -228,3 +228,12 @@ def test_values_for_all_bins_are_those_of_the_trees(spark, monkeypatch):
     walked = trees.TreeModel(model.features, model.target, model.cuts, model.nodes, model.base, model.rate, model.trees)
     assert walked._tabled() is None
     assert tabled == pytest.approx([r["predicted"] for r in walked.transform(rows).collect()], rel=1e-12)
+
+
+def test_nodes_come_to_the_driver_packed(spark, monkeypatch):
+    df, _ = frame(spark)
+    monkeypatch.setattr(trees, "PIECE", 5)
+    model = models.fit(df, models.forest(["a", "b"], "y", trees=3, depth=5, leaf=9))
+    rows = model.nodes.orderBy("tree", "node").toPandas()
+    bare = trees.TreeModel(model.features, model.target, model.cuts, None, model.base, model.rate, model.trees)
+    assert bare.table().equals(rows)
