@@ -53,7 +53,7 @@ def raster_window(spark, sf_dir):
     both = cells.select(F.lit("scene").alias("layer"), F.lit("height").alias("band"), "row", "col", F.col("z").alias("value")).unionByName(cells.select(F.lit("scene").alias("layer"), F.lit("double").alias("band"), "row", "col", (F.col("z") * 2).alias("value")))
     high, wide = cells.agg(F.max("row") + 1, F.max("col") + 1).first()
     path = folder(spark, "rasters")
-    raster.save(raster.to_rasters(both, high, wide, west=500_000.0, north=4e6, cell=100.0, nodata=-9999.0, bands=["height", "double"], epsg=32617), path)
+    raster.write_rasters(both, path, high, wide, west=500_000.0, north=4e6, cell=100.0, nodata=-9999.0, bands=["height", "double"], epsg=32617)
     found = raster.read_cells(spark, path, window=(20, 90, 5, 40)).where(raster.inside(20, 90, 5, 40))
     return found
 

@@ -11,9 +11,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hoarfrost.operators.storage import forget, written
+
 from .cube import placed
 
 # Tags of the TIFF format and of its GDAL and GeoTIFF extensions.
@@ -64,18 +67,30 @@ def unpack_lzw(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def _tags(data: bytes) -> tuple[str, dict[int, tuple]]:
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
+class Stored:
+    """The bytes of an open file, of which only the slices that are asked for are read."""
+
+    def __init__(self, file):
+        self.file = file
+
+    def __getitem__(self, part: slice) -> bytes:
+        self.file.seek(part.start or 0)
+        return self.file.read(part.stop - (part.start or 0))
+
+
+def _tags(data: bytes | Stored) -> tuple[str, dict[int, tuple]]:
+    order = {b"II": "<", b"MM": ">"}.get(data[0:2])
+    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
         raise ValueError("not a TIFF")
-    at = struct.unpack_from(order + "I", data, 4)[0]
+    at = struct.unpack(order + "I", data[4:8])[0]
     tags: dict[int, tuple] = {}
-    for k in range(struct.unpack_from(order + "H", data, at)[0]):
-        tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
+    for k in range(struct.unpack(order + "H", data[at : at + 2])[0]):
+        here = at + 2 + 12 * k
+        tag, kind, n = struct.unpack(order + "HHI", data[here : here + 8])
         if kind in KINDS:
             size = struct.calcsize(order + KINDS[kind]) * n
-            where = at + 10 + 12 * k if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * k)[0]
-            tags[tag] = (data[where : where + n],) if kind == 2 else struct.unpack_from(order + KINDS[kind] * n, data, where)
+            where = here + 8 if size <= 4 else struct.unpack(order + "I", data[here + 8 : here + 12])[0]
+            tags[tag] = (data[where : where + n],) if kind == 2 else struct.unpack(order + KINDS[kind] * n, data[where : where + size])
     return order, tags
 
 
@@ -90,7 +105,7 @@ def _undone(raw: bytes, order: str, kind: str, size: int, shape: tuple[int, int,
     return values.cumsum(axis=1, dtype=values.dtype.newbyteorder("=")) if predictor == 2 else values
 
 
-def decode(data: bytes, window: tuple[int, int, int, int] | None = None) -> Raster:
+def decode(data: bytes | Stored, window: tuple[int, int, int, int] | None = None) -> Raster:
     """Bands in strips or tiles, together or apart; plain, LZW or deflated, with or without a predictor, of 8 to 64 bits; other forms are refused.
 
     Only blocks that meet the window (first row, last row, first and last
@@ -129,17 +144,28 @@ def decode(data: bytes, window: tuple[int, int, int, int] | None = None) -> Rast
     return Raster(out, float(tie[3]) + c * float(scale[0]), float(tie[4]) - a * float(scale[0]), float(scale[0]), float(text) if text else None, names, codes.get(PROJECTED_KEY, codes.get(GEOGRAPHIC_KEY)))
 
 
+def _strip(values: np.ndarray, nodata: float | None) -> bytes:
+    """Rows of a band, deflated, as little-endian 32-bit floats."""
+    return zlib.compress(np.where(np.isnan(values), np.nan if nodata is None else nodata, values).astype("<f4").tobytes())
+
+
 def encode(r: Raster) -> bytes:
     """A deflated little-endian 32-bit float TIFF with one strip a band, its bands' names and its coordinate system."""
-    values = np.where(np.isnan(r.bands), np.nan if r.nodata is None else r.nodata, r.bands).astype("<f4")
-    n, height, width = values.shape
-    strips = [zlib.compress(v.tobytes()) for v in values]
-    body = b"".join(strips)
-    at = np.cumsum([8, *map(len, strips)]).tolist()
+    strips = [_strip(v, r.nodata) for v in r.bands]
+    first, last = _around(r, r.bands.shape, r.bands.shape[1], [len(x) for x in strips])
+    return first + b"".join(strips) + last
+
+
+def _around(r: Raster, shape: tuple[int, int, int], rows: int, lengths: list[int]) -> tuple[bytes, bytes]:
+    """What stands before and behind the strips (of so many rows; lengths in bytes, band after band) of a raster of a shape; r's bands aren't looked at."""
+    n, height, width = shape
+    at = np.cumsum([8, *lengths]).tolist()
+    if at[-1] + 16 * len(lengths) > 4_000_000_000:
+        raise ValueError("a TIFF is 4 GB at most")
     names = "".join(f'<Item name="DESCRIPTION" sample="{k}" role="description">{x}</Item>' for k, x in enumerate(r.names))
     own = {
-        WIDTH: (4, [width]), HEIGHT: (4, [height]), BITS: (3, [32] * n), COMPRESSION: (3, [DEFLATE]), PHOTOMETRIC: (3, [1]), OFFSETS: (4, at[:-1]), SAMPLES: (3, [n]), ROWS: (4, [height]),
-        COUNTS: (4, [len(s) for s in strips]), PLANAR: (3, [2]), FORMAT: (3, [3] * n), PIXEL_SCALE: (12, [r.cell, r.cell, 0.0]), TIE_POINT: (12, [0, 0, 0, r.west, r.north, 0]),
+        WIDTH: (4, [width]), HEIGHT: (4, [height]), BITS: (3, [32] * n), COMPRESSION: (3, [DEFLATE]), PHOTOMETRIC: (3, [1]), OFFSETS: (4, at[:-1]), SAMPLES: (3, [n]), ROWS: (4, [rows]),
+        COUNTS: (4, lengths), PLANAR: (3, [2]), FORMAT: (3, [3] * n), PIXEL_SCALE: (12, [r.cell, r.cell, 0.0]), TIE_POINT: (12, [0, 0, 0, r.west, r.north, 0]),
         NODATA: (2, (b"nan" if r.nodata is None else repr(float(r.nodata)).encode()) + b"\x00"),
     }
     if r.epsg:
@@ -155,36 +181,67 @@ def encode(r: Raster) -> bytes:
             raw, extra = struct.pack("<I", at[-1] + len(extra)), extra + raw
         directory += struct.pack("<HHI", tag, kind, len(x)) + raw.ljust(4, b"\x00")
     extra += b"\x00" * (len(extra) % 2)
-    return b"II*\x00" + struct.pack("<I", at[-1] + len(extra)) + body + extra + struct.pack("<H", len(own)) + directory + struct.pack("<I", 0)
+    return b"II*\x00" + struct.pack("<I", at[-1] + len(extra)), extra + struct.pack("<H", len(own)) + directory + struct.pack("<I", 0)
 
 
 CELLS = "layer string, row int, col int, value double"
+#: Cells of a strip that is written, and of the blocks that a task reads.
+STRIP_CELLS, PART_CELLS = 1 << 18, 1 << 20
 
 
 def read_cells(spark: SparkSession, path: str, zero_fill: bool = False, window: tuple[int, int, int, int] | None = None) -> DataFrame:
     """(layer, row, col, value) of the TIFFs of a path; layer is the file's name without .tif, and for one of several bands the band's name behind a dot.
 
-    No-data cells are null (0 with zero_fill, for binary layers). window (first
+    A task reads some blocks of a file. No-data cells are null (0 with
+    zero_fill, for binary layers). window (first
     row, last row, first and last column): only blocks that meet it are
     unpacked. Rows and columns are those of the whole raster.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").load(path).select(F.regexp_extract("path", r"([^/]*)\.tif$", 1).alias("layer"), "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").load(path)
+    layer = F.regexp_extract("path", r"([^/]*)\.tif$", 1).alias("layer")
+
+    def cells(layer: str, data: bytes | Stored, window: tuple[int, int, int, int] | None) -> Iterator[pd.DataFrame]:
+        r = decode(data, window)
+        first_row, first_col = (max(0, window[0]), max(0, window[2])) if window else (0, 0)
+        for name, band in zip(r.names, r.bands):
+            for row in range(0, band.shape[0], 256):  # some rows at a time
+                v = band[row : row + 256].astype(float)
+                if r.nodata is not None:
+                    v[np.isclose(v, r.nodata)] = np.nan
+                rows, cols = np.indices(v.shape)
+                flat = v.ravel()
+                yield pd.DataFrame({"layer": layer if len(r.bands) == 1 else f"{layer}.{name}", "row": (rows.ravel() + row + first_row).astype("int32"), "col": (cols.ravel() + first_col).astype("int32"), "value": np.nan_to_num(flat, nan=0.0) if zero_fill else flat})
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for layer, path in zip(pdf["layer"], pdf["path"]):
+                fs, at = placed(path)
+                with fs.open_input_file(at) as f:
+                    tags = _tags(Stored(f))[1]
+                high, wide = tags[HEIGHT][0], tags[WIDTH][0]
+                block = tags[TILE_HEIGHT][0] if TILE_OFFSETS in tags else min(tags.get(ROWS, (high,))[0], high)
+                a, b, c, d = window or (0, high - 1, 0, wide - 1)
+                a, b = max(0, a), min(b, high - 1)
+                step = max(1, PART_CELLS // max(1, block * wide)) * max(1, block)  # whole blocks
+                starts = np.arange(a // step, max(a, b) // step + 1) * step
+                yield pd.DataFrame({"layer": layer, "path": path, "a": np.maximum(a, starts), "b": np.minimum(b, starts + step - 1), "c": c, "d": d})
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for layer, path, *part in pdf.itertuples(index=False):
+                fs, at = placed(path)
+                with fs.open_input_file(at) as f:
+                    yield from cells(layer, Stored(f), tuple(part))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for layer, content in zip(pdf["layer"], pdf["content"]):
-                r = decode(content, window)
-                first_row, first_col = (max(0, window[0]), max(0, window[2])) if window else (0, 0)
-                for name, band in zip(r.names, r.bands):
-                    for row in range(0, band.shape[0], 256):  # some rows at a time
-                        v = band[row : row + 256].astype(float)
-                        if r.nodata is not None:
-                            v[np.isclose(v, r.nodata)] = np.nan
-                        rows, cols = np.indices(v.shape)
-                        flat = v.ravel()
-                        yield pd.DataFrame({"layer": layer if len(r.bands) == 1 else f"{layer}.{name}", "row": (rows.ravel() + row + first_row).astype("int32"), "col": (cols.ravel() + first_col).astype("int32"), "value": np.nan_to_num(flat, nan=0.0) if zero_fill else flat})
-
-    out = files.mapInPandas(run, CELLS)
+                yield from cells(layer, content, window)
+
+    if re.match(r"/|file:/", path):
+        out = files.select(layer, "path").mapInPandas(listed, "layer string, path string, a int, b int, c int, d int").repartition("path", "a").mapInPandas(read, CELLS)
+    else:  # a store that only Spark may be able to read: whole files
+        out = files.select(layer, "content").mapInPandas(whole, CELLS)
     return out.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
@@ -238,6 +295,61 @@ def save(rasters: DataFrame, folder: str) -> int:
     return rasters.select("layer", "content").mapInPandas(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def write_rasters(cells: DataFrame, folder: str, height: int, width: int, west: float = 0.0, north: float = 0.0, cell: float = 1.0, nodata: float | None = None, bands: list[str] | None = None, epsg: int | None = None) -> int:
+    """What to_rasters() and save() write, in strips of rows: no task holds more than a strip, whatever the grid's size. How many files.
+
+    Tasks make the strips, which are written once to the shared folder; then a
+    layer's strips are put behind each other in a file, one at a time.
+    """
+    rows = min(height, max(1, STRIP_CELLS // max(1, width)))
+    strips = -(-height // rows)
+    band = F.array_position(F.array(*map(F.lit, bands)), F.col("band")).cast("int") - 1 if bands else F.lit(0)
+    own = cells.select("layer", band.alias("band"), F.floor(F.col("row") / rows).cast("int").alias("strip"), "row", "col", F.col("value").cast("double").alias("value")).where("band >= 0")
+    # Strips without a cell are made too.
+    every = cells.select("layer").distinct().select("layer", F.explode(F.sequence(F.lit(0), F.lit(len(bands or [""]) - 1))).alias("band")).select("layer", "band", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))).alias("strip"))
+
+    def pack(key: tuple, own: pd.DataFrame, one: pd.DataFrame) -> pd.DataFrame:
+        layer, band, strip = key
+        values = np.full((min(rows, height - strip * rows), width), np.nan)
+        values[own["row"].to_numpy() - strip * rows, own["col"].to_numpy()] = own["value"].to_numpy(dtype=float)
+        return pd.DataFrame({"layer": [layer], "band": [band], "strip": [strip], "data": [_strip(values, nodata)]})
+
+    keys = ["layer", "band", "strip"]
+    made = written(own.groupBy(keys).cogroup(every.groupBy(keys)).applyInPandas(pack, "layer string, band int, strip int, data binary").withColumn("size", F.length("data")), "strips")
+    sizes = made.groupBy("layer").agg(F.sort_array(F.collect_list(F.struct("band", "strip", "size"))).alias("sizes"))  # three numbers a strip
+    heads = sizes.select("layer", F.lit(-1).alias("band"), F.lit(0).alias("strip"), F.lit(None).cast("binary").alias("data"), F.col("sizes.size").alias("sizes"))
+    parts = heads.unionByName(made.select("layer", "band", "strip", "data", F.lit(None).cast("array<int>").alias("sizes"))).repartition("layer").sortWithinPartitions("layer", "band", "strip")
+    fs, at = placed(folder)
+    fs.create_dir(at)
+    profile = Raster(np.zeros((0, 0, 0)), west, north, cell, nodata, bands or [], epsg)
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = placed(folder)
+        f, n, end, names = None, 0, b"", ()
+        for b in batches:
+            for layer, data, lengths in zip(*(b.column(c) for c in ("layer", "data", "sizes"))):
+                if lengths.is_valid:  # a layer begins
+                    if f:
+                        f.write(end)
+                        f.close()
+                        fs.move(*names)
+                    names, n = (f"{at}/.{layer.as_py()}.{uuid.uuid4().hex}", f"{at}/{layer.as_py()}.tif"), n + 1
+                    begin, end = _around(profile, (len(bands or [""]), height, width), rows, lengths.as_py())
+                    f = fs.open_output_stream(names[0])
+                    f.write(begin)
+                else:
+                    f.write(data.as_buffer())
+        if f:
+            f.write(end)
+            f.close()
+            fs.move(*names)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    done = parts.mapInArrow(save, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    forget(made)
+    return done
+
+
 def wide(cells: DataFrame, layers: list[str]) -> DataFrame:
     """One row a cell with a column a layer: complete pixels are those without a null."""
     return cells.groupBy("row", "col").pivot("layer", layers).agg(F.first("value"))

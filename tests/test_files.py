@@ -161,3 +161,22 @@ def test_sinks(spark, tmp_path):
     sinks.model(m, f"{base}/model")
     want = sorted((r.a, r.predicted) for r in m.transform(rows).collect())
     assert sorted((r.a, r.predicted) for r in sinks.load_model(spark, f"{base}/model").transform(rows).collect()) == want
+
+
+def test_rasters_are_written_and_read_in_strips(spark, tmp_path, monkeypatch):
+    """As to_rasters() makes them, with strips that have no cell; read in parts of a file."""
+    monkeypatch.setattr(raster, "STRIP_CELLS", 12)
+    monkeypatch.setattr(raster, "PART_CELLS", 20)
+    rows = [(layer, band, r, c, float(r * 10 + c) if (r + c) % 3 else None) for layer in ("a", "b") for band in ("one", "two", "no") for r in (0, 1, 2, 9, 10) for c in range(4) if (layer, r) != ("b", 9)]
+    cells = spark.createDataFrame(rows, "layer string, band string, row int, col int, value double")
+    more = dict(west=5.0, north=9.0, cell=2.0, nodata=-1.0, bands=["one", "two"], epsg=32617)
+    assert raster.write_rasters(cells, str(tmp_path), 11, 4, **more) == 2
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["a.tif", "b.tif"]
+    want = {r.layer: raster.decode(bytes(r.content)) for r in raster.to_rasters(cells, 11, 4, **more).collect()}
+    for layer, w in want.items():
+        got = raster.decode((tmp_path / f"{layer}.tif").read_bytes())
+        assert np.array_equal(got.bands, w.bands) and (got.west, got.north, got.cell, got.nodata, got.names, got.epsg) == (w.west, w.north, w.cell, w.nodata, w.names, w.epsg)
+    for window in (None, (2, 9, 1, 2), (10, 99, 0, 3)):
+        a, b, c, d = window or (0, 10, 0, 3)
+        read = {(r.layer, r.row, r.col): r.value for r in raster.read_cells(spark, str(tmp_path), window=window).collect()}
+        assert read == {(f"{layer}.{n}", r, q): None if v == -1 else float(v) for layer, w in want.items() for n, band in zip(w.names, w.bands) for (r, q), v in np.ndenumerate(band) if a <= r <= b and c <= q <= d}
