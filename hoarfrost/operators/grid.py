@@ -238,10 +238,47 @@ def distances(grid: DataFrame, is_target: Column, cell: float = 1.0, carry: str
     return cells.repartition(tasks, "_b").groupBy("_b").cogroup(known.repartition(tasks, "_e").groupBy("_e")).applyInArrow(run, schema)
 
 
+#: Rows and columns of a tile in which gaps are filled, and the reach up to which they are filled so.
+FILL_ROWS, FILL_COLS, FILL_REACH = 2048, 256, 32
+
+
 def filled(grid: DataFrame, z: str = "z", within: float = 5.0) -> DataFrame:
-    """z_filled: the value of the nearest known cell where z is null and one is near enough."""
-    found = distances(grid, F.col(z).isNotNull(), carry=z)
-    return found.select(*grid.columns, F.when(F.col("distance") <= within, F.coalesce(F.col(z), F.col("near_value"))).otherwise(F.col(z)).alias("z_filled"))
+    """z_filled: the value of the nearest known cell where z is null and one is near enough (of equal ones the first by column, then row).
+
+    What is near enough is known beforehand, so cells are dealt once, in tiles
+    with a margin of known cells; only a long reach goes by distances().
+    """
+    if within > FILL_REACH:
+        found = distances(grid, F.col(z).isNotNull(), carry=z)
+        return found.select(*grid.columns, F.when(F.col("distance") <= within, F.coalesce(F.col(z), F.col("near_value"))).otherwise(F.col(z)).alias("z_filled"))
+    reach = max(0, int(within))
+    around = range(-reach, reach + 1)
+    near = sorted((r * r + c * c, c, r) for r in around for c in around if (r or c) and np.sqrt(r * r + c * c) <= within)
+    own = lambda c, size: F.floor(F.col(c) / size).cast("int")
+    inner = lambda c, size: F.pmod(F.col(c), F.lit(size)).between(reach, size - reach - 1)
+    tiles = lambda c, size: F.sequence(F.floor((F.col(c) - reach) / size).cast("int"), F.floor((F.col(c) + reach) / size).cast("int"))
+    pairs = F.flatten(F.transform(tiles("row", FILL_ROWS), lambda i: F.transform(tiles("col", FILL_COLS), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    alone = F.array(F.struct(own("row", FILL_ROWS).alias("i"), own("col", FILL_COLS).alias("j")))
+    at = F.when(F.col(z).isNull() | (inner("row", FILL_ROWS) & inner("col", FILL_COLS)), alone).otherwise(pairs)
+    dealt = grid.withColumn("_own", alone[0]).withColumn("_t", F.explode(at)).withColumn("_own", F.col("_t") == F.col("_own"))
+
+    def run(key: tuple, cells: pa.Table) -> pa.Table:
+        i, j = key[0].as_py()["i"], key[0].as_py()["j"]
+        cells = cells.combine_chunks()
+        r, c = cells.column("row").to_numpy() - i * FILL_ROWS + reach, cells.column("col").to_numpy() - j * FILL_COLS + reach
+        known = cells.column(z).is_valid().to_numpy()
+        place = np.full((FILL_ROWS + 2 * reach, FILL_COLS + 2 * reach), -1, np.int32)
+        place[r[known], c[known]] = np.flatnonzero(known)
+        source, todo = np.arange(len(r)), np.flatnonzero(~known)
+        for _, right, down in near:
+            found = place[r[todo] + down, c[todo] + right]
+            source[todo[found >= 0]] = found[found >= 0]
+            todo = todo[found < 0]
+        keep = np.flatnonzero(cells.column("_own").to_numpy(zero_copy_only=False).astype(bool))
+        out = cells.drop_columns(["_t", "_own"]).append_column("z_filled", cells.column(z).take(pa.array(source)))
+        return out if len(keep) == len(r) else out.take(pa.array(keep))
+
+    return dealt.groupBy("_t").applyInArrow(run, T.StructType([*grid.schema.fields, T.StructField("z_filled", grid.schema[z].dataType)]))
 
 
 def blocks(grid: DataFrame, n: int = 4, z: str = "z", flag: Column | None = None) -> DataFrame:
