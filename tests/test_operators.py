@@ -388,3 +388,14 @@ def test_files_that_are_missing(spark, tmp_path):
     assert text.optional(spark, f"{tmp_path}/none") is None
     spark.range(2).write.parquet(f"{tmp_path}/some")
     assert text.optional(spark, f"{tmp_path}/some").count() == 2
+
+
+def test_draws_are_not_written(spark, monkeypatch):
+    """A sample's draws order its rows by their digits, and go before the rows are written."""
+    kept, write = [], sampling.written
+    monkeypatch.setattr(sampling, "written", lambda df, name: kept.append(df.columns) or write(df, name))
+    df = spark.createDataFrame([(k % 3, k) for k in range(60)], "g int, k int")
+    got = sorted((r.g, r.k) for r in sampling.sample_per_group(df, "g", 0.25, "k").collect())
+    drawn = sorted((r.g, r.h, r.k) for r in df.withColumn("h", sampling.draw("k")).collect())
+    assert got == sorted((g, k) for x in range(3) for g, _, k in [d for d in drawn if d[0] == x][:5])
+    assert kept and not any("_h" in c for c in kept)
