@@ -82,3 +82,59 @@ def test_folds_are_those_of_single_models(spark):
         model = models.fit(dealt.where(F.col("fold") != r.fold), what())
         one = models.metrics(model.transform(dealt.where(F.col("fold") == r.fold)), "y", "predicted").first()
         assert (r.n, r.rmse, r.bias) == (one.n, pytest.approx(one.rmse, rel=1e-9), pytest.approx(one.bias, rel=1e-9))
+
+
+def slow_rises(spark, df, model, features, repeats):
+    """Rises of the squared error with rows and draws as permuted() has them, row by row."""
+    trees_of = [p.reset_index(drop=True) for _, p in model.table().groupby("tree")]
+
+    def value(t, x):
+        at = 0
+        while t["feature"][at] >= 0:
+            at = t["left"][at] + (x[t["feature"][at]] > t["cut"][at])
+        return t["value"][at]
+
+    def predict(r):
+        x = [int(np.searchsorted(c, v, "left")) for c, v in zip(model.cuts, r)]
+        return model.base + model.rate * sum(value(t, x) for t in trees_of)
+
+    rows = df.withColumn("i", F.monotonically_increasing_id()).select("*", *[F.xxhash64("i", F.lit(42 + r)).alias(f"d{r}") for r in range(repeats)]).collect()
+    mse = lambda some: np.mean([(predict(x) - y) ** 2 for x, y in some if y is not None])
+    plain, out = mse([(list(r[:3]), r.y) for r in rows]), {}
+    for r in range(repeats):
+        order = sorted(rows, key=lambda x: x[f"d{r}"])
+        for f in features:
+            k = "abc".index(f)
+            out[f, r] = mse([([b[j] if j == k else a[j] for j in range(3)], a.y) for a, b in zip(order, order[-1:] + order[:-1])]) - plain
+    return out
+
+
+def test_rises_are_those_of_rows_in_order(spark, monkeypatch):
+    """Through partitions and their edges, empty ones and rows without a target too, by looked-up and by joined predictions."""
+    df, _ = grid_frame(spark, 150)
+    df = df.unionByName(spark.createDataFrame([(1.0, 1.0, 1.0, None), (2.0, 0.0, 2.0, None)], df.schema)).coalesce(1)
+    model = models.fit(df, models.forest(["a", "b", "c"], "y", trees=3, depth=4, leaf=5))
+    model.table()
+    want = slow_rises(spark, df, model, ["a", "c"], 2)
+    for lattice, parts in ((1 << 21, "4"), (1 << 21, "300"), (0, "7")):
+        monkeypatch.setattr(trees, "LATTICE", lattice)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        bare = trees.TreeModel(model.features, model.target, model.cuts, model.nodes, model.base, model.rate, model.trees)
+        got = {(r.feature, r.repeat): r.rise for r in models.permuted(df, bare, ["a", "c"], "y", repeats=2).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+    assert models.permuted(df.limit(0), model, ["a"], "y", repeats=1).count() == 0
+
+
+def test_rows_dealt_anew_are_moved_as_bins(spark, monkeypatch):
+    """What is written: bins, targets and numbers once, sums of tasks, and the errors; no table of rows for each feature and repeat."""
+    df, _ = grid_frame(spark)
+    model = models.fit(df, models.forest(["a", "b", "c"], "y", trees=3, depth=4, leaf=5))
+    model._tabled()
+    seen, real = [], trees.written
+    keep = lambda df, name, **more: seen.append((name, out := real(df, name, **more))) or out
+    monkeypatch.setattr(trees, "written", keep)
+    monkeypatch.setattr(models, "written", keep)
+    assert models.permuted(df, model, ["a", "b", "c"], "y", repeats=3).count() == 9
+    counts = {name: out.count() for name, out in seen}
+    assert [n for n, _ in seen] == ["rows", "scored", "errors"] and counts["rows"] == 500 and counts["scored"] < 3 * 4 * (3 + 1) * 3
