@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hoarfrost.operators import models, trees
+from hoarfrost.plans.catalogue import QUERIES
 
 
 @pytest.mark.parametrize("seed", range(8))
@@ -138,3 +139,35 @@ def test_rows_dealt_anew_are_moved_as_bins(spark, monkeypatch):
     assert models.permuted(df, model, ["a", "b", "c"], "y", repeats=3).count() == 9
     counts = {name: out.count() for name, out in seen}
     assert [n for n, _ in seen] == ["rows", "scored", "errors"] and counts["rows"] == 500 and counts["scored"] < 3 * 4 * (3 + 1) * 3
+
+
+def test_dependence_is_over_all_rows(spark, monkeypatch):
+    """12,000 rows, none left out; by looked-up, walked and joined predictions; and where no other feature is left."""
+    df = spark.range(12_000).select((F.col("id") % 97).cast("double").alias("a"), (F.col("id") / 60).cast("int").cast("double").alias("b"))
+    df = df.withColumn("y", F.col("a") * F.when(F.col("b") > 100, 1.0).otherwise(3.0))
+    model = models.fit(df, models.forest(["a", "b"], "y", trees=4, depth=6, leaf=20))
+    want = {a: model.transform(df.withColumn("a", F.lit(a))).agg(F.avg("predicted")).first()[0] for a in (3.0, 50.0)}
+    for name, value in (("LATTICE", trees.LATTICE), ("LATTICE", 0), ("SHARED_NODES", 0)):
+        monkeypatch.setattr(trees, name, value)
+        bare = trees.TreeModel(model.features, model.target, model.cuts, model.nodes, model.base, model.rate, model.trees)
+        got = {r.a: r.mean_predicted for r in models.partial_dependence(df, bare, {"a": [3.0, 50.0]}).collect()}
+        assert got == {a: pytest.approx(v, rel=1e-12) for a, v in want.items()}
+    both = models.partial_dependence(df, model, {"a": [3.0], "b": [7.0, 150.0]}).collect()
+    alone = {r.b: r.predicted for r in model.transform(spark.createDataFrame([(3.0, 7.0), (3.0, 150.0)], "a double, b double")).collect()}
+    assert {r.b: r.mean_predicted for r in both} == {b: pytest.approx(v, rel=1e-12) for b, v in alone.items()}
+
+
+@pytest.mark.parametrize("name", ["partial_dependence_1d", "partial_dependence_2d"])
+def test_rows_are_joined_once(spark, monkeypatch, name):
+    """Passes of a fit read what was written, not the join anew."""
+
+    class Reached(Exception):
+        pass
+
+    def stop(df, what):
+        raise Reached(df)
+
+    monkeypatch.setattr(models, "fit", stop)
+    with pytest.raises(Reached) as e:
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "Join" not in e.value.args[0]._jdf.queryExecution().optimizedPlan().toString()
