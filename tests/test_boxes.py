@@ -157,7 +157,7 @@ def test_dependence_is_over_all_rows(spark, monkeypatch):
     assert {r.b: r.mean_predicted for r in both} == {b: pytest.approx(v, rel=1e-12) for b, v in alone.items()}
 
 
-@pytest.mark.parametrize("name", ["partial_dependence_1d", "partial_dependence_2d"])
+@pytest.mark.parametrize("name", ["rf_importance", "partial_dependence_1d", "partial_dependence_2d"])
 def test_rows_are_joined_once(spark, monkeypatch, name):
     """Passes of a fit read what was written, not the join anew."""
 
