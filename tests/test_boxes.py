@@ -71,6 +71,11 @@ def test_cuts_of_few_values_are_exact(spark, monkeypatch):
     monkeypatch.setattr(trees, "FEW", 100)
     many, _, _ = trees.cuts_of(df.repartition(7), ("a", "b"), "y")
     assert many[1].tolist() == cuts[1].tolist() and 200 < len(many[0]) <= 254
+    sizes, real = [], trees.forget  # no task counts more values than that, though each of many partitions has few
+    monkeypatch.setattr(trees, "forget", lambda df: sizes.append(df.count()) or real(df))
+    small, _, _ = trees.cuts_of(df.repartition(60), ("a", "b"), "y")
+    assert sizes[0] > 1000 and small[1].tolist() == cuts[1].tolist()
+    assert small[0].tolist() == sorted(set(df.agg(F.percentile_approx("a", [i / 255 for i in range(1, 255)], 100_000)).first()[0]))
     assert [len(c) for c in trees.cuts_of(df.limit(0), ("a", "b"), "y")[0]] == [0, 0]
 
 
